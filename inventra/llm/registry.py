@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, imatch, packing, token_files
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op7_token_files": token_files.op7_token_files,
+    "op9_imatch": imatch.op9_imatch,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
