@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, packing, sentencepieces, token_files
+from . import exact_dedup, imatch, language_id, packing, sentencepieces, token_files
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_packing": packing.op3_packing,
     "op7_token_files": token_files.op7_token_files,

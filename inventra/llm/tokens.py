@@ -40,13 +40,13 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def blocks(texts: pa.Array):
+def blocks(texts: pa.Array, most: int = BLOCK_BYTES):
     """(start, stop) of blocks of rows within the bounds."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64).cumsum()
     start = 0
     while start < len(texts):
         base = size[start - 1] if start else 0
-        stop = max(start + 1, min(start + BLOCK_ROWS, int(np.searchsorted(size, base + BLOCK_BYTES, side="right"))))
+        stop = max(start + 1, min(start + BLOCK_ROWS, int(np.searchsorted(size, base + most, side="right"))))
         yield start, stop
         start = stop
 
