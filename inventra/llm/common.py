@@ -77,3 +77,13 @@ def read_file(uri: str) -> bytes:
 def pick(hashed: Column, parts: int) -> Column:
     """A number from 0 to parts - 1 by a hash."""
     return F.pmod(hashed, F.lit(parts)).cast("int")
+
+
+#: Most ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def restricted(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join on doc_id, by broadcast only if the ids are counted and few."""
+    ids = ids.select("doc_id")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, language_id, near_dedup, packing, sentencepieces, token_files
+from . import exact_dedup, imatch, language_id, near_dedup, packing, quality, sentencepieces, token_files
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_packing": packing.op3_packing,
+    "op6_quality": quality.op6_quality,
     "op7_token_files": token_files.op7_token_files,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_imatch": imatch.op9_imatch,
