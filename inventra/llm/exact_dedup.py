@@ -53,6 +53,20 @@ def groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     )
 
 
+def keepers(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns; of rows that repeat a doc_id and its text, one stays."""
+    found = groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    found = common.written(found, "exact")
+    lost = found.where("not kept").drop("kept").distinct()
+    lost = F.broadcast(lost) if lost.count() <= common.BROADCAST_IDS else lost
+    rows = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    rows = rows.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_anti")
+    repeated = found.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_text_sha"])
+    return rows.drop("_text_sha")
+
+
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return groups(common.table(spark, sf_dir, "documents"))
 

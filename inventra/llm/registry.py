@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, language_id, near_dedup, packing, quality, sentencepieces, token_files
+from . import exact_dedup, imatch, language_id, licenses, near_dedup, packing, quality, sentencepieces, token_files, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_packing": packing.op3_packing,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op7_token_files": token_files.op7_token_files,
     "op8_near_dedup": near_dedup.op8_near_dedup,
