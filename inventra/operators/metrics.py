@@ -144,8 +144,9 @@ def age_statistics(files: DataFrame, as_of: str) -> DataFrame:
 def period(as_of: str, moment: Column, closed_above: bool) -> Column:
     """The age period: (low, high] of moments if closed_above, else [low, high); the last holds all from its start on. The moment is evaluated once."""
     age = (F.unix_micros(F.to_timestamp(F.lit(as_of))) - F.unix_micros(moment)) / (365 * 86400 * 1e6)
-    index = F.floor(age) if closed_above else F.ceil(age) - 1
-    return F.get(F.array(*[F.lit(name) for name, _, _ in YEAR_BUCKETS]), F.least(index, F.lit(len(YEAR_BUCKETS) - 1)).cast("int"))
+    n = F.lit(len(YEAR_BUCKETS) - 1)
+    index = F.width_bucket(age, F.lit(0.0), F.lit(6.0), n) - 1 if closed_above else n - F.width_bucket(-age, F.lit(-6.0), F.lit(0.0), n)
+    return F.get(F.array(*[F.lit(name) for name, _, _ in YEAR_BUCKETS]), index.cast("int"))
 
 
 def temporal(files: DataFrame, as_of: str, mode: str) -> DataFrame:

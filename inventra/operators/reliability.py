@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _mean(column: str) -> Column:
+    """Mean to ten-thousandths, added up as whole numbers so that the order of rows doesn't matter."""
+    return F.avg(F.round(F.col(column) * 10_000).cast("long"))
+
+
 def call_metrics(calls: DataFrame) -> DataFrame:
     """One row from (worker, ok, duration): successes, errors, mean duration, calls a minute."""
     return calls.agg(F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("errors"), F.round(F.avg(F.when(F.col("ok"), F.col("duration"))), 4).alias("mean_duration"), F.round(F.when(F.avg(F.when(F.col("ok"), F.col("duration"))) > 0, 60 / F.avg(F.when(F.col("ok"), F.col("duration")))).otherwise(0.0), 4).alias("per_minute"))
@@ -42,11 +47,11 @@ def scalability(calls: DataFrame) -> DataFrame:
 
 def moving_average(calls: DataFrame, rows: int = 10) -> DataFrame:
     """Mean of each worker's last calls."""
-    return calls.withColumn("moving", F.round(F.avg("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(1 - rows, 0)), 4))
+    return calls.withColumn("moving", _mean("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(1 - rows, 0)) / 10_000)
 
 
 def running_mean(calls: DataFrame) -> DataFrame:
-    return calls.withColumn("running", F.round(F.avg("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)), 4))
+    return calls.withColumn("running", _mean("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)) / 10_000)
 
 
 def running_max(calls: DataFrame) -> DataFrame:

@@ -72,12 +72,15 @@ def salvage(text: str | None) -> str | None:
     return json.dumps(found) if valid(found) else None
 
 
-@F.pandas_udf("string")
-def salvage_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _salvage_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(salvage)
 
 
+def salvage_json(text: Column) -> Column:
+    return F.pandas_udf(_salvage_batches, "string")(text)
+
+
 def mean_confidence(*confidences: Column) -> Column:
     """Whole mean of those above zero; 0 if none is."""
     above = F.filter(F.array(*[F.coalesce(c, F.lit(0)) for c in confidences]), lambda c: c > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metrics, rows  # noqa: F401
+from . import metrics, rows, services  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

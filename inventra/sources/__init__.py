@@ -1 +1 @@
-
+"""Sources and the bridge to test tables."""
