@@ -13,8 +13,12 @@ whole sequence as one), as 64-bit hashes. Two documents are linked if 100 |A n B
 3. Every bucket links its members to its least one (counted in part, joined; no pairs within the bucket). What
    passes sketch and size is confirmed on the full sets, from the texts. The links give components.
 4. Only where a bucket still holds more than one component, its members of different components
-   are compared by sketch, BLOCK by BLOCK members to a task, and only what passes is confirmed and linked. So a bucket
-   of thousands of copies costs one confirmation each, and no link between different components is lost.
+   are compared by sketch, BLOCK by BLOCK members to a task, and each such block gives a spanning forest of what passes,
+   so never more edges than it has members. The trees give clusters, each document in one of them. A
+   cluster's texts meet in blocks of LINK_BLOCK, where a prefix index over the block's own rarest shingles finds
+   exactly the pairs that can be similar enough; confirmed links that join two components are kept. So a
+   bucket of thousands of copies costs one confirmation each, documents that share a long common passage
+   cost one reading each, and no link between different components is lost.
 
 Nothing but counts reaches the driver.
 
@@ -42,6 +46,7 @@ BITS = 512
 PERCENT = 80
 FLOOR = 0.66
 BLOCK = 1024
+LINK_BLOCK = 512
 _TEXT_BYTES = 4 << 20
 _WORDS = BITS // 64
 _SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
@@ -171,53 +176,141 @@ def _alike(percent: int) -> Column:
     return (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (differing <= most_differing())
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each (band, i, j) block pair; rows come sorted by it."""
-    most, rest = most_differing(), None
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key of a stream that comes sorted by it."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not len(now):
+            continue
+        key = [now.column(c).to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+        for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+            yield now.slice(x, y - x)
+        rest = now.slice(int(cuts[-1]) if len(cuts) else 0)
+    if rest is not None and len(rest):
+        yield rest
+
+
+class _Forest:
+    """Labels of a block's members; joining keeps them one a tree."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        self.label = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, x: int, ys: np.ndarray) -> list[int]:
+        """Joins x with all of ys; the ys that were needed for it, one a tree."""
+        seen, first = np.unique(self.label[ys], return_index=True)
+        needed = first[seen != self.label[x]]
+        if len(needed):
+            self.label[np.isin(self.label, seen)] = self.label[x]
+        return ys[needed].tolist()
+
+
+def _edges(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not len(t):
-            return
-        col = {c: t.column(c).to_numpy() for c in ("band", "i", "j", "side", "rep", "n", "component")}
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each block pair of a bucket, a spanning forest of the pairs of different components that sizes and sketches let be similar: never more edges than members."""
+    most = most_differing()
+    for t in _groups(batches, ["band", "i", "j"]):
+        side, rep, n, component = (t.column(c).to_numpy() for c in ("side", "rep", "n", "component"))
         sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
-        cuts = np.flatnonzero((np.diff(col["band"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
-        us, vs = [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)], strict=True):
-            own = col["i"][a] == col["j"][a]
-            for x in range(a, b - 1):
-                y = np.arange(x + 1, b)
+        own, forest, us, vs = t.column("i")[0] == t.column("j")[0], _Forest(np.arange(len(t))), [], []
+        for x in range(len(t) - 1):
+            y = np.arange(x + 1, len(t))
+            y = y[(component[y] != component[x]) & (forest.label[y] != forest.label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if not own:
+                y = y[side[y] != side[x]]
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= most]
+            for k in forest.join(x, y):
+                us.append(int(rep[x]))
+                vs.append(int(rep[k]))
+        if us:
+            yield _edges(us, vs)
+
+
+def _prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, set and whether it is in the set's shorter prefix, of each set's longer prefix by local rarity.
+
+    Sets as similar as percent share a shingle of the longer prefix of the larger and of the shorter prefix
+    of the smaller one, whatever the order of shingles.
+    """
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((code, count[code], of))
+    code, of = code[order], of[order]
+    sizes = np.bincount(of, minlength=len(sets))
+    place = np.arange(len(of)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    longer = sizes - -(-percent * sizes // 100) + 1
+    shorter = sizes - -(-2 * percent * sizes // (100 + percent)) + 1
+    keep = place < longer[of]
+    return code[keep], of[keep], (place < shorter[of])[keep]
+
+
+def _link(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """For each block pair of a cluster, links between different components, confirmed on full sets; as many as join the components that are joined."""
+    for t in _groups(batches, ["cluster", "i", "j"]):
+        t = t.combine_chunks()
+        doc, side, component = (t.column(c).to_numpy() for c in ("doc_id", "side", "component"))
+        own = t.column("i")[0] == t.column("j")[0]
+        sets = [s for a, b in tokens.blocks(t.column("text").combine_chunks(), _TEXT_BYTES) for s in shingles(t.column("text").combine_chunks().slice(a, b - a), width)]
+        sizes = np.array([len(s) for s in sets])
+        code, of, short = _prefixes(sets, percent)
+        order = np.argsort(code, kind="stable")
+        code, of, short = code[order], of[order], short[order]
+        cuts = np.flatnonzero(np.diff(code)) + 1
+        forest, tried, us, vs = _Forest(component), set(), [], []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
+            if b - a < 2 or (forest.label[of[a:b]] == forest.label[of[a]]).all():
+                continue
+            who, brief = of[a:b], short[a:b]
+            for k in range(b - a):
+                x = who[k]
+                fits = (forest.label[who] != forest.label[x]) & (sizes[who] >= sizes[x]) & (percent * sizes[who] <= 100 * sizes[x])
+                if not brief[k]:
+                    continue
                 if not own:
-                    y = y[col["side"][y] != col["side"][x]]
-                y = y[col["component"][y] != col["component"][x]]
-                n = col["n"][y]
-                y = y[100 * np.minimum(n, col["n"][x]) >= percent * np.maximum(n, col["n"][x])]
-                y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= most]
-                if len(y):
-                    us.append(np.full(len(y), col["rep"][x]))
-                    vs.append(col["rep"][y])
+                    fits &= side[who] != side[x]
+                for y in who[fits].tolist():
+                    pair = (min(x, y), max(x, y))
+                    if pair in tried or forest.label[x] == forest.label[y]:
+                        continue
+                    tried.add(pair)
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                        forest.join(int(x), np.array([y]))
+                        us.append(int(doc[x]))
+                        vs.append(int(doc[y]))
         if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            yield _edges(us, vs)
 
-    for batch in batches:
-        now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        key = [now.column(c).to_numpy() for c in ("band", "i", "j")]
-        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key])) if len(now) else []
-        cut = int(last[-1]) + 1 if len(last) else 0
-        yield from pairs(now.slice(0, cut))
-        rest = now.slice(cut)
-    if rest is not None:
-        yield from pairs(rest)
+
+def _block_pairs(rows: DataFrame, group: str, member: str, sizes: DataFrame, block: int) -> DataFrame:
+    """Each member once for every block pair (i, j) of its group; sizes has the groups and their counts c."""
+    rows = rows.join(sizes.select(group, F.ceil(F.col("c") / block).cast("int").alias("blocks")), group)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.col("own") < F.col("other")}).drop("own", "other", "blocks")
+    n = common.partitions(rows.sparkSession)
+    return rows.repartition(n, group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _clusters(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """node, cluster of what may still be linked; members: band, rep, n, sketch, component."""
+    mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    dealt = _block_pairs(members, "band", "rep", mixed, block).select("band", "i", "j", "side", "rep", "n", "component", "sketch")
+    return graph.components(dealt.mapInArrow(partial(_compare, percent=percent), "u long, v long").distinct()).withColumnRenamed("component", "cluster")
 
 
-def _left_over(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of different components in one bucket that sizes and sketches let be similar; members: band, rep, n, sketch, component."""
-    mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    rows = members.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("side"), "rep", "n", "component", "sketch")
-    n = common.partitions(members.sparkSession)
-    return rows.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(partial(_compare, percent=percent), "u long, v long").distinct()
+def _linked(clusters: DataFrame, label: DataFrame, docs: DataFrame, width: int, percent: int, block: int = LINK_BLOCK) -> DataFrame:
+    """Confirmed links (u, v) of different components within clusters."""
+    rows = clusters.join(label, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component"))
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"))
+    texts = docs.where("doc_id is not null").join(rows, "doc_id")
+    dealt = _block_pairs(texts, "cluster", "doc_id", sizes, block).select("cluster", "i", "j", "side", "doc_id", "component", "text")
+    return dealt.mapInArrow(partial(_link, width=width, percent=percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
@@ -239,8 +332,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = PERCENT) -> Data
     first = common.checkpointed(confirmed(stars, docs, width, percent))
     label = common.checkpointed(graph.components(first))
     member = shared.select("band", "rep").join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component")).join(sketches, "rep")
-    more = common.checkpointed(_left_over(member, percent).join(stars, ["u", "v"], "left_anti"))
-    second = common.checkpointed(confirmed(more, docs, width, percent))
+    clusters = common.checkpointed(_clusters(member, percent))
+    second = common.checkpointed(_linked(clusters, label, docs, width, percent))
     if not second.isEmpty():
         label = common.checkpointed(graph.components(first.unionByName(second)))
     found = signed.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").join(label, F.col("rep") == F.col("node"), "left")
