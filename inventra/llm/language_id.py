@@ -104,6 +104,8 @@ class Filter:
         return out
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         hits, total = np.zeros((len(self.langs), len(texts))), np.zeros(len(texts))
         for keys, of in windows(texts):
             found = self.containing(keys)
@@ -111,8 +113,6 @@ class Filter:
             for i in range(len(self.langs)):
                 hits[i] += np.bincount(of[(found >> np.uint32(i)) & np.uint32(1) == 1], minlength=len(texts))
         letters = np.array([any(map(str.isalpha, t)) for t in texts])
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         corrected = np.maximum((hits - total * self.false[:, None]) / (1 - self.false[:, None]), 0)
         best = corrected.argmax(axis=0)
         ranked = np.sort(corrected, axis=0)

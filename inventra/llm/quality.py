@@ -118,7 +118,7 @@ def train(trusted: DataFrame) -> tuple[str, int]:
         for name, rows, value in (("p", p, "p"), ("g", g, "g")):
             out = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", value)
             out.repartition(min(shards, 4 * common.partitions(trusted.sparkSession)), "shard").write.partitionBy("shard").parquet(f"{folder}/{name}{order}")
-        lower = trusted.sparkSession.read.parquet(f"{folder}/p{order}").select("key", "p")
+        lower = trusted.sparkSession.read.schema("key long, p double").parquet(f"{folder}/p{order}")
     return folder, shards
 
 
