@@ -26,12 +26,12 @@ def has_attribute(raw: Column, name: str) -> Column:
 
 
 def human_size(size: Column, gap: str = " ", zero: str | None = None) -> Column:
-    """1024 ladder with one decimal."""
+    """1024 ladder with one decimal; exact halves go to the even digit."""
     value, ladder = size.cast("double"), None
     for k, unit in enumerate(("B", "KB", "MB", "GB")):
-        text = F.format_string(f"%.1f{gap}{unit}", value / float(1024**k))
+        text = F.format_string(f"%.1f{gap}{unit}", F.bround(value / float(1024**k), 1))
         ladder = F.when(value < float(1024 ** (k + 1)), text) if ladder is None else ladder.when(value < float(1024 ** (k + 1)), text)
-    out = ladder.otherwise(F.format_string(f"%.1f{gap}TB", value / float(1024**4)))
+    out = ladder.otherwise(F.format_string(f"%.1f{gap}TB", F.bround(value / float(1024**4), 1)))
     return out if zero is None else F.when(F.coalesce(size, F.lit(0)) == 0, zero).otherwise(out)
 
 
