@@ -1,0 +1,51 @@
+"""Driver-side helpers."""
+
+from inventra.config import Rules, Settings
+from inventra.operators import session
+
+
+def test_pages():
+    assert [session.clamp_offset(o, 10, 25) for o in (-5, 0, 14, 99)] == [0, 0, 10, 20]
+    assert session.clamp_offset(3, 10, 0) == 0
+    assert session.page_caption(20, 10, 25) == "Showing 21-25 of 25" and session.page_caption(0, 10, 0) == "Showing 0-0 of 0"
+
+
+def test_chunks(spark):
+    got = list(session.chunks(spark.range(0, 25, 1, 3), 10))
+    assert [len(c) for c in got] == [10, 10, 5] and sorted(r[0] for c in got for r in c) == list(range(25))
+
+
+def test_memos(tmp_path):
+    memo = session.PageMemo(entries=2)
+    for i in range(3):
+        memo.put({"page": i, "status": "x"}, [i])
+    assert memo.get({"status": "x", "page": 0}) is None and memo.get({"page": 2, "status": "x"}) == [2]
+    assert memo.invalidate('"page": 1') == 1 and memo.invalidate() == 1
+    held = session.MetricMemo(str(tmp_path / "m.json"), 60)
+    assert held.load() is None
+    held.save({"a": 1})
+    assert held.load() == {"a": 1} and session.MetricMemo(str(tmp_path / "m.json"), 0).load() is None
+
+
+def test_templates_and_settings(tmp_path):
+    t = session.Templates({"a": "Hello {{ name }}, {{missing}}!"})
+    assert t.render("a", {"name": "x"}) == "Hello x, !"
+    assert t.save("b", "{{ open")[0] is False and t.save("b", "y" * 4000)[0] is False and t.save("b", "y" * 4000, force=True)[0] and t.names() == ["a", "b"]
+    rules = session.edit_exclusions(Rules(), add=("EXE",), remove=("tmp",), skip_hidden=True)
+    assert ".exe" in rules.blocked_extensions and ".tmp" not in rules.blocked_extensions and rules.skip_hidden
+    session.save_settings(Settings(rules=rules), str(tmp_path / "s.json"))
+    assert session.load_settings(str(tmp_path / "s.json")) == Settings(rules=rules) and session.load_settings(str(tmp_path / "none")) == Settings()
+
+
+def test_throttle_and_reports(spark):
+    t = session.Throttle()
+    for s in (1, 1, 1, 9, 9):
+        t.record(s)
+    assert t.spacing > 10 and t.label() in ("busy", "slow") and t.timeout(60) > 60 and t.wait(0) == 0
+    assert session.workers(None, 2) == 6 and session.workers(99, 2) == 32 and session.speed_up(10, 2) == 5
+    assert session.progress(5, 10, 60) == {"percentage": 50.0, "per_minute": 5.0, "seconds_left": 60.0}
+    assert not session.healthy("http://127.0.0.1:9")
+    assert session.reliability_report({"successes": 1, "errors": 1, "mean_duration": 11, "variance": 0})["success_rate"] == 50.0
+    assert "Security: C1 (90%)" in session.display({"resume": "r", "security": {"classification": "C1", "confidence": 90, "justification": "j"}})
+    work = spark.range(5)
+    assert session.pending_after(work, spark.range(3)).count() == 2
