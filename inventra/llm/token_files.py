@@ -3,8 +3,8 @@
 A shard is two files below one folder: ``shard-NNNNNN.bin``, the frames end to end, and
 ``shard-NNNNNN.idx``, an index with each document's id, frame offset and token count, so that one short
 document is read by one seek. All frames share one zstandard dictionary, trained on serialized id arrays
-of a sample of at most SAMPLE_DOCS documents chosen by hash; the dictionary lies in the folder and every
-index carries its SHA-256. Shards follow ascending doc_id: Spark deals documents by range, each task
+of at most SAMPLE_DOCS documents of at most SAMPLE_BYTES (it serves short documents), chosen by hash; the
+dictionary lies in the folder and every index carries its SHA-256. Shards follow ascending doc_id: Spark deals documents by range, each task
 writes its own shard under a temporary name and moves it, so a task that runs again leaves one whole
 file. The manifest (a row a shard) gives each shard's first id position.
 
@@ -33,6 +33,7 @@ from . import common, tokens
 
 END_ID = 2
 SAMPLE_DOCS = 512
+SAMPLE_BYTES = 20_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 _MAGIC = b"TOKIDX1\n"
@@ -46,9 +47,10 @@ def id_type(vocabulary: int) -> str:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary of at most DICTIONARY_BYTES from at most SAMPLE_DOCS documents; empty if there is too little to train on."""
-    chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.substring("text", 1, 20_000).alias("text")).limit(SAMPLE_DOCS).toArrow().column("text").combine_chunks()
+    """A dictionary of at most DICTIONARY_BYTES from at most SAMPLE_DOCS documents of at most SAMPLE_BYTES; empty if there is too little to train on."""
+    short = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    texts = short.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text").limit(SAMPLE_DOCS).toArrow().column("text").combine_chunks()
     if not len(texts):
         return b""
     coder = tokens.chunk_tokenizer(tokenizer)
