@@ -26,6 +26,10 @@ def shared_root(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
+    if "://" not in root:  # a path without a scheme is one of the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = root.replace("file:/", "file:///", 1) if not root.startswith("file://") and root.startswith("file:/") else root
     return root.rstrip("/")
 
 
