@@ -5,7 +5,7 @@ labelled good and not toxic), with no bound on their number. Windows are counted
 task and added up by key; lower orders count distinct continuations; discounts follow from the counts of counts of
 each language and order. Probabilities come from joins of count tables on contexts and on shorter
 windows, dealt by key. The finished tables lie in the shared folder in shards of about SHARD_ROWS rows
-by key; a scoring task reads, shard by shard, the ones that its block's distinct windows fall into, so
+by key; a scoring task reads, shard by shard, the ones that its texts' distinct windows fall into, so
 neither a task nor the driver ever holds the whole model.
 
 A document's perplexity is that of its bytes. A document is rejected if it exceeds the limit of its
@@ -33,9 +33,10 @@ ORDER = 5
 QUANTILE = 0.99
 SLACK = 1.25
 CLASS_LEAST = 200
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1_000_000
 MOST_LANGUAGES = 1000
-BLOCK = 4 << 20
+#: Bytes of text whose windows are in memory together, and for which the model is asked together.
+BLOCK, GROUP = 1 << 20, 16 << 20
 _NO_LANGUAGE = "und"
 _SCORES = "doc_id long, lang string, n_bytes long, perplexity double"
 
@@ -122,7 +123,7 @@ def train(trusted: DataFrame) -> tuple[str, int]:
     return folder, shards
 
 
-@functools.lru_cache(maxsize=16)
+@functools.lru_cache(maxsize=12)
 def _shard(folder: str, table: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and values of one shard."""
     import pyarrow.parquet as pq
@@ -176,19 +177,29 @@ class Model:
         return out
 
 
+def _totals(model: Model, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Bits of each text of some blocks; the model is asked once for all their distinct windows."""
+    every = np.unique(np.concatenate([distinct for distinct, _, _ in parts]))
+    bits = -np.log2(model.probability(every))
+    for distinct, back, sizes in parts:
+        own = bits[np.searchsorted(every, distinct)][back]
+        yield np.bincount(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), weights=own, minlength=len(sizes))
+
+
 def _score(batches: Iterator[pa.RecordBatch], folder: str, shards: int, langs: list[str], known: list[bool]) -> Iterator[pa.RecordBatch]:
     model = Model(folder, shards)
     for batch in batches:
         texts, lang = batch.column("text"), batch.column("l").to_numpy()
-        for a, b in tokens.blocks(texts, BLOCK):
-            keys, sizes = windows(texts.slice(a, b - a).to_pylist(), lang[a:b])
-            distinct, back = np.unique(keys, return_inverse=True)
-            bits = -np.log2(model.probability(distinct))
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.bincount(of, weights=bits[back], minlength=len(sizes))
-            own = np.array([known[k] for k in lang[a:b].tolist()], bool) & (sizes > 0)
+        for x, y in tokens.blocks(texts, GROUP):
+            parts = []
+            for a, b in tokens.blocks(texts.slice(x, y - x), BLOCK):
+                keys, sizes = windows(texts.slice(x + a, b - a).to_pylist(), lang[x + a : x + b])
+                distinct, back = np.unique(keys, return_inverse=True)
+                parts.append((distinct, back.astype(np.int32), sizes))
+            total, sizes = np.concatenate(list(_totals(model, parts))), np.concatenate([p[2] for p in parts])
+            own = np.array([known[k] for k in lang[x:y].tolist()], bool) & (sizes > 0)
             value = np.exp2(total / np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([langs[k] for k in lang[a:b].tolist()], pa.string()), pa.array(sizes), pa.array(value, mask=~own)], ["doc_id", "lang", "n_bytes", "perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(x, y - x), pa.array([langs[k] for k in lang[x:y].tolist()], pa.string()), pa.array(sizes), pa.array(value, mask=~own)], ["doc_id", "lang", "n_bytes", "perplexity"])
 
 
 def length_class(n_bytes: Column) -> Column:
