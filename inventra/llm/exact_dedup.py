@@ -1,10 +1,10 @@
 """Operator 10: exact duplicates by progressive refinement.
 
 Rows are grouped by length in bytes, then by a hash of the first PREFIX characters, then by the SHA-256
-of the whole text; each step takes only rows that were not alone in the step before. Whole texts never
-move: every step groups narrow rows (a few numbers and 32 bytes), counted in part before each shuffle,
-so a group that holds a third of all rows is a handful of partial counts. Column pruning leaves the
-whole-text hash out of the first two steps.
+of the whole text; each step keeps only groups within groups of more than one row of the step before. Whole
+texts never move: every step groups narrow rows (a few numbers and 32 bytes), counted in part before each
+shuffle, so a group that holds a third of all rows is a handful of partial counts, and only the last join, which
+adaptive execution can split, meets its rows. Column pruning leaves the whole-text hash out of the first two steps.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays, a null
 doc_id only where all of the group are null; rows that repeat a doc_id and its text carry the same
@@ -21,11 +21,6 @@ from . import common
 PREFIX = 64
 
 
-def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that more than one row has."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").drop("n_rows")
-
-
 def groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     rows = common.text_of(docs).select(
@@ -34,14 +29,13 @@ def groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
         F.xxhash64(F.substring("text", 1, prefix)).alias("head"),
         F.unhex(F.sha2("text", 256)).alias("whole"),
     )
-    by_length = _several(rows, ["bytes"])
-    by_head = _several(rows.join(by_length, "bytes", "left_semi"), ["bytes", "head"])
-    by_whole = (
-        rows.join(by_head, ["bytes", "head"], "left_semi")
-        .groupBy("bytes", "head", "whole")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+    n = F.count(F.lit(1))
+    # Each step counts first and then refines the counts, so that no join before the last one meets a group's rows.
+    heads = rows.groupBy("bytes", "head").agg(n.alias("n_rows"))
+    by_length = heads.groupBy("bytes").agg(F.sum("n_rows").alias("n_length")).where("n_length > 1").select("bytes")
+    by_head = heads.where("n_rows > 1").join(by_length, "bytes", "left_semi").select("bytes", "head")
+    wholes = rows.groupBy("bytes", "head", "whole").agg(F.max("doc_id").alias("keep_id"), n.alias("group_size"))
+    by_whole = wholes.where("group_size > 1").join(by_head, ["bytes", "head"], "left_semi")
     joined = rows.join(by_whole, ["bytes", "head", "whole"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
