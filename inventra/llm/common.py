@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +93,28 @@ def restricted(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """left_semi or left_anti join on doc_id, by broadcast only if the ids are counted and few."""
     ids = ids.select("doc_id")
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
+#: Rows of an Arrow batch between Spark and a Python worker, unless the session sets another number; texts can be long.
+BATCH_ROWS = 1000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _tidied(batches, step):
+    """Runs a step and then gives freed memory back, since a worker stays for later tasks."""
+    import pyarrow as pa
+
+    yield from step(batches)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def in_batches(rows: DataFrame, step, schema: str) -> DataFrame:
+    """mapInArrow with bounded batches."""
+    conf = rows.sparkSession.conf
+    if conf.get(_ROWS_KEY, "10000") == "10000":
+        conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    return rows.mapInArrow(partial(_tidied, step=step), schema)

@@ -125,7 +125,7 @@ class Filter:
 def fit(docs: DataFrame) -> Filter:
     """The filter of all rows with a language and a text."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = common.written(rows.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "ngrams")
+    counts = common.written(common.in_batches(rows, _count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "ngrams")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
     if len(langs) > MOST_LANGUAGES:
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, fitted: Filter) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(step, "doc_id long, held_out boolean, lang_pred string, score double")
+    return common.in_batches(rows, step, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -181,13 +181,13 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
 def build(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN) -> Index:
     """The index, with word weights counted over all documents."""
     indexed = sorted({w for t in templates for w in t.notice})
-    rows = common.text_of(docs).select("text").mapInArrow(partial(_frequencies, indexed=indexed), "word string, n long")
+    rows = common.in_batches(common.text_of(docs).select("text"), partial(_frequencies, indexed=indexed), "word string, n long")
     n = {r[0]: r[1] for r in rows.groupBy("word").agg(F.sum("n")).collect()}
     return Index(templates, n, n.get("", 0))
 
 
 def scan(docs: DataFrame, index: Index) -> DataFrame:
-    return common.text_of(docs).mapInArrow(partial(_scan, index=index), _SCHEMA)
+    return common.in_batches(common.text_of(docs), partial(_scan, index=index), _SCHEMA)
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:

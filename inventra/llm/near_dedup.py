@@ -167,7 +167,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     texts = docs.where(F.col("doc_id").isNotNull())
     some = texts.join(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     left, right = (some.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, width=width, percent=percent), "u long, v long")
+    return common.in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), partial(_confirm, width=width, percent=percent), "u long, v long")
 
 
 def _alike(percent: int) -> Column:
@@ -301,7 +301,7 @@ def _clusters(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     """node, cluster of what may still be linked; members: band, rep, n, sketch, component."""
     mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     dealt = _block_pairs(members, "band", "rep", mixed, block).select("band", "i", "j", "side", "rep", "n", "component", "sketch")
-    return graph.components(dealt.mapInArrow(partial(_compare, percent=percent), "u long, v long").distinct()).withColumnRenamed("component", "cluster")
+    return graph.components(common.in_batches(dealt, partial(_compare, percent=percent), "u long, v long").distinct()).withColumnRenamed("component", "cluster")
 
 
 def _linked(clusters: DataFrame, label: DataFrame, docs: DataFrame, width: int, percent: int, block: int = LINK_BLOCK) -> DataFrame:
@@ -310,13 +310,13 @@ def _linked(clusters: DataFrame, label: DataFrame, docs: DataFrame, width: int,
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"))
     texts = docs.where("doc_id is not null").join(rows, "doc_id")
     dealt = _block_pairs(texts, "cluster", "doc_id", sizes, block).select("cluster", "i", "j", "side", "doc_id", "component", "text")
-    return dealt.mapInArrow(partial(_link, width=width, percent=percent), "u long, v long").distinct()
+    return common.in_batches(dealt, partial(_link, width=width, percent=percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = common.text_of(docs)
-    signed = common.written(docs.mapInArrow(partial(_sign, width=width), _SIGNATURE), "signatures")
+    signed = common.written(common.in_batches(docs, partial(_sign, width=width), _SIGNATURE), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
     classes = common.checkpointed(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     # A class's signature is that of its least document.

@@ -132,7 +132,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return common.text_of(docs).mapInArrow(partial(_pack, tokenizer=tokenizer, end_id=end_id, capacity=capacity, block=block), _SCHEMA)
+    return common.in_batches(common.text_of(docs), partial(_pack, tokenizer=tokenizer, end_id=end_id, capacity=capacity, block=block), _SCHEMA)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def _tables(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[Dat
 
 def train(trusted: DataFrame) -> tuple[str, int]:
     """Trains on rows (text, l: number of the language); the folder and the number of shards of the model's tables."""
-    counts = {ORDER: common.written(trusted.select("text", "l").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "windows")}
+    counts = {ORDER: common.written(common.in_batches(trusted.select("text", "l"), _count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "windows")}
     for order in range(ORDER - 1, 0, -1):
         counts[order] = common.written(counts[order + 1].select(_suffix(order + 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "windows")
     shards = max(1, -(-2 * sum(c.count() for c in counts.values()) // SHARD_ROWS))
@@ -221,7 +221,7 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     learnt = {r[0] for r in trusted.where("text <> ''").select("l").distinct().collect()}
     folder, shards = train(trusted)
     step = functools.partial(_score, folder=folder, shards=shards, langs=langs, known=[i in learnt for i in range(len(langs))])
-    scored = common.written(rows.mapInArrow(step, _SCORES), "perplexities").withColumn("class", length_class(F.col("n_bytes")))
+    scored = common.written(common.in_batches(rows, step, _SCORES), "perplexities").withColumn("class", length_class(F.col("n_bytes")))
     known = common.restricted(scored.where("perplexity is not null"), good, "left_semi")
     limits = known.groupBy("lang", "class").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count(F.lit(1)).alias("n")).collect()
     wide = {r[0]: r[1] for r in known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000)).collect()}

@@ -291,17 +291,17 @@ def _decode_only(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids of every document."""
-    return common.text_of(docs).mapInArrow(partial(_encode_only, path=path), "doc_id long, ids array<int>")
+    return common.in_batches(common.text_of(docs), partial(_encode_only, path=path), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, text of every row of ids."""
-    return rows.select("doc_id", "ids").mapInArrow(partial(_decode_only, path=path), "doc_id long, text string")
+    return common.in_batches(rows.select("doc_id", "ids"), partial(_decode_only, path=path), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return common.text_of(docs).mapInArrow(partial(_round_trip, path=path), _SCHEMA)
+    return common.in_batches(common.text_of(docs), partial(_round_trip, path=path), _SCHEMA)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
     common.write_file(f"{folder}/dictionary.bin", dictionary)
     ranged = docs.repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     step = partial(_write_shard, folder=folder, tokenizer=tokenizer, end_id=end_id, dictionary=dictionary)
-    return sorted(tuple(r) for r in ranged.mapInArrow(step, _MANIFEST).collect())
+    return sorted(tuple(r) for r in common.in_batches(ranged, step, _MANIFEST).collect())
 
 
 def read(spark, folder: str, manifest: list[tuple[int, int, int, int]]) -> DataFrame:
@@ -165,7 +165,7 @@ def read(spark, folder: str, manifest: list[tuple[int, int, int, int]]) -> DataF
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType())])
     if not rows:
         return spark.createDataFrame([], _ROWS)
-    return spark.createDataFrame(rows, schema).repartition(len(rows)).mapInArrow(partial(_read_shards, folder=folder), _ROWS)
+    return common.in_batches(spark.createDataFrame(rows, schema).repartition(len(rows)), partial(_read_shards, folder=folder), _ROWS)
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

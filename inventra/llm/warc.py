@@ -136,7 +136,7 @@ def responses(pages: DataFrame) -> DataFrame:
             made = [response(*row) for row in zip(ids.to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], ["page_id", "record"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(step, "page_id long, record binary")
+    return common.in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), step, "page_id long, record binary")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 def write(records: DataFrame, folder: str) -> DataFrame:
     """Writes the derivatives of response records; name, n_records of each file."""
-    return common.written(records.select("record").mapInArrow(partial(_write, folder=folder), "name string, n_records long"), "manifest")
+    return common.written(common.in_batches(records.select("record"), partial(_write, folder=folder), "name string, n_records long"), "manifest")
 
 
 def members(uri: str) -> Iterator[bytes]:
@@ -223,7 +223,7 @@ def _row(metadata: tuple[dict, bytes], conversion: tuple[dict, bytes] | None) ->
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """A row for each source record, from the files."""
     n = common.partitions(manifest.sparkSession)
-    return manifest.select("name").repartition(n).mapInArrow(partial(_read, folder=folder), _ROWS)
+    return common.in_batches(manifest.select("name").repartition(n), partial(_read, folder=folder), _ROWS)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
