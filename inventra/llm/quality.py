@@ -11,9 +11,11 @@ neither a task nor the driver ever holds the whole model.
 A document's perplexity is that of its bytes. A document is rejected if it exceeds the limit of its
 language and length class: QUANTILE of the trusted documents' perplexities there, raised by SLACK, since a
 trusted document's own text is part of the model. Classes of fewer than CLASS_LEAST trusted documents take their language's limit.
+A language of fewer than LANGUAGE_LEAST different trusted texts has no limit: the largest of n perplexities is exceeded by
+one in n + 1 documents that are as good, and a model of a few texts finds any other text unlikely.
 
-Defined results: null text is empty; empty texts, texts whose language has no trusted text, and rows with a null doc_id
-are kept (perplexity null for the first two); null languages are a language of their own; rows that share a
+Defined results: null text is empty; empty texts, texts whose language has too few trusted texts, and rows with a null doc_id
+are kept (perplexity null for empty texts and languages with no trusted text, limit null for all of the first two); null languages are a language of their own; rows that share a
 doc_id are scored each; an empty table gives no rows; other columns are not read.
 """
 
@@ -33,6 +35,7 @@ ORDER = 5
 QUANTILE = 0.99
 SLACK = 1.25
 CLASS_LEAST = 200
+LANGUAGE_LEAST = 30
 SHARD_ROWS = 1_000_000
 MOST_LANGUAGES = 1000
 #: Bytes of text whose windows are in memory together, and for which the model is asked together.
@@ -218,13 +221,14 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.alias("l"))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = common.restricted(rows, good, "left_semi")
-    learnt = {r[0] for r in trusted.where("text <> ''").select("l").distinct().collect()}
+    learnt = dict(trusted.where("text <> ''").groupBy("l").agg(F.countDistinct(F.xxhash64("text"))).collect())
     folder, shards = train(trusted)
     step = functools.partial(_score, folder=folder, shards=shards, langs=langs, known=[i in learnt for i in range(len(langs))])
     scored = common.written(common.in_batches(rows, step, _SCORES), "perplexities").withColumn("class", length_class(F.col("n_bytes")))
     known = common.restricted(scored.where("perplexity is not null"), good, "left_semi")
     limits = known.groupBy("lang", "class").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count(F.lit(1)).alias("n")).collect()
     wide = {r[0]: r[1] for r in known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000)).collect()}
+    wide = {name: q for name, q in wide.items() if learnt[langs.index(name)] >= LANGUAGE_LEAST}
     limit = {(r["lang"], r["class"]): r["q"] for r in limits if r["n"] >= CLASS_LEAST}
     table = [(name, k, slack * limit.get((name, k), wide[name])) for name in wide for k in range(6)]
     limits = spark.createDataFrame(table, "lang string, class int, perplexity_limit double")

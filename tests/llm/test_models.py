@@ -97,6 +97,23 @@ def test_quality_odd(spark, odd, empty):
     assert quality.scores(empty, labels).count() == 0
 
 
+def test_quality_keeps_thin_languages(spark):
+    """A language with a handful of trusted documents, or rows without a language, lose no clean documents."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    labels = common.table(spark, sf, "labels")
+    docs = common.table(spark, sf, "documents").withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    few = docs.join(labels.where("quality = 1 and toxic = 0 and doc_id is not null"), "doc_id").where("lang = 'es' or lang is null").groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3).alias("i"))
+    few = [i for r in few.collect() for i in r["i"]]
+    assert len(few) == 6
+    some = docs.select("doc_id", "lang").join(labels, "doc_id").where(~F.coalesce(F.col("lang").isin("es"), F.lit(True)) | F.col("doc_id").isin(few)).drop("lang")
+    got = quality.scores(docs, some).join(labels, "doc_id").where("quality = 1 and toxic = 0")
+    thin = got.where("lang in ('es', 'und')")
+    assert thin.count() > 60 and thin.where("not kept or perplexity_limit is not null").count() == 0
+    assert got.where("lang = 'en' and perplexity_limit is null and n_bytes > 0").count() == 0
+
+
 def test_model_sums_to_one(spark):
     """Each context's probabilities over all bytes are a distribution."""
     import numpy as np
