@@ -9,8 +9,11 @@ by key; a scoring task reads, shard by shard, the ones that its texts' distinct
 neither a task nor the driver ever holds the whole model.
 
 A document's perplexity is that of its bytes. A document is rejected if it exceeds the limit of its
-language and length class: QUANTILE of the trusted documents' perplexities there, raised by SLACK, since a
-trusted document's own text is part of the model. Classes of fewer than CLASS_LEAST trusted documents take their language's limit.
+language and length class: QUANTILE of the trusted documents' held-out perplexities there. For these, trusted texts are dealt
+by hash to FOLDS folds (equal texts to the same one), and each is scored by a model of its language without its fold, so
+that the limit is what unseen documents as good stay within at any size of the input. The models without a fold are
+trained together with the whole one, from the same counts less the fold's own; the discounts are those of the whole.
+Classes of fewer than CLASS_LEAST trusted documents take their language's limit.
 A language of fewer than LANGUAGE_LEAST different trusted texts has no limit: the largest of n perplexities is exceeded by
 one in n + 1 documents that are as good, and a model of a few texts finds any other text unlikely.
 
@@ -33,7 +36,9 @@ from . import common, tokens
 
 ORDER = 5
 QUANTILE = 0.99
-SLACK = 1.25
+FOLDS = 5
+#: Models of a language: of all its trusted texts, and without each fold.
+MODELS = FOLDS + 1
 CLASS_LEAST = 200
 LANGUAGE_LEAST = 30
 SHARD_ROWS = 1_000_000
@@ -45,7 +50,7 @@ _SCORES = "doc_id long, lang string, n_bytes long, perplexity double"
 
 
 def windows(texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (language, then ORDER bytes) of the window that ends at each byte, and each text's number of bytes."""
+    """Keys (number of the language or model, then ORDER bytes) of the window that ends at each byte, and each text's number of bytes."""
     pad = b"\0" * (ORDER - 1)
     raw = [t.encode("utf-8", "replace") for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -78,8 +83,9 @@ def _suffix(order: int) -> Column:
 
 
 def _discounts(counts: DataFrame, order: int) -> dict[int, tuple[float, float, float]]:
-    """Chen and Goodman's three discounts of each language."""
-    rows = counts.where("n <= 4").groupBy(F.shiftright("key", 8 * order).alias("l"), "n").agg(F.count(F.lit(1)).alias("c")).collect()
+    """Chen and Goodman's three discounts of each language, from its whole model."""
+    model = F.shiftright("key", 8 * order)
+    rows = counts.where((F.col("n") <= 4) & (model % MODELS == 0)).groupBy((model / MODELS).cast("int").alias("l"), "n").agg(F.count(F.lit(1)).alias("c")).collect()
     found: dict[int, tuple[float, float, float]] = {}
     for lang in {r["l"] for r in rows}:
         c = {r["n"]: r["c"] for r in rows if r["l"] == lang}
@@ -94,7 +100,7 @@ def _discounts(counts: DataFrame, order: int) -> dict[int, tuple[float, float, f
 def _tables(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Probabilities of an order's windows (key, p) and the weight of the lower order after each context (key, g)."""
     known = _discounts(counts, order)
-    lang = F.shiftright("key", 8 * order)
+    lang = F.floor(F.shiftright("key", 8 * order) / MODELS)
 
     def discount(k: int) -> Column:
         return F.coalesce(*[F.when(lang == i, F.lit(d[k])) for i, d in known.items()], F.lit((0.5, 0.75, 0.9)[k]))
@@ -110,9 +116,27 @@ def _tables(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[Dat
     return joined.select("key", ((F.col("n") - F.col("d")) / F.col("total") + F.col("g") * base).alias("p")), contexts.select(F.col("context").alias("key"), "g")
 
 
+def fold() -> Column:
+    return common.pick(F.xxhash64("text"), FOLDS)
+
+
+def _windows(trusted: DataFrame) -> DataFrame:
+    """Counts (key, n) of the windows of every model: model MODELS * l is of all texts, the k-th after it of all but fold k - 1."""
+    low = 8 * ORDER
+    dealt = trusted.select("text", (F.col("l") * FOLDS + fold()).cast("int").alias("l"))
+    found = common.in_batches(dealt, _count, "key long, n long").withColumn("dealt", F.shiftright("key", low))
+    window = F.shiftleft(F.floor(F.col("dealt") / FOLDS), low).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << low) - 1)))
+    own = [F.sum(F.when(F.col("dealt") % FOLDS == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
+    each = found.groupBy(window.alias("window")).agg(F.sum("n").alias("all"), *own)
+    models = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), n.alias("n")) for k, n in enumerate([F.col("all"), *[F.col("all") - F.col(f"n{k}") for k in range(FOLDS)]])])
+    rows = each.select("window", F.explode(models).alias("m")).where("m.n > 0")
+    number = F.shiftright("window", low) * MODELS + F.col("m.k")
+    return rows.select(F.shiftleft(number, low).bitwiseOR(F.col("window").bitwiseAND(F.lit((1 << low) - 1))).alias("key"), F.col("m.n").alias("n"))
+
+
 def train(trusted: DataFrame) -> tuple[str, int]:
-    """Trains on rows (text, l: number of the language); the folder and the number of shards of the model's tables."""
-    counts = {ORDER: common.written(common.in_batches(trusted.select("text", "l"), _count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "windows")}
+    """Trains on rows (text, l: number of the language); the folder and the number of shards of the models' tables."""
+    counts = {ORDER: common.written(_windows(trusted), "windows")}
     for order in range(ORDER - 1, 0, -1):
         counts[order] = common.written(counts[order + 1].select(_suffix(order + 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "windows")
     shards = max(1, -(-2 * sum(c.count() for c in counts.values()) // SHARD_ROWS))
@@ -190,13 +214,15 @@ def _totals(model: Model, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _score(batches: Iterator[pa.RecordBatch], folder: str, shards: int, langs: list[str], known: list[bool]) -> Iterator[pa.RecordBatch]:
+    """Perplexities of rows (doc_id, text, m: number of the model)."""
     model = Model(folder, shards)
     for batch in batches:
-        texts, lang = batch.column("text"), batch.column("l").to_numpy()
+        texts, number = batch.column("text"), batch.column("m").to_numpy()
+        lang = number // MODELS
         for x, y in tokens.blocks(texts, GROUP):
             parts = []
             for a, b in tokens.blocks(texts.slice(x, y - x), BLOCK):
-                keys, sizes = windows(texts.slice(x + a, b - a).to_pylist(), lang[x + a : x + b])
+                keys, sizes = windows(texts.slice(x + a, b - a).to_pylist(), number[x + a : x + b])
                 distinct, back = np.unique(keys, return_inverse=True)
                 parts.append((distinct, back.astype(np.int32), sizes))
             total, sizes = np.concatenate(list(_totals(model, parts))), np.concatenate([p[2] for p in parts])
@@ -210,7 +236,7 @@ def length_class(n_bytes: Column) -> Column:
     return F.least(F.greatest(F.floor(F.log2(F.greatest(n_bytes, F.lit(1)).cast("double")) / 2) - 2, F.lit(0)), F.lit(5)).cast("int")
 
 
-def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, perplexity_limit, kept of every row."""
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(_NO_LANGUAGE))
@@ -224,13 +250,14 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     learnt = dict(trusted.where("text <> ''").groupBy("l").agg(F.countDistinct(F.xxhash64("text"))).collect())
     folder, shards = train(trusted)
     step = functools.partial(_score, folder=folder, shards=shards, langs=langs, known=[i in learnt for i in range(len(langs))])
-    scored = common.written(common.in_batches(rows, step, _SCORES), "perplexities").withColumn("class", length_class(F.col("n_bytes")))
-    known = common.restricted(scored.where("perplexity is not null"), good, "left_semi")
-    limits = known.groupBy("lang", "class").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count(F.lit(1)).alias("n")).collect()
-    wide = {r[0]: r[1] for r in known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000)).collect()}
-    wide = {name: q for name, q in wide.items() if learnt[langs.index(name)] >= LANGUAGE_LEAST}
-    limit = {(r["lang"], r["class"]): r["q"] for r in limits if r["n"] >= CLASS_LEAST}
-    table = [(name, k, slack * limit.get((name, k), wide[name])) for name in wide for k in range(6)]
+    perplexities = lambda rows, model: common.written(common.in_batches(rows.select("doc_id", "text", model.cast("int").alias("m")), step, _SCORES), "perplexities").withColumn("class", length_class(F.col("n_bytes")))
+    scored = perplexities(rows, F.col("l") * MODELS)
+    enough = [i for i, n in learnt.items() if n >= LANGUAGE_LEAST]
+    held = perplexities(trusted.where(F.col("l").isin(enough)), F.col("l") * MODELS + 1 + fold()).where("perplexity is not null")
+    high = F.percentile_approx("perplexity", quantile, 10_000)
+    wide = dict(held.groupBy("lang").agg(high).collect())
+    limit = {(r["lang"], r["class"]): r["q"] for r in held.groupBy("lang", "class").agg(high.alias("q"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= CLASS_LEAST}
+    table = [(name, k, limit.get((name, k), wide[name])) for name in wide for k in range(6)]
     limits = spark.createDataFrame(table, "lang string, class int, perplexity_limit double")
     found = scored.join(F.broadcast(limits), ["lang", "class"], "left").drop("class")
     return found.withColumn("kept", F.coalesce(F.col("doc_id").isNull() | (F.col("perplexity") <= F.col("perplexity_limit")), F.lit(True))).select("doc_id", "lang", "n_bytes", "perplexity", "perplexity_limit", "kept")

@@ -114,6 +114,17 @@ def test_quality_keeps_thin_languages(spark):
     assert got.where("lang = 'en' and perplexity_limit is null and n_bytes > 0").count() == 0
 
 
+def test_quality_limit_is_held_out(spark):
+    """Poor and toxic documents are rejected, and about one clean document in a hundred that has no label."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    labels = common.table(spark, sf, "labels").withColumn("out", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("x"))) % 5 == 0)
+    got = quality.scores(common.table(spark, sf, "documents"), labels.where("not out")).join(labels, "doc_id").where("n_bytes > 0")
+    lost = {k: got.where(w).agg(F.avg(F.when(F.col("kept"), 0).otherwise(1))).collect()[0][0] for k, w in {"poor": "quality = 0", "toxic": "toxic = 1", "clean": "quality = 1 and toxic = 0 and out"}.items()}
+    assert lost["poor"] >= 0.9 and lost["toxic"] >= 0.25 and lost["clean"] <= 0.02
+
+
 def test_model_sums_to_one(spark):
     """Each context's probabilities over all bytes are a distribution."""
     import numpy as np
