@@ -8,8 +8,8 @@ whole sequence as one), as 64-bit hashes. Two documents are linked if 100 |A n B
 2. Each class has BANDS x ROWS MinHash samples. A band of ROWS samples is one bucket key; two sets of
    similarity 0.8 share no bucket with probability (1 - 0.8^ROWS)^BANDS, below 1e-6. All samples also fold into
    an odd sketch of BITS bits, each sample flipping one bit: the share of bits in which two sketches
-   differ estimates a high similarity without either set, and candidates below FLOOR (five standard errors
-   below 0.8) are left out.
+   differ estimates a high similarity without either set, and candidates that differ in more bits than
+   FLOOR stands for (six standard deviations above the mean at 0.8) are left out.
 3. Every bucket links its members to its least one (counted in part, joined; no pairs within the bucket). What
    passes sketch and size is confirmed on the full sets, from the texts. The links give components.
 4. Only where a bucket still holds more than one component, its members of different components
@@ -44,7 +44,7 @@ from . import common, graph, tokens
 BANDS, ROWS = 48, 6
 BITS = 512
 PERCENT = 80
-FLOOR = 0.66
+FLOOR = 0.58
 BLOCK = 1024
 LINK_BLOCK = 512
 _TEXT_BYTES = 4 << 20

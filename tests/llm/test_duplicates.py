@@ -152,3 +152,17 @@ def test_successors(odd, empty):
     last = [r for r in order if r["doc_id"] == 9_000_000_000]
     assert last[0]["next_doc_id"] is None and {r["next_doc_id"] for r in got if r["doc_id"] == 7} == {8}
     assert imatch.with_next(empty.select("doc_id", "text"), ["text"]).count() == 0
+
+
+def test_sketch_loses_less_than_bands():
+    """At similarity 0.8 the limit of differing bits lies six standard deviations above the mean."""
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), near_dedup.BANDS * near_dedup.ROWS
+    differing = []
+    for _ in range(10):
+        a = rng.integers(0, 1 << 32, (2000, n), dtype=np.uint32)
+        b = np.where(rng.random(a.shape) < 0.2, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32), a)
+        differing.append(np.bitwise_count(near_dedup.odd_sketch(a) ^ near_dedup.odd_sketch(b)).sum(axis=1, dtype=np.int64))
+    differing = np.concatenate(differing)
+    assert near_dedup.most_differing() >= differing.mean() + 6 * differing.std()
