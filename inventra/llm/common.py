@@ -21,9 +21,11 @@ def text_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is named (tests), one of this machine."""
+    """The folder that the cluster names in spark.checkpoint.dir; only in local mode without one (tests), one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -47,10 +49,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows by checkpoint() to the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables of the shared folder that go when the work that needs them is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for folder in list(self.folders.values()):
+            delete(self.spark, folder)
+        self.folders.clear()
+
+    def folder(self, name: str) -> str:
+        return self.folders.setdefault(path := shared_folder(self.spark, name), path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function of that name; the table is deleted with the others."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.folders[id(made)] = self.folders.pop(path)
+        self._frames = [*getattr(self, "_frames", []), made]
+        return made
+
+    def dropped(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df in frames:
+            if folder := self.folders.pop(id(df), None):
+                delete(self.spark, folder)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -85,14 +119,24 @@ def pick(hashed: Column, parts: int) -> Column:
     return F.pmod(hashed, F.lit(parts)).cast("int")
 
 
-#: Most ids that are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Most bytes of a side that is broadcast, and what a row of a few numbers takes there; larger sides are joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_ROW = 32 << 20, 64
+
+
+def bounded(side: DataFrame) -> DataFrame:
+    """A side of a few numbers a row, marked for broadcast only if its counted rows are within the bound."""
+    return F.broadcast(side) if side.count() * BROADCAST_ROW <= BROADCAST_BYTES else side
 
 
 def restricted(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """left_semi or left_anti join on doc_id, by broadcast only if the ids are counted and few."""
-    ids = ids.select("doc_id")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    """left_semi or left_anti join on doc_id, by broadcast only if the ids are few."""
+    return rows.join(bounded(ids.select("doc_id")), "doc_id", how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{name}{'_' * k}" for k in range(len(taken) + 1)) if n.lower() not in taken)
 
 
 #: Rows of an Arrow batch between Spark and a Python worker, unless the session sets another number; texts can be long.
@@ -113,7 +157,7 @@ def _tidied(batches, step):
 
 
 def in_batches(rows: DataFrame, step, schema: str) -> DataFrame:
-    """mapInArrow with bounded batches."""
+    """mapInArrow with bounded batches. The session's own number, if it has set one, stays."""
     conf = rows.sparkSession.conf
     if conf.get(_ROWS_KEY, "10000") == "10000":
         conf.set(_ROWS_KEY, str(BATCH_ROWS))

@@ -1,10 +1,15 @@
 """Operator 10: exact duplicates by progressive refinement.
 
-Rows are grouped by length in bytes, then by a hash of the first PREFIX characters, then by the SHA-256
-of the whole text; each step keeps only groups within groups of more than one row of the step before. Whole
-texts never move: every step groups narrow rows (a few numbers and 32 bytes), counted in part before each
-shuffle, so a group that holds a third of all rows is a handful of partial counts, and only the last join, which
-adaptive execution can split, meets its rows. Column pruning leaves the whole-text hash out of the first two steps.
+1. Rows are counted by length in bytes; only lengths of more than one row stay.
+2. Rows of these lengths are counted by length and a hash of the first PREFIX characters; only pairs of more than one row stay.
+3. Rows of these pairs, and no others, are read whole: their SHA-256 is computed and grouped.
+
+Whole texts never move: each step groups narrow rows (a few numbers and 32 bytes), counted in part before each shuffle, so a
+group that holds a third of all rows is a handful of partial counts. The pairs that survive are broadcast if they are
+within common.BROADCAST_BYTES, so the third step meets them where the text is read. Beyond that, the join would have to move
+texts; then every row of a surviving length is hashed where it is read, and the grouping itself does the second step's work.
+The groups found are few numbers a group, joined by broadcast within the same bound, else by a shuffle that adaptive
+execution can split.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays, a null
 doc_id only where all of the group are null; rows that repeat a doc_id and its text carry the same
@@ -13,7 +18,7 @@ answer; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,44 +26,53 @@ from . import common
 PREFIX = 64
 
 
-def groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = common.text_of(docs).select(
-        "doc_id",
-        F.octet_length("text").alias("bytes"),
-        F.xxhash64(F.substring("text", 1, prefix)).alias("head"),
-        F.unhex(F.sha2("text", 256)).alias("whole"),
-    )
-    n = F.count(F.lit(1))
-    # Each step counts first and then refines the counts, so that no join before the last one meets a group's rows.
-    heads = rows.groupBy("bytes", "head").agg(n.alias("n_rows"))
-    by_length = heads.groupBy("bytes").agg(F.sum("n_rows").alias("n_length")).where("n_length > 1").select("bytes")
-    by_head = heads.where("n_rows > 1").join(by_length, "bytes", "left_semi").select("bytes", "head")
-    wholes = rows.groupBy("bytes", "head", "whole").agg(F.max("doc_id").alias("keep_id"), n.alias("group_size"))
-    by_whole = wholes.where("group_size > 1").join(by_head, ["bytes", "head"], "left_semi")
-    joined = rows.join(by_whole, ["bytes", "head", "whole"], "left")
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def refined(docs: DataFrame, prefix: int, scratch: common.Scratch) -> tuple[DataFrame, list[str], DataFrame]:
+    """The rows with columns for length, prefix hash and (survivors only) whole hash; these columns' names; the groups of more than one row by them, with keep_id, copies (rows of that id) and group_size."""
+    names = [common.fresh(docs, c) for c in ("length", "head", "whole")]
+    length, head, whole = names
+    some = common.fresh(docs, "survives")
+    rows = docs.withColumns({length: F.octet_length(_text()), head: F.xxhash64(F.substring(_text(), 1, prefix))})
+    n = F.count(F.lit(1)).alias("n")
+    lengths = scratch.written(rows.groupBy(length).agg(n).where("n > 1").select(length), "lengths")
+    same_length = rows.join(common.bounded(lengths), length, "left_semi")
+    pairs = scratch.written(same_length.groupBy(length, head).agg(n).where("n > 1").select(length, head, F.lit(True).alias(some)), "heads")
+    sha = F.unhex(F.sha2(_text(), 256))
+    if pairs.count() * common.BROADCAST_ROW <= common.BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(pairs), [length, head], "left").withColumn(whole, F.when(F.col(some), sha)).drop(some)
+    else:
+        rows = rows.withColumn(whole, sha)
+    each = rows.where(F.col(whole).isNotNull()).groupBy(*names, F.col("doc_id").cast("long").alias("i")).agg(n)
+    last = F.max(F.struct("i", "n"))
+    groups = each.groupBy(*names).agg(last["i"].alias("keep_id"), last["n"].alias("copies"), F.sum("n").alias("group_size")).where("group_size > 1")
+    return rows, names, scratch.written(groups, "groups")
+
+
+def groups(docs: DataFrame, prefix: int = PREFIX, scratch: common.Scratch | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row. The last is of the row's own text, computed as it is returned.
+
+    The rows read narrow tables of the scratch; without one, these stay in the shared folder."""
+    rows, names, found = refined(common.text_of(docs), prefix, scratch or common.Scratch(docs.sparkSession))
+    joined = rows.join(common.bounded(found), names, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("whole")).alias("text_sha256"),
-    )
-
-
-def keepers(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat a doc_id and its text, one stays."""
-    found = groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    found = common.written(found, "exact")
-    lost = found.where("not kept").drop("kept").distinct()
-    lost = F.broadcast(lost) if lost.count() <= common.BROADCAST_IDS else lost
-    rows = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = rows.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_anti")
-    repeated = found.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_text_sha"])
-    return rows.drop("_text_sha")
+    sha = F.coalesce(F.lower(F.hex(names[2])), F.sha2(_text(), 256))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), sha.alias("text_sha256"))
+
+
+def keepers(docs: DataFrame, scratch: common.Scratch, prefix: int = PREFIX) -> DataFrame:
+    """The rows that stay, with all their columns; of rows that repeat a doc_id and its text, one stays. Reads tables of the scratch."""
+    rows, names, found = refined(docs, prefix, scratch)
+    keep_id, copies = common.fresh(docs, "keep_id"), common.fresh(docs, "copies")
+    found = found.select(*names, F.col("keep_id").alias(keep_id), F.col("copies").alias(copies))
+    joined = rows.join(common.bounded(found), names, "left")
+    joined = joined.where(F.col(copies).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)))
+    if not found.where(F.col(copies) > 1).isEmpty():
+        once = joined.where(F.col(copies) > 1).dropDuplicates(names)
+        joined = joined.where(F.coalesce(F.col(copies), F.lit(1)) == 1).unionByName(once)
+    return joined.select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,20 +11,22 @@ whole sequence as one), as 64-bit hashes. Two documents are linked if 100 |A n B
    differ estimates a high similarity without either set, and candidates that differ in more bits than
    FLOOR stands for (six standard deviations above the mean at 0.8) are left out.
 3. Every bucket links its members to its least one (counted in part, joined; no pairs within the bucket). What
-   passes sketch and size is confirmed on the full sets, from the texts. The links give components.
+   passes sketch and size is confirmed on the full sets, from the texts; the least one's text is sent once for every
+   SALT_ROWS of its partners. The links give components.
 4. Only where a bucket still holds more than one component, its members of different components
    are compared by sketch, BLOCK by BLOCK members to a task, and each such block gives a spanning forest of what passes,
    so never more edges than it has members. The trees give clusters, each document in one of them. A
-   cluster's texts meet in blocks of LINK_BLOCK, where a prefix index over the block's own rarest shingles finds
-   exactly the pairs that can be similar enough; confirmed links that join two components are kept. So a
-   bucket of thousands of copies costs one confirmation each, documents that share a long common passage
-   cost one reading each, and no link between different components is lost.
+   cluster's texts meet in blocks of LINK_BLOCK texts or LINK_SHINGLES shingles, where a prefix index over the block's own
+   rarest shingles finds exactly the pairs that can be similar enough and its postings count what they have in common;
+   confirmed links that join two components are kept. So a bucket of thousands of copies costs one confirmation each, and
+   no link between different components is lost. A cluster of more than a block is read once for each of its blocks.
 
-Nothing but counts reaches the driver.
+Nothing but counts reaches the driver. Tables of the steps are deleted as soon as the next is written; the result is a table
+in the shared folder.
 
 Defined results: texts that are null or without words have empty sets and are linked with nothing; a
 row with a null doc_id is linked with nothing, its component is null and it is kept; rows that share a
-doc_id are one node; an empty table gives no rows; other columns are not read.
+doc_id are one node, with all links of all their texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,8 +47,10 @@ BANDS, ROWS = 48, 6
 BITS = 512
 PERCENT = 80
 FLOOR = 0.58
-BLOCK = 1024
-LINK_BLOCK = 512
+#: Sketches of a block; texts and shingles of a block of a cluster; partners of a document that meet one copy of its text.
+BLOCK = 8192
+LINK_BLOCK, LINK_SHINGLES = 4096, 2 << 20
+SALT_ROWS = 1024
 _TEXT_BYTES = 4 << 20
 _WORDS = BITS // 64
 _SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
@@ -150,24 +154,39 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that are similar enough, from rows sorted by (u, salt): u's own texts (v is null), then its partners'."""
+    key, pivots = None, []
     for batch in batches:
-        u, v, keep = batch.column("u"), batch.column("v"), []
-        for a, b in tokens.blocks(batch.column("text_v"), _TEXT_BYTES):
-            left = batch.column("text_u").slice(a, b - a).dictionary_encode()
-            sets, code = shingles(left.dictionary, width), left.indices.to_pylist()
-            for i, (k, other) in enumerate(zip(code, shingles(batch.column("text_v").slice(a, b - a), width), strict=True)):
-                both = len(np.intersect1d(sets[k], other, assume_unique=True))
-                if both and 100 * both >= percent * (len(sets[k]) + len(other) - both):
-                    keep.append(a + i)
-        yield pa.RecordBatch.from_arrays([u.take(pa.array(keep, pa.int64())), v.take(pa.array(keep, pa.int64()))], ["u", "v"])
+        us, vs, salts, texts = batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("salt").to_pylist(), batch.column("text")
+        out_u, out_v = [], []
+        for a, b in tokens.blocks(texts, _TEXT_BYTES):
+            for i, own in enumerate(shingles(texts.slice(a, b - a), width), a):
+                if (us[i], salts[i]) != key:
+                    key, pivots = (us[i], salts[i]), []
+                if vs[i] is None:
+                    pivots.append(own)
+                elif any(_similar(own, other, percent) for other in pivots):
+                    out_u.append(us[i])
+                    out_v.append(vs[i])
+        yield _edges(out_u, out_v)
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+    """The pairs (u, v) whose full sets are similar enough. u's text goes once to each salt, not to each pair."""
     texts = docs.where(F.col("doc_id").isNotNull())
-    some = texts.join(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    left, right = (some.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-    return common.in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), partial(_confirm, width=width, percent=percent), "u long, v long")
+    some = common.restricted(texts, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "left_semi")
+    own = pairs.select("u", "salt").distinct().join(some.withColumnRenamed("doc_id", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "text")
+    others = pairs.join(some.withColumnRenamed("doc_id", "v"), "v").select("u", "salt", "v", "text")
+    n = common.partitions(docs.sparkSession)
+    dealt = own.unionByName(others).repartition(n, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
+    return common.in_batches(dealt, partial(_confirm, width=width, percent=percent), "u long, v long").distinct()
 
 
 def _alike(percent: int) -> Column:
@@ -231,114 +250,139 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield _edges(us, vs)
 
 
-def _prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle, set and whether it is in the set's shorter prefix, of each set's longer prefix by local rarity.
+class _Prefixes:
+    """The shingles of a block's sets, each set's in the order of local rarity.
 
     Sets as similar as percent share a shingle of the longer prefix of the larger and of the shorter prefix
     of the smaller one, whatever the order of shingles.
     """
-    flat = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((code, count[code], of))
-    code, of = code[order], of[order]
-    sizes = np.bincount(of, minlength=len(sets))
-    place = np.arange(len(of)) - np.repeat(sizes.cumsum() - sizes, sizes)
-    longer = sizes - -(-percent * sizes // 100) + 1
-    shorter = sizes - -(-2 * percent * sizes // (100 + percent)) + 1
-    keep = place < longer[of]
-    return code[keep], of[keep], (place < shorter[of])[keep]
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        of = np.repeat(np.arange(len(sets)), self.sizes)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.lexsort((code, count[code], of))
+        self.code = code[order]
+        self.start = self.sizes.cumsum() - self.sizes
+        place = np.arange(len(of)) - np.repeat(self.start, self.sizes)
+        longer = self.sizes - -(-percent * self.sizes // 100) + 1
+        self.shorter = self.sizes - -(-2 * percent * self.sizes // (100 + percent)) + 1
+        self.every = self._postings(self.code, of, len(count))
+        keep = place < longer[of]
+        self.longer = self._postings(self.code[keep], of[keep], len(count))
+
+    @staticmethod
+    def _postings(code: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return of[np.argsort(code, kind="stable")], np.concatenate([[0], np.bincount(code, minlength=n).cumsum()])
+
+    @staticmethod
+    def _meet(postings: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+        of, ends = postings
+        return np.concatenate([of[a:b] for a, b in zip(ends[codes].tolist(), ends[codes + 1].tolist(), strict=True)])
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Sets no smaller than x that can be similar enough."""
+        return np.unique(self._meet(self.longer, self.code[self.start[x] : self.start[x] + self.shorter[x]]))
+
+    def common(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """How many shingles x has in common with each of ys."""
+        own = self.code[self.start[x] : self.start[x] + self.sizes[x]]
+        return np.bincount(self._meet(self.every, own), minlength=len(self.sizes))[ys]
 
 
 def _link(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """For each block pair of a cluster, links between different components, confirmed on full sets; as many as join the components that are joined."""
     for t in _groups(batches, ["cluster", "i", "j"]):
         t = t.combine_chunks()
+        texts = t.column("text").combine_chunks()
         doc, side, component = (t.column(c).to_numpy() for c in ("doc_id", "side", "component"))
         own = t.column("i")[0] == t.column("j")[0]
-        sets = [s for a, b in tokens.blocks(t.column("text").combine_chunks(), _TEXT_BYTES) for s in shingles(t.column("text").combine_chunks().slice(a, b - a), width)]
-        sizes = np.array([len(s) for s in sets])
-        code, of, short = _prefixes(sets, percent)
-        order = np.argsort(code, kind="stable")
-        code, of, short = code[order], of[order], short[order]
-        cuts = np.flatnonzero(np.diff(code)) + 1
-        forest, tried, us, vs = _Forest(component), set(), [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
-            if b - a < 2 or (forest.label[of[a:b]] == forest.label[of[a]]).all():
+        sets = [s for a, b in tokens.blocks(texts, _TEXT_BYTES) for s in shingles(texts.slice(a, b - a), width)]
+        index, forest, us, vs = _Prefixes(sets, percent), _Forest(component), [], []
+        rank = np.empty(len(sets), np.int64)
+        rank[np.argsort(index.sizes, kind="stable")] = np.arange(len(sets))
+        for x in np.argsort(index.sizes, kind="stable").tolist():
+            if (forest.label == forest.label[x]).all():
+                break
+            y = index.candidates(x)
+            y = y[(rank[y] > rank[x]) & (forest.label[y] != forest.label[x]) & (percent * index.sizes[y] <= 100 * index.sizes[x])]
+            if not own:
+                y = y[side[y] != side[x]]
+            if not len(y):
                 continue
-            who, brief = of[a:b], short[a:b]
-            for k in range(b - a):
-                x = who[k]
-                fits = (forest.label[who] != forest.label[x]) & (sizes[who] >= sizes[x]) & (percent * sizes[who] <= 100 * sizes[x])
-                if not brief[k]:
-                    continue
-                if not own:
-                    fits &= side[who] != side[x]
-                for y in who[fits].tolist():
-                    pair = (min(x, y), max(x, y))
-                    if pair in tried or forest.label[x] == forest.label[y]:
-                        continue
-                    tried.add(pair)
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if 100 * both >= percent * (sizes[x] + sizes[y] - both):
-                        forest.join(int(x), np.array([y]))
-                        us.append(int(doc[x]))
-                        vs.append(int(doc[y]))
+            both = index.common(x, y)
+            for k in forest.join(x, y[100 * both >= percent * (index.sizes[x] + index.sizes[y] - both)]):
+                us.append(int(doc[x]))
+                vs.append(int(doc[k]))
         if us:
             yield _edges(us, vs)
 
 
-def _block_pairs(rows: DataFrame, group: str, member: str, sizes: DataFrame, block: int) -> DataFrame:
-    """Each member once for every block pair (i, j) of its group; sizes has the groups and their counts c."""
-    rows = rows.join(sizes.select(group, F.ceil(F.col("c") / block).cast("int").alias("blocks")), group)
+def _block_pairs(rows: DataFrame, group: str, member: str, sizes: DataFrame) -> DataFrame:
+    """Each member once for every block pair (i, j) of its group; sizes has the groups and their numbers of blocks."""
+    rows = rows.join(common.bounded(sizes.select(group, F.col("blocks").cast("int").alias("blocks"))), group)
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.col("own") < F.col("other")}).drop("own", "other", "blocks")
     n = common.partitions(rows.sparkSession)
     return rows.repartition(n, group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def _clusters(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """node, cluster of what may still be linked; members: band, rep, n, sketch, component."""
-    mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    dealt = _block_pairs(members, "band", "rep", mixed, block).select("band", "i", "j", "side", "rep", "n", "component", "sketch")
-    return graph.components(common.in_batches(dealt, partial(_compare, percent=percent), "u long, v long").distinct()).withColumnRenamed("component", "cluster")
+def _clusters(shared: DataFrame, label: DataFrame, sketches: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
+    """node, cluster of what may still be linked: members of buckets (band, rep) that hold more than one component."""
+    rows = shared.select("band", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    rows = scratch.written(rows, "members")
+    mixed = scratch.written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("c") / BLOCK).alias("blocks")), "mixed")
+    dealt = _block_pairs(rows.join(common.bounded(mixed.select("band")), "band", "left_semi").join(sketches, "rep"), "band", "rep", mixed)
+    edges = common.in_batches(dealt.select("band", "i", "j", "side", "rep", "n", "component", "sketch"), partial(_compare, percent=percent), "u long, v long")
+    found = graph.components(edges, scratch).withColumnRenamed("component", "cluster")
+    scratch.dropped(rows, mixed)
+    return found
 
 
-def _linked(clusters: DataFrame, label: DataFrame, docs: DataFrame, width: int, percent: int, block: int = LINK_BLOCK) -> DataFrame:
+def _linked(clusters: DataFrame, label: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
     """Confirmed links (u, v) of different components within clusters."""
-    rows = clusters.join(label, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component"))
-    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"))
-    texts = docs.where("doc_id is not null").join(rows, "doc_id")
-    dealt = _block_pairs(texts, "cluster", "doc_id", sizes, block).select("cluster", "i", "j", "side", "doc_id", "component", "text")
-    return common.in_batches(dealt, partial(_link, width=width, percent=percent), "u long, v long").distinct()
+    rows = scratch.written(clusters.join(label, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component")), "clustered")
+    n = rows.join(sketches.select(F.col("rep").alias("doc_id"), "n"), "doc_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    sizes = scratch.written(n.select("cluster", F.greatest(F.ceil(F.col("c") / LINK_BLOCK), F.ceil(F.col("n") / LINK_SHINGLES)).alias("blocks")), "sizes")
+    texts = docs.where("doc_id is not null").join(common.bounded(rows), "doc_id")
+    dealt = _block_pairs(texts, "cluster", "doc_id", sizes).select("cluster", "i", "j", "side", "doc_id", "component", "text")
+    return scratch.written(common.in_batches(dealt, partial(_link, width=width, percent=percent), "u long, v long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = common.text_of(docs)
-    signed = common.written(common.in_batches(docs, partial(_sign, width=width), _SIGNATURE), "signatures")
-    known = signed.where("n > 0 and doc_id is not null")
-    classes = common.checkpointed(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    # A class's signature is that of its least document.
-    heads = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "bands", "sketch")
-    heads = common.written(heads, "heads")
-    buckets = heads.select("rep", F.explode("bands").alias("band"))
-    pivots = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    shared = common.written(buckets.join(pivots, "band"), "buckets")
-    sketches = heads.select("rep", "n", "sketch")
-    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    stars = shared.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-    stars = common.checkpointed(stars.join(side("u"), "u").join(side("v"), "v").where(_alike(percent)).select("u", "v"))
-    first = common.checkpointed(confirmed(stars, docs, width, percent))
-    label = common.checkpointed(graph.components(first))
-    member = shared.select("band", "rep").join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component")).join(sketches, "rep")
-    clusters = common.checkpointed(_clusters(member, percent))
-    second = common.checkpointed(_linked(clusters, label, docs, width, percent))
-    if not second.isEmpty():
-        label = common.checkpointed(graph.components(first.unionByName(second)))
-    found = signed.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").join(label, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with common.Scratch(docs.sparkSession) as scratch:
+        signed = scratch.written(common.in_batches(docs, partial(_sign, width=width), _SIGNATURE), "signatures")
+        known = signed.where("n > 0 and doc_id is not null")
+        # Equal sets have equal samples, so any row's stand for the class.
+        heads = scratch.written(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "heads")
+        rows = scratch.written(signed.select("doc_id", "n", "s1", "s2").join(heads.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "rows")
+        scratch.dropped(signed)
+        # A doc_id with several texts is one node: it links the classes of its texts.
+        several = scratch.written(rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi"), "several")
+        same = rows.join(common.bounded(several), "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
+        sketches = heads.select("rep", "n", "sketch")
+        buckets = heads.select("rep", F.explode("bands").alias("band"))
+        pivots = scratch.written(buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("c")).where("pivot <> last").drop("last"), "pivots")
+        shared = scratch.written(buckets.join(common.bounded(pivots), "band"), "buckets")
+        scratch.dropped(pivots)
+        side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        pairs = shared.where("rep <> pivot").groupBy(F.col("pivot").alias("u"), F.col("rep").alias("v")).agg(F.max("c").alias("c"))
+        salt = F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / SALT_ROWS)).cast("int").alias("salt")
+        pairs = scratch.written(pairs.join(side("u"), "u").join(side("v"), "v").where(_alike(percent)).select("u", "v", salt).distinct(), "pairs")
+        first = scratch.written(confirmed(pairs, docs, width, percent).unionByName(same), "links")
+        scratch.dropped(pairs)
+        label = graph.components(first, scratch)
+        clusters = _clusters(shared, label, sketches, percent, scratch)
+        scratch.dropped(shared, first)
+        second = _linked(clusters, label, sketches, docs, width, percent, scratch)
+        if not second.isEmpty():
+            label = graph.components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second), scratch)
+        found = rows.join(label, F.col("rep") == F.col("node"), "left")
+        component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))).otherwise(F.col("doc_id"))
+        found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return common.written(found, "near")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,22 +4,30 @@ The model is over bytes, of order ORDER, one for each language, trained on all t
 labelled good and not toxic), with no bound on their number. Windows are counted in part within each
 task and added up by key; lower orders count distinct continuations; discounts follow from the counts of counts of
 each language and order. Probabilities come from joins of count tables on contexts and on shorter
-windows, dealt by key. The finished tables lie in the shared folder in shards of about SHARD_ROWS rows
-by key; a scoring task reads, shard by shard, the ones that its texts' distinct windows fall into, so
-neither a task nor the driver ever holds the whole model.
+windows, dealt by key.
+
+Scoring is a join of the documents' distinct windows with the model, both dealt into shards by model and by the window's third and
+fourth byte, so that a window, its contexts and its shorter forms of three bytes and more lie in one shard (the tables of one
+and two bytes are at most 66,000 rows a model and are read with it). A task asks once for each distinct window of its whole
+partition; requests and answers travel as packed arrays, a row for each partition and shard; each shard of the model is read once
+for SALT_CHUNKS partitions that ask. The answers go back as a file for each partition, and a second pass over the
+documents adds up log-probabilities from its own file. Texts never move. If that pass finds its rows
+dealt otherwise (a source that isn't a table), windows without an answer are looked up in the model's shards.
 
 A document's perplexity is that of its bytes. A document is rejected if it exceeds the limit of its
 language and length class: QUANTILE of the trusted documents' held-out perplexities there. For these, trusted texts are dealt
 by hash to FOLDS folds (equal texts to the same one), and each is scored by a model of its language without its fold, so
 that the limit is what unseen documents as good stay within at any size of the input. The models without a fold are
 trained together with the whole one, from the same counts less the fold's own; the discounts are those of the whole.
-Classes of fewer than CLASS_LEAST trusted documents take their language's limit.
-A language of fewer than LANGUAGE_LEAST different trusted texts has no limit: the largest of n perplexities is exceeded by
-one in n + 1 documents that are as good, and a model of a few texts finds any other text unlikely.
+Classes of fewer than class_least trusted documents (a parameter, CLASS_LEAST) take their language's limit: of fewer the QUANTILE
+is hardly more than the largest.
+A language of fewer than language_least different trusted texts (a parameter, LANGUAGE_LEAST) has no limit: the largest of n
+perplexities is exceeded by one in n + 1 documents that are as good, and a model of a few texts finds any other text unlikely.
 
 Defined results: null text is empty; empty texts, texts whose language has too few trusted texts, and rows with a null doc_id
 are kept (perplexity null for empty texts and languages with no trusted text, limit null for all of the first two); null languages are a language of their own; rows that share a
-doc_id are scored each; an empty table gives no rows; other columns are not read.
+doc_id are scored each (text_hash tells them apart); an empty table gives no rows; other columns are not read. Any number of
+languages may occur (a key has room for 1.3 million).
 """
 
 from __future__ import annotations
@@ -29,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +50,14 @@ FOLDS = 5
 MODELS = FOLDS + 1
 CLASS_LEAST = 200
 LANGUAGE_LEAST = 30
+#: Rows of a shard of the model; partitions whose requests meet one reading of a shard.
 SHARD_ROWS = 1_000_000
-MOST_LANGUAGES = 1000
-#: Bytes of text whose windows are in memory together, and for which the model is asked together.
-BLOCK, GROUP = 1 << 20, 16 << 20
+SALT_CHUNKS = 512
+#: Bytes of text whose windows are in memory together.
+BLOCK = 1 << 20
 _NO_LANGUAGE = "und"
-_SCORES = "doc_id long, lang string, n_bytes long, perplexity double"
+_SCORES = "doc_id long, text_hash long, l int, held boolean, n_bytes long, perplexity double"
+_PAIR = 40503
 
 
 def windows(texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,31 +93,24 @@ def _suffix(order: int) -> Column:
     return F.shiftleft(F.shiftright("key", 8 * order), low).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << low) - 1)))
 
 
-def _discounts(counts: DataFrame, order: int) -> dict[int, tuple[float, float, float]]:
-    """Chen and Goodman's three discounts of each language, from its whole model."""
+def _discounts(counts: DataFrame, order: int) -> DataFrame:
+    """l, d1, d2, d3: Chen and Goodman's three discounts of each language, from its whole model; a row a language."""
     model = F.shiftright("key", 8 * order)
-    rows = counts.where((F.col("n") <= 4) & (model % MODELS == 0)).groupBy((model / MODELS).cast("int").alias("l"), "n").agg(F.count(F.lit(1)).alias("c")).collect()
-    found: dict[int, tuple[float, float, float]] = {}
-    for lang in {r["l"] for r in rows}:
-        c = {r["n"]: r["c"] for r in rows if r["l"] == lang}
-        if not c.get(1) or not c.get(2):
-            continue
-        y = c[1] / (c[1] + 2 * c[2])
-        made = [k - (k + 1) * y * c.get(k + 1, 0) / c[k] if c.get(k) else 0.5 * k for k in (1, 2, 3)]
-        found[lang] = tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(made, 1))
-    return found
-
-
-def _tables(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Probabilities of an order's windows (key, p) and the weight of the lower order after each context (key, g)."""
-    known = _discounts(counts, order)
-    lang = F.floor(F.shiftright("key", 8 * order) / MODELS)
+    rows = counts.where((F.col("n") <= 4) & (model % MODELS == 0)).groupBy((model / MODELS).cast("long").alias("l"))
+    c = {k: F.col(f"c{k}") for k in range(1, 5)}
+    y = c[1] / (c[1] + 2 * c[2])
+    made = [F.when(c[k] > 0, k - (k + 1) * y * c[k + 1] / c[k]).otherwise(0.5 * k) for k in (1, 2, 3)]
+    known = (c[1] > 0) & (c[2] > 0)
+    held = [F.when(known, F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit((0.5, 0.75, 0.9)[k - 1])).alias(f"d{k}") for k, d in enumerate(made, 1)]
+    return rows.agg(*[F.count_if(F.col("n") == k).alias(f"c{k}") for k in range(1, 5)]).select("l", *held)
 
-    def discount(k: int) -> Column:
-        return F.coalesce(*[F.when(lang == i, F.lit(d[k])) for i, d in known.items()], F.lit((0.5, 0.75, 0.9)[k]))
 
-    held = F.when(F.col("n") == 1, discount(0)).when(F.col("n") == 2, discount(1)).otherwise(discount(2))
-    rows = counts.select("key", "n", held.alias("d"), F.shiftright("key", 8).alias("context"), _suffix(order).alias("shorter"))
+def _tables(counts: DataFrame, order: int, lower: DataFrame | None, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Probabilities of an order's windows (key, p) and the weight of the lower order after each context (key, g)."""
+    known = common.bounded(scratch.written(_discounts(counts, order), "discounts"))
+    held = F.when(F.col("n") == 1, F.coalesce("d1", F.lit(0.5))).when(F.col("n") == 2, F.coalesce("d2", F.lit(0.75))).otherwise(F.coalesce("d3", F.lit(0.9)))
+    rows = counts.withColumn("l", F.floor(F.shiftright("key", 8 * order) / MODELS)).join(known, "l", "left")
+    rows = rows.select("key", "n", held.alias("d"), F.shiftright("key", 8).alias("context"), _suffix(order).alias("shorter"))
     contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held")).select("context", "total", (F.col("held") / F.col("total")).alias("g"))
     joined = rows.join(contexts, "context")
     if lower is None:
@@ -134,101 +138,210 @@ def _windows(trusted: DataFrame) -> DataFrame:
     return rows.select(F.shiftleft(number, low).bitwiseOR(F.col("window").bitwiseAND(F.lit((1 << low) - 1))).alias("key"), F.col("m.n").alias("n"))
 
 
-def train(trusted: DataFrame) -> tuple[str, int]:
-    """Trains on rows (text, l: number of the language); the folder and the number of shards of the models' tables."""
-    counts = {ORDER: common.written(_windows(trusted), "windows")}
-    for order in range(ORDER - 1, 0, -1):
-        counts[order] = common.written(counts[order + 1].select(_suffix(order + 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "windows")
-    shards = max(1, -(-2 * sum(c.count() for c in counts.values()) // SHARD_ROWS))
-    folder, lower = common.shared_folder(trusted.sparkSession, "model"), None
-    for order in range(1, ORDER + 1):
-        p, g = _tables(counts[order], order, lower)
-        for name, rows, value in (("p", p, "p"), ("g", g, "g")):
-            out = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", value)
-            out.repartition(min(shards, 4 * common.partitions(trusted.sparkSession)), "shard").write.partitionBy("shard").parquet(f"{folder}/{name}{order}")
-        lower = trusted.sparkSession.read.schema("key long, p double").parquet(f"{folder}/p{order}")
-    return folder, shards
+class Layout:
+    """Where the model lies: folder, and for each model its first shard and its number of shards."""
+
+    def __init__(self, folder: str, windows: dict[int, int]) -> None:
+        self.folder = folder
+        n = max(windows, default=-1) + 1
+        self.count = np.array([-(-3 * windows.get(m, 0) // SHARD_ROWS) for m in range(n)], np.int64)
+        self.first = self.count.cumsum() - self.count
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        """Of each window; -1 where its model was never trained."""
+        model, pair = keys >> (8 * ORDER), (keys >> 8) & 0xFFFF
+        known = model < len(self.count)
+        out = np.full(len(keys), -1, np.int64)
+        count = np.zeros(len(keys), np.int64)
+        count[known] = self.count[model[known]]
+        at = np.flatnonzero(count)
+        out[at] = self.first[model[at]] + ((pair[at] * _PAIR) & 0xFFFF) % count[at]
+        return out
 
 
-@functools.lru_cache(maxsize=12)
-def _shard(folder: str, table: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and values of one shard."""
+def train(trusted: DataFrame, scratch: common.Scratch) -> Layout:
+    """Trains on rows (text, l: number of the language); the tables lie in the scratch's shared folder."""
+    spark = trusted.sparkSession
+    counts = {ORDER: scratch.written(_windows(trusted), "windows")}
+    for order in range(ORDER - 1, 0, -1):
+        counts[order] = scratch.written(counts[order + 1].select(_suffix(order + 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "windows")
+    layout = Layout(scratch.folder("model"), {int(r[0]): r[1] for r in counts[ORDER].groupBy(F.shiftright("key", 8 * ORDER)).count().collect()})
+    places = spark.createDataFrame([(m, int(f), int(c)) for m, (f, c) in enumerate(zip(layout.first, layout.count, strict=True))], "model long, first long, shards long")
+    lower, parts, low = None, [], []
+    for order in range(1, ORDER + 1):
+        p, g = _tables(counts[order], order, lower, scratch)
+        lower = scratch.written(p, "p")
+        for rows, table, bytes_, pair in ((lower, f"p{order}", order, F.shiftright("key", 8)), (g, f"g{order}", order - 1, F.col("key"))):
+            rows = rows.select(F.lit(table).alias("t"), "key", F.col(table[0]).alias("value"), F.shiftright("key", 8 * bytes_).alias("model"), pair.bitwiseAND(F.lit(0xFFFF)).alias("pair"))
+            (parts if order > 2 else low).append(rows)
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    n = common.partitions(spark)
+    dealt = union(parts).join(common.bounded(places), "model").select(((F.col("pair") * _PAIR).bitwiseAND(F.lit(0xFFFF)) % F.col("shards") + F.col("first")).alias("shard"), "t", "key", "value")
+    dealt.repartition(n, "shard").write.partitionBy("shard").parquet(f"{layout.folder}/shards")
+    union(low).drop("pair").repartition(n, "model").write.partitionBy("model").parquet(f"{layout.folder}/low")
+    scratch.dropped(*counts.values())
+    return layout
+
+
+def _read(path: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and values of each table below a folder."""
     import pyarrow.parquet as pq
-
-    system, path = common.open_fs(f"{folder}/{table}/shard={shard}")
     from pyarrow import fs
 
-    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+    system, where = common.open_fs(path)
+    found = []
+    for info in system.get_file_info(fs.FileSelector(where, allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with system.open_input_file(info.path) as f:
-                t = pq.read_table(f, columns=["key", table[0]])
-            keys.append(t.column(0).to_numpy())
-            values.append(t.column(1).to_numpy())
-    key = np.concatenate(keys)
-    order = np.argsort(key)
-    return key[order], np.concatenate(values)[order]
-
-
-class Model:
-    """Reads the model's tables by shards."""
-
-    def __init__(self, folder: str, shards: int) -> None:
-        self.folder, self.shards = folder, shards
-
-    def look(self, table: str, keys: np.ndarray) -> np.ndarray:
-        """Values of the keys, nan where there are none."""
-        out = np.full(len(keys), np.nan)
-        of = keys % self.shards
-        for shard in np.unique(of).tolist():
-            known, values = _shard(self.folder, table, shard)
-            at = np.flatnonzero(of == shard)
-            where = np.minimum(np.searchsorted(known, keys[at]), max(len(known) - 1, 0))
-            if len(known):
-                hit = known[where] == keys[at]
-                out[at[hit]] = values[where[hit]]
-        return out
-
-    def probability(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Of each distinct window; what was never seen falls to the shorter one, weighted by its context."""
-        if not order:
-            return np.full(len(keys), 1 / 256)
-        out = self.look(f"p{order}", keys)
-        missing = np.flatnonzero(np.isnan(out))
-        if len(missing):
-            rest = keys[missing]
-            weight = self.look(f"g{order}", rest >> 8)
-            low = 8 * (order - 1)
-            short, back = np.unique(rest >> (8 * order) << low | rest & ((1 << low) - 1), return_inverse=True)
-            out[missing] = np.where(np.isnan(weight), 1.0, weight) * self.probability(short, order - 1)[back]
-        return out
+                found.append(pq.ParquetFile(f).read(columns=["t", "key", "value"]))
+    if not found:
+        return {}
+    rows = pa.concat_tables(found).combine_chunks()
+    kind, key, value = rows.column("t").combine_chunks().dictionary_encode(), rows.column("key").to_numpy(), rows.column("value").to_numpy()
+    if isinstance(kind, pa.ChunkedArray):
+        kind = kind.combine_chunks()
+    out = {}
+    for i, table in enumerate(kind.dictionary.to_pylist()):
+        at = np.flatnonzero(kind.indices.to_numpy() == i)
+        at = at[np.argsort(key[at])]
+        out[table] = key[at], value[at]
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def _shard(folder: str, shard: int) -> dict:
+    return _read(f"{folder}/shards/shard={shard}")
+
+
+@functools.lru_cache(maxsize=4)
+def _low(folder: str, model: int) -> dict:
+    return _read(f"{folder}/low/model={model}")
+
+
+def _look(tables: dict, table: str, keys: np.ndarray) -> np.ndarray:
+    """Values of the keys, nan where there are none."""
+    out = np.full(len(keys), np.nan)
+    known, values = tables.get(table, (np.zeros(0, np.int64), np.zeros(0)))
+    if len(known):
+        where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[where] == keys
+        out[hit] = values[where[hit]]
+    return out
+
+
+def _within(tables: dict, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Probabilities of distinct windows of one shard; what was never seen falls to the shorter one, weighted by its context."""
+    if not order:
+        return np.full(len(keys), 1 / 256)
+    out = _look(tables, f"p{order}", keys)
+    missing = np.flatnonzero(np.isnan(out))
+    if len(missing):
+        rest = keys[missing]
+        weight = _look(tables, f"g{order}", rest >> 8)
+        low = 8 * (order - 1)
+        short, back = np.unique(rest >> (8 * order) << low | rest & ((1 << low) - 1), return_inverse=True)
+        out[missing] = np.where(np.isnan(weight), 1.0, weight) * _within(tables, short, order - 1)[back]
+    return out
+
+
+def probability(layout: Layout, keys: np.ndarray) -> np.ndarray:
+    """Of distinct windows, read from the model's shards; nan where the model was never trained."""
+    out, of = np.full(len(keys), np.nan), layout.shard(keys)
+    for shard in np.unique(of[of >= 0]).tolist():
+        at = np.flatnonzero(of == shard)
+        model = int(keys[at[0]] >> (8 * ORDER))
+        out[at] = _within(_shard(layout.folder, shard) | _low(layout.folder, model), keys[at])
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of rows (text, m: number of the model), their distinct windows, where these are, and the texts' sizes."""
+    for batch in batches:
+        texts, number = batch.column("text"), batch.column("m").to_numpy()
+        for a, b in tokens.blocks(texts, BLOCK):
+            keys, sizes = windows(texts.slice(a, b - a).to_pylist(), number[a:b])
+            yield batch.slice(a, b - a), *np.unique(keys, return_inverse=True), sizes
+
+
+def _ask(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of a partition, a row a shard."""
+    every, fresh, n = np.zeros(0, np.int64), [], 0
+    for _, distinct, _, _ in _blocks(batches):
+        fresh.append(distinct)
+        n += len(distinct)
+        if n > max(1 << 20, len(every)):
+            every, fresh, n = np.unique(np.concatenate([every, *fresh])), [], 0
+    every = np.unique(np.concatenate([every, *fresh]))
+    of = layout.shard(every)
+    order = np.argsort(of, kind="stable")
+    every, of = every[order], of[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else [0]
+    chunk = TaskContext.get().partitionId()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if of[a] >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([of[a]], pa.int64()), pa.array([every[a:b].astype("<i8").tobytes()], pa.binary())], ["chunk", "shard", "keys"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Bits of each row's windows; rows come sorted by shard."""
+    for batch in batches:
+        for i, raw in enumerate(batch.column("keys")):
+            bits = -np.log2(probability(layout, np.frombuffer(raw.as_py(), "<i8")))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), batch.column("keys").slice(i, 1), pa.array([bits.astype("<f8").tobytes()], pa.binary())], ["chunk", "keys", "bits"])
 
 
-def _totals(model: Model, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
-    """Bits of each text of some blocks; the model is asked once for all their distinct windows."""
-    every = np.unique(np.concatenate([distinct for distinct, _, _ in parts]))
-    bits = -np.log2(model.probability(every))
-    for distinct, back, sizes in parts:
-        own = bits[np.searchsorted(every, distinct)][back]
-        yield np.bincount(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), weights=own, minlength=len(sizes))
+def _deliver(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes each partition's answers, sorted by window, as one file; rows come sorted by chunk."""
+    chunk, keys, bits = None, [], []
 
+    def put() -> pa.RecordBatch:
+        key, value = np.frombuffer(b"".join(keys), "<i8"), np.frombuffer(b"".join(bits), "<f8")
+        order = np.argsort(key)
+        common.write_file(f"{folder}/{chunk}.bin", key[order].tobytes() + value[order].tobytes())
+        return pa.RecordBatch.from_pydict({"chunk": [chunk], "n": [len(key)]})
 
-def _score(batches: Iterator[pa.RecordBatch], folder: str, shards: int, langs: list[str], known: list[bool]) -> Iterator[pa.RecordBatch]:
-    """Perplexities of rows (doc_id, text, m: number of the model)."""
-    model = Model(folder, shards)
     for batch in batches:
-        texts, number = batch.column("text"), batch.column("m").to_numpy()
-        lang = number // MODELS
-        for x, y in tokens.blocks(texts, GROUP):
-            parts = []
-            for a, b in tokens.blocks(texts.slice(x, y - x), BLOCK):
-                keys, sizes = windows(texts.slice(x + a, b - a).to_pylist(), number[x + a : x + b])
-                distinct, back = np.unique(keys, return_inverse=True)
-                parts.append((distinct, back.astype(np.int32), sizes))
-            total, sizes = np.concatenate(list(_totals(model, parts))), np.concatenate([p[2] for p in parts])
-            own = np.array([known[k] for k in lang[x:y].tolist()], bool) & (sizes > 0)
-            value = np.exp2(total / np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(x, y - x), pa.array([langs[k] for k in lang[x:y].tolist()], pa.string()), pa.array(sizes), pa.array(value, mask=~own)], ["doc_id", "lang", "n_bytes", "perplexity"])
+        for c, k, b in zip(batch.column("chunk").to_pylist(), batch.column("keys").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            if c != chunk and keys:
+                yield put()
+                keys, bits = [], []
+            chunk = c
+            keys.append(k)
+            bits.append(b)
+    if keys:
+        yield put()
+
+
+def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
+    """Perplexities of rows (doc_id, text_hash, l, held, text, m), by the partition's answers."""
+    try:
+        raw = common.read_file(f"{folder}/{TaskContext.get().partitionId()}.bin")
+    except FileNotFoundError:
+        raw = b""
+    n = len(raw) // 16
+    known, bits = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<f8", n, 8 * n)
+    for rows, distinct, back, sizes in _blocks(batches):
+        value = np.full(len(distinct), np.nan)
+        if n:
+            at = np.minimum(np.searchsorted(known, distinct), n - 1)
+            hit = known[at] == distinct
+            value[hit] = bits[at[hit]]
+        if len(missing := np.flatnonzero(np.isnan(value) & (layout.shard(distinct) >= 0))):
+            value[missing] = -np.log2(probability(layout, distinct[missing]))
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[back], minlength=len(sizes))
+        perplexity = np.exp2(total / np.maximum(sizes, 1))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "text_hash", "l", "held")), pa.array(sizes), pa.array(perplexity, mask=np.isnan(perplexity) | (sizes == 0))], ["doc_id", "text_hash", "l", "held", "n_bytes", "perplexity"])
+
+
+def perplexities(rows: DataFrame, layout: Layout, scratch: common.Scratch) -> DataFrame:
+    """doc_id, text_hash, l, held, n_bytes, perplexity of rows (doc_id, text_hash, l, held, text, m: number of the model); a table of the scratch."""
+    n, folder = common.partitions(rows.sparkSession), scratch.folder("answers")
+    asked = common.in_batches(rows, functools.partial(_ask, layout=layout), "chunk long, shard long, keys binary")
+    asked = asked.repartition(n, "shard", F.floor(F.col("chunk") / SALT_CHUNKS)).sortWithinPartitions("shard")
+    answered = common.in_batches(asked, functools.partial(_answer, layout=layout), "chunk long, keys binary, bits binary")
+    answered = answered.repartition(n, "chunk").sortWithinPartitions("chunk")
+    scratch.written(common.in_batches(answered, functools.partial(_deliver, folder=folder), "chunk long, n long"), "delivered")
+    return scratch.written(common.in_batches(rows, functools.partial(_score, layout=layout, folder=folder), _SCORES), "scores")
 
 
 def length_class(n_bytes: Column) -> Column:
@@ -236,31 +349,33 @@ def length_class(n_bytes: Column) -> Column:
     return F.least(F.greatest(F.floor(F.log2(F.greatest(n_bytes, F.lit(1)).cast("double")) / 2) - 2, F.lit(0)), F.lit(5)).cast("int")
 
 
-def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, perplexity_limit, kept of every row."""
+def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, class_least: int = CLASS_LEAST, language_least: int = LANGUAGE_LEAST) -> DataFrame:
+    """doc_id, text_hash, lang, n_bytes, perplexity, perplexity_limit, kept of every row."""
     spark = docs.sparkSession
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(_NO_LANGUAGE))
-    langs = sorted(r[0] for r in docs.select(lang.alias("lang")).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    number = F.coalesce(*[F.when(lang == name, F.lit(i)) for i, name in enumerate(langs)], F.lit(0)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.alias("l"))
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = common.restricted(rows, good, "left_semi")
-    learnt = dict(trusted.where("text <> ''").groupBy("l").agg(F.countDistinct(F.xxhash64("text"))).collect())
-    folder, shards = train(trusted)
-    step = functools.partial(_score, folder=folder, shards=shards, langs=langs, known=[i in learnt for i in range(len(langs))])
-    perplexities = lambda rows, model: common.written(common.in_batches(rows.select("doc_id", "text", model.cast("int").alias("m")), step, _SCORES), "perplexities").withColumn("class", length_class(F.col("n_bytes")))
-    scored = perplexities(rows, F.col("l") * MODELS)
-    enough = [i for i, n in learnt.items() if n >= LANGUAGE_LEAST]
-    held = perplexities(trusted.where(F.col("l").isin(enough)), F.col("l") * MODELS + 1 + fold()).where("perplexity is not null")
-    high = F.percentile_approx("perplexity", quantile, 10_000)
-    wide = dict(held.groupBy("lang").agg(high).collect())
-    limit = {(r["lang"], r["class"]): r["q"] for r in held.groupBy("lang", "class").agg(high.alias("q"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= CLASS_LEAST}
-    table = [(name, k, limit.get((name, k), wide[name])) for name in wide for k in range(6)]
-    limits = spark.createDataFrame(table, "lang string, class int, perplexity_limit double")
-    found = scored.join(F.broadcast(limits), ["lang", "class"], "left").drop("class")
-    return found.withColumn("kept", F.coalesce(F.col("doc_id").isNull() | (F.col("perplexity") <= F.col("perplexity_limit")), F.lit(True))).select("doc_id", "lang", "n_bytes", "perplexity", "perplexity_limit", "kept")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(_NO_LANGUAGE)).alias("lang")
+    with common.Scratch(spark) as scratch:
+        names = [r[0] for r in docs.select(lang).distinct().orderBy("lang").collect()]  # a name and a number a language
+        numbers = spark.createDataFrame(list(enumerate(names)), "l int, lang string")
+        good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct()
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang)
+        rows = rows.join(common.bounded(numbers), "lang").join(common.bounded(good), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+        trusted = rows.where("good and text <> ''")
+        learnt = dict(trusted.groupBy("l").agg(F.countDistinct(F.xxhash64("text"))).collect())
+        layout = train(trusted, scratch)
+        enough = spark.createDataFrame([(i, n >= language_least) for i, n in learnt.items()], "l int, enough boolean")
+        held_model = F.struct((F.col("l") * MODELS + 1 + fold()).cast("int").alias("m"), F.lit(True).alias("held"))
+        asked = F.array_compact(F.array(F.struct((F.col("l") * MODELS).cast("int").alias("m"), F.lit(False).alias("held")), F.when(F.col("good") & (F.col("text") != "") & F.coalesce("enough", F.lit(False)), held_model)))
+        rows = rows.join(common.bounded(enough), "l", "left").select("doc_id", F.xxhash64("text").alias("text_hash"), "l", "text", F.explode(asked).alias("a"))
+        scored = perplexities(rows.select("doc_id", "text_hash", "l", "a.held", "text", "a.m"), layout, scratch).withColumn("class", length_class(F.col("n_bytes")))
+        held = scored.where("held and perplexity is not null")
+        high = F.percentile_approx("perplexity", quantile, 10_000)
+        wide = dict(held.groupBy("l").agg(high).collect())
+        limit = {(r["l"], r["class"]): r["q"] for r in held.groupBy("l", "class").agg(high.alias("q"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= class_least}
+        table = [(i, k, limit.get((i, k), wide[i])) for i in wide for k in range(6)]
+        limits = spark.createDataFrame(table, "l int, class int, perplexity_limit double")
+        found = scored.where("not held").join(common.bounded(limits), ["l", "class"], "left").join(common.bounded(numbers), "l")
+        found = found.withColumn("kept", F.coalesce(F.col("doc_id").isNull() | (F.col("perplexity") <= F.col("perplexity_limit")), F.lit(True)))
+        return common.written(found.select("doc_id", "text_hash", "lang", "n_bytes", "perplexity", "perplexity_limit", "kept"), "quality")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

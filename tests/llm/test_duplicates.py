@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from inventra.llm import exact_dedup, graph, imatch, near_dedup
+from inventra.llm import common, exact_dedup, graph, imatch, near_dedup
 
 from .conftest import SCHEMA, rows
 
@@ -20,7 +20,7 @@ def _set(text, width):
 
 def _components(docs, width):
     sets = [(i, _set(t, width)) for i, t in docs if i is not None]
-    root = {i: i for i, _ in sets}
+    root = {i: i for i, _ in sets}  # rows that share a doc_id are one node
 
     def find(x):
         while root[x] != x:
@@ -62,15 +62,39 @@ def test_near_empty(empty):
     assert near_dedup.near_duplicates(empty, 2).count() == 0
 
 
-def test_near_common_passage(spark, monkeypatch):
-    """Documents around a long common passage, at similarities around the limit, in blocks of a few."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("sizes", [(16, 8, 500), (8192, 4096, 2 << 20)])
+def test_near_common_passage(spark, monkeypatch, sizes):
+    """Documents around a long common passage, at similarities around the limit, in blocks of a few and in one."""
+    for name, size in zip(("BLOCK", "LINK_BLOCK", "LINK_SHINGLES"), sizes, strict=True):
+        monkeypatch.setattr(near_dedup, name, size)
     passage = " ".join(f"p{i}" for i in range(90))
     made = [(i, passage + " " + " ".join(f"d{i % 40}w{j}" for j in range(4 + i % 14)), None) for i in range(160)]
     docs = spark.createDataFrame(made, "doc_id long, text string, extra string")
     _check_near(docs, 2)
 
 
+def test_near_planted(spark):
+    """A large group of copies with edits at random places (similarities of 0.5 to 1 to one another), at five words."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    made = [(7 * i + 1, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < rng.choice([0.003, 0.01, 0.03]) else w for w in base)) for i in range(300)]
+    made += [(7 * i + 3, " ".join(f"z{rng.randrange(4000)}" for _ in range(100))) for i in range(50)]
+    _check_near(spark.createDataFrame(made, "doc_id long, text string"), 5)
+
+
+def test_near_one_id_several_texts(spark):
+    """Rows that share a doc_id are one node, with all links of all their texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    made = [(1, a), (2, a + " more"), (2, b), (3, b + " again"), (4, c), (4, c), (5, c + " x"), (6, "alone here"), (6, None)]
+    _check_near(spark.createDataFrame(made, "doc_id long, text string"), 2)
+
+
+def test_near_sf001(spark):
+    _check_near(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 5)
+
+
 def test_sketch_estimates():
     import numpy as np
 
@@ -85,11 +109,24 @@ def test_sketch_estimates():
     assert differing <= near_dedup.most_differing()
 
 
-def test_graph(spark):
+def test_graph(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 103), (200, 200)]
-    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
-    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for local in (1 << 20, 4):
+        monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+        with common.Scratch(spark) as scratch:
+            got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7), scratch).collect()))
+            assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+            assert graph.components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
+
+
+def test_scratch_leaves_nothing(spark):
+    system, path = common.open_fs(common.shared_root(spark))
+    from pyarrow import fs
+
+    before = {f.path for f in system.get_file_info(fs.FileSelector(path))}
+    near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string"), 2).collect()
+    after = {f.path.rsplit("/", 1)[1] for f in system.get_file_info(fs.FileSelector(path))} - {p.rsplit("/", 1)[1] for p in before}
+    assert len(after) == 1 and after.pop().startswith("near-")
 
 
 def test_exact_odd(spark, odd, empty):
@@ -104,10 +141,28 @@ def test_exact_odd(spark, odd, empty):
     order = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
     assert exact_dedup.groups(empty).count() == 0
-    kept = exact_dedup.keepers(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r["text"] or "") for r in kept.collect()) == sorted(by_text)
-    assert spark.createDataFrame([], SCHEMA).columns == kept.columns
+    with common.Scratch(spark) as scratch:
+        for docs in (odd, odd.withColumns({c: F.lit(None).cast("int") for c in ("length", "head", "whole", "keep_id", "copies", "survives")})):
+            kept = exact_dedup.keepers(docs, scratch)
+            assert kept.columns == docs.columns
+            assert sorted((r["text"] or "") for r in kept.collect()) == sorted(by_text)
+            assert exact_dedup.keepers(docs.limit(0), scratch).columns == docs.columns
+
+
+def test_exact_beyond_broadcast(odd, monkeypatch):
+    want = sorted(map(tuple, exact_dedup.groups(odd).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, exact_dedup.groups(odd).collect()), key=str) == want
+
+
+def test_exact_refines(spark):
+    """Only rows whose length and prefix are shared reach the whole hash."""
+    head = "p" * 64
+    made = [(1, "a"), (2, "bb"), (3, "cc"), (4, head + "x"), (5, head + "y"), (6, head + "y"), (7, head + "longer")]
+    with common.Scratch(spark) as scratch:
+        rows, names, found = exact_dedup.refined(spark.createDataFrame(made, "doc_id long, text string"), 64, scratch)
+        assert {r["doc_id"] for r in rows.where(F.col(names[2]).isNotNull()).collect()} == {4, 5, 6}
+        assert [(r["keep_id"], r["group_size"], r["copies"]) for r in found.collect()] == [(6, 2, 1)]
 
 
 def test_exact_sql(spark, data):

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from inventra.llm import common, language_id, licenses, quality, warc
 
@@ -30,15 +32,55 @@ def test_language_odd(spark, odd, empty):
 def test_filter_returns_every_language():
     import numpy as np
 
-    masks = np.zeros(language_id.ROWS, np.uint32)
+    masks = np.zeros((1 << 16, 1), np.uint32)
     keys = np.arange(1, 1000, dtype=np.uint64)
-    for p in language_id.positions(keys):
-        np.bitwise_or.at(masks, p, np.uint32(0b101))
+    for p in language_id.positions(keys, len(masks)):
+        np.bitwise_or.at(masks, (p, 0), np.uint32(0b101))
     found = language_id.Filter(["a", "b", "c"], "a", masks)
     assert (found.containing(keys) == 0b101).all()
     assert (found.containing(np.arange(10_000, 20_000, dtype=np.uint64)) == 0).mean() > 0.99
 
 
+def test_language_many(spark):
+    """More languages than bits of a word; every n-gram of a language is in the filter for it, and none is lost."""
+    letters = "abcdefghijklmnopqrst"
+    made = [(i, " ".join(f"{letters[k // 20]}{letters[k % 20]}{x}{y}" for x in "uvwxyz" for y in "uvwxyz"), f"l{k:02d}") for i, k in enumerate(range(80))]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    fitted = language_id.fit(docs)
+    assert fitted.masks.shape[1] == 3 and len(fitted.langs) == 80
+    got = language_id.predict(docs, fitted).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang").count() == 80 and got.where("coverage < 0.9").count() == 0
+
+
+def test_language_naive(spark, data, documents):
+    """Corrected popcounts choose as exact counts of known n-grams do."""
+    from collections import Counter
+
+    import numpy as np
+
+    docs = documents.where("lang is not null")
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.select("doc_id", "lang", "text").collect()]
+    counts = {}
+    for _, lang, text in rows:
+        for keys, _ in language_id.windows([text]):
+            counts.setdefault(lang, Counter()).update(keys.tolist())
+    share = {lang: {k: n / c.total() for k, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for s in share.values():
+        for k, v in s.items():
+            most[k] = max(most[k], v)
+    known = {lang: {k for k, v in s.items() if v >= language_id.SHARE and v >= language_id.RATIO * most[k]} for lang, s in share.items()}
+    got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    same = 0
+    for doc_id, _, text in rows:
+        keys = np.concatenate([k for k, _ in language_id.windows([text])]).tolist()
+        hits = {lang: sum(k in s for k in keys) for lang, s in known.items()}
+        best = min(hits, key=lambda k: (-hits[k], k))
+        same += got[doc_id]["lang_pred"] == best
+        assert abs(got[doc_id]["coverage"] - max(hits.values()) / len(keys)) < 0.05 or len(keys) < 200
+    assert same >= 0.98 * len(rows)
+
+
 def test_licenses(spark, odd, empty, data):
     phrases = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
@@ -99,8 +141,6 @@ def test_quality_odd(spark, odd, empty):
 
 def test_quality_keeps_thin_languages(spark):
     """A language with a handful of trusted documents, or rows without a language, lose no clean documents."""
-    from pyspark.sql import functions as F
-
     sf = "/root/testdata/sf0.01"
     labels = common.table(spark, sf, "labels")
     docs = common.table(spark, sf, "documents").withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
@@ -116,8 +156,6 @@ def test_quality_keeps_thin_languages(spark):
 
 def test_quality_limit_is_held_out(spark):
     """Poor and toxic documents are rejected, and about one clean document in a hundred that has no label."""
-    from pyspark.sql import functions as F
-
     sf = "/root/testdata/sf0.1"
     labels = common.table(spark, sf, "labels").withColumn("out", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("x"))) % 5 == 0)
     got = quality.scores(common.table(spark, sf, "documents"), labels.where("not out")).join(labels, "doc_id").where("n_bytes > 0")
@@ -130,10 +168,85 @@ def test_model_sums_to_one(spark):
     import numpy as np
 
     docs = spark.createDataFrame([("abracadabra " * 5 + "abc", 0), ("banana bandana", 0)], "text string, l int")
-    model = quality.Model(*quality.train(docs))
-    for context in (b"abra", b"anan", b"zzzz", b"bana"):
-        keys = np.int64(int.from_bytes(context, "big")) << 8 | np.arange(256, dtype=np.int64)
-        assert abs(model.probability(keys).sum() - 1) < 1e-6
+    with common.Scratch(spark) as scratch:
+        layout = quality.train(docs, scratch)
+        for context in (b"abra", b"anan", b"zzzz", b"bana"):
+            keys = np.int64(int.from_bytes(context, "big")) << 8 | np.arange(256, dtype=np.int64)
+            assert abs(quality.probability(layout, keys).sum() - 1) < 1e-6
+
+
+def _kneser_ney(texts, order=quality.ORDER):
+    """A plain interpolated modified Kneser-Ney model over bytes: a function from a text to its perplexity."""
+    from collections import Counter, defaultdict
+    from math import log2
+
+    pad = b"\0" * (order - 1)
+    padded = lambda t: pad + t.encode() if t else b""
+    counts = {order: Counter(p[i : i + order] for p in map(padded, texts) for i in range(len(p) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(w[1:] for w in counts[k + 1])
+    discount, total, weight = {}, {}, {}
+    for k, c in counts.items():
+        n = Counter(c.values())
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            discount[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3)]
+        else:
+            discount[k] = [0.5, 0.75, 0.9]
+        total[k], held = Counter(), defaultdict(float)
+        for w, m in c.items():
+            total[k][w[:-1]] += m
+            held[w[:-1]] += discount[k][min(m, 3) - 1]
+        weight[k] = {w: held[w] / m for w, m in total[k].items()}
+
+    def p(w):
+        k = len(w)
+        if not k:
+            return 1 / 256
+        if w[:-1] not in total[k]:
+            return p(w[1:])
+        m = counts[k].get(w, 0)
+        return (m - discount[k][min(m, 3) - 1] if m else 0) / total[k][w[:-1]] + weight[k][w[:-1]] * p(w[1:])
+
+    def perplexity(text):
+        row = padded(text)
+        return 2 ** (-sum(log2(p(row[i : i + order])) for i in range(len(row) - order + 1)) / len(text.encode()))
+
+    return perplexity
+
+
+def test_quality_brute_force(spark, documents, data, monkeypatch):
+    """Perplexities of the sharded join equal a plain model's; so do those of a pass whose answers are gone."""
+    monkeypatch.setattr(quality, "SHARD_ROWS", 20_000)
+    labels = common.table(spark, data, "labels")
+    docs = documents.select("doc_id", "text", "lang")
+    good = {r[0] for r in labels.where("quality = 1 and coalesce(toxic, 0) = 0").collect()}
+    rows = [(r[0], r[1] or "", r[2]) for r in docs.collect()]
+    model = _kneser_ney([t for i, t, lang in rows if i in good and lang == "en"])
+    got = {r["doc_id"]: r["perplexity"] for r in quality.scores(docs, labels).where("lang = 'en'").collect()}
+    checked = 0
+    for i, t, lang in rows:
+        if lang == "en" and 0 < len(t) < 3000:
+            assert abs(got[i] - model(t)) < 1e-9 * model(t)
+            checked += 1
+    assert checked > 30
+    monkeypatch.setattr(quality, "_deliver", _lose)
+    again = {r["doc_id"]: r["perplexity"] for r in quality.scores(docs, labels).where("lang = 'en'").collect()}
+    assert again == got
+
+
+def _lose(batches, folder):
+    for _ in batches:
+        pass
+    return iter(())
+
+
+def test_quality_class_least(spark, documents, data):
+    """A class has a limit of its own from class_least trusted documents on, else its language's."""
+    labels = common.table(spark, data, "labels")
+    limits = lambda least: {(r[0], r[1]) for r in quality.scores(documents, labels, class_least=least, language_least=2).where("perplexity_limit is not null").select("lang", "perplexity_limit").distinct().collect()}
+    wide, narrow = limits(10**9), limits(2)
+    assert len({k for k, _ in wide}) == len(wide) and len(narrow) > len(wide)
 
 
 def test_pipeline_stages(spark, documents, data):
@@ -159,9 +272,22 @@ def test_pipeline_stages(spark, documents, data):
 
 
 def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Nulls in every column, repeated rows and clashing extra columns go through all stages."""
     spark.createDataFrame([(5, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    columns = "doc_id", "text", "lang", "source", "n_chars"
-    for source in (odd, empty):
-        source.select(*columns).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    for source in (odd, odd.withColumn("lang", F.lit(None).cast("string")), empty):
+        source.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.written(stage(spark, docs, str(tmp_path)), "test-stage")
+            assert after.columns == docs.columns and after.count() <= docs.count(), name
+            docs = after
         got = corpus_pipeline.run(spark, str(tmp_path))
         assert (got.count() > 0) == (source is odd)
+
+
+def test_rejected_by_id_and_text(spark):
+    """A rejected text takes no other text of its doc_id with it."""
+    docs = spark.createDataFrame([(1, "good", 0), (1, "bad", 0), (None, "bad", 0), (None, None, 0), (2, None, 0)], "doc_id long, text string, rejected_id int")
+    gone = spark.createDataFrame([(1, "bad"), (None, ""), (2, "")], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    left = corpus_pipeline._without(docs, gone)
+    assert left.columns == docs.columns and sorted((r[0] or 0, r[1]) for r in left.collect()) == [(0, "bad"), (1, "good")]
