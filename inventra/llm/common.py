@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +115,19 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; for numbers a sort is faster than numpy's own way."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values and how often each occurs."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 def pick(hashed: Column, parts: int) -> Column:
     """A number from 0 to parts - 1 by a hash."""
     return F.pmod(hashed, F.lit(parts)).cast("int")

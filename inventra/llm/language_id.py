@@ -91,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.array(texts[langs == lang].tolist(), pa.string())
             for a, b in tokens.blocks(own, BLOCK):
                 for keys, _ in windows(own.slice(a, b - a).to_pylist()):
-                    key, n = np.unique(keys, return_counts=True)
+                    key, n = common.counted(keys)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
 

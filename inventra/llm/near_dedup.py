@@ -79,7 +79,7 @@ def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            out.append(common.distinct(rolled[a : b - width + 1]))
         elif b - a == 1 and codes[a] == void or a == b:
             out.append(np.zeros(0, np.uint64))
         else:

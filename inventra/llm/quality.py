@@ -9,7 +9,7 @@ windows, dealt by key.
 Scoring is a join of the documents' distinct windows with the model, both dealt into shards by model and by the window's third and
 fourth byte, so that a window, its contexts and its shorter forms of three bytes and more lie in one shard (the tables of one
 and two bytes are at most 66,000 rows a model and are read with it). A task asks once for each distinct window of its whole
-partition; requests and answers travel as packed arrays, a row for each partition and shard; each shard of the model is read once
+partition; requests and answers travel as compressed arrays (about 4 bytes a window), a row for each partition and shard; each shard of the model is read once
 for SALT_CHUNKS partitions that ask. The answers go back as a file for each partition, and a second pass over the
 documents adds up log-probabilities from its own file. Texts never move. If that pass finds its rows
 dealt otherwise (a source that isn't a table), windows without an answer are looked up in the model's shards.
@@ -33,10 +33,12 @@ languages may occur (a key has room for 1.3 million).
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +55,8 @@ LANGUAGE_LEAST = 30
 #: Rows of a shard of the model; partitions whose requests meet one reading of a shard.
 SHARD_ROWS = 1_000_000
 SALT_CHUNKS = 512
+#: Answers are rounded to so many steps of a bit: perplexities hold to 3e-6 of themselves.
+STEPS = 1 << 17
 #: Bytes of text whose windows are in memory together.
 BLOCK = 1 << 20
 _NO_LANGUAGE = "und"
@@ -83,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, lang = batch.column("text"), batch.column("l").to_numpy()
         for a, b in tokens.blocks(texts, BLOCK):
-            key, n = np.unique(windows(texts.slice(a, b - a).to_pylist(), lang[a:b])[0], return_counts=True)
+            key, n = common.counted(windows(texts.slice(a, b - a).to_pylist(), lang[a:b])[0])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
 
@@ -172,7 +176,7 @@ def train(trusted: DataFrame, scratch: common.Scratch) -> Layout:
         p, g = _tables(counts[order], order, lower, scratch)
         lower = scratch.written(p, "p")
         for rows, table, bytes_, pair in ((lower, f"p{order}", order, F.shiftright("key", 8)), (g, f"g{order}", order - 1, F.col("key"))):
-            rows = rows.select(F.lit(table).alias("t"), "key", F.col(table[0]).alias("value"), F.shiftright("key", 8 * bytes_).alias("model"), pair.bitwiseAND(F.lit(0xFFFF)).alias("pair"))
+            rows = rows.select(F.lit(10 * order + (table[0] == "g")).alias("t"), "key", F.col(table[0]).alias("value"), F.shiftright("key", 8 * bytes_).alias("model"), pair.bitwiseAND(F.lit(0xFFFF)).alias("pair"))
             (parts if order > 2 else low).append(rows)
     union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     n = common.partitions(spark)
@@ -197,14 +201,12 @@ def _read(path: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     if not found:
         return {}
     rows = pa.concat_tables(found).combine_chunks()
-    kind, key, value = rows.column("t").combine_chunks().dictionary_encode(), rows.column("key").to_numpy(), rows.column("value").to_numpy()
-    if isinstance(kind, pa.ChunkedArray):
-        kind = kind.combine_chunks()
+    kind, key, value = (rows.column(c).to_numpy() for c in ("t", "key", "value"))
     out = {}
-    for i, table in enumerate(kind.dictionary.to_pylist()):
-        at = np.flatnonzero(kind.indices.to_numpy() == i)
+    for t in np.unique(kind).tolist():
+        at = np.flatnonzero(kind == t)
         at = at[np.argsort(key[at])]
-        out[table] = key[at], value[at]
+        out[f"{'pg'[t % 10]}{t // 10}"] = key[at], value[at]
     return out
 
 
@@ -254,81 +256,123 @@ def probability(layout: Layout, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of rows (text, m: number of the model), their distinct windows, where these are, and the texts' sizes."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of rows (text, m: number of the model), their windows, and the texts' sizes."""
     for batch in batches:
         texts, number = batch.column("text"), batch.column("m").to_numpy()
         for a, b in tokens.blocks(texts, BLOCK):
-            keys, sizes = windows(texts.slice(a, b - a).to_pylist(), number[a:b])
-            yield batch.slice(a, b - a), *np.unique(keys, return_inverse=True), sizes
+            yield batch.slice(a, b - a), *windows(texts.slice(a, b - a).to_pylist(), number[a:b])
 
 
-def _ask(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """The distinct windows of a partition, a row a shard."""
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, compressed."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Windows with the third and fourth byte before the others, so that those of a shard lie close together; _back is the inverse."""
+    return keys >> 40 << 40 | (keys >> 8 & 0xFFFF) << 24 | keys >> 24 << 8 & 0xFFFF00 | keys & 0xFF
+
+
+def _back(turned: np.ndarray) -> np.ndarray:
+    return turned >> 40 << 40 | (turned >> 8 & 0xFFFF) << 24 | (turned >> 24 & 0xFFFF) << 8 | turned & 0xFF
+
+
+def _pieces(parts: list[tuple[int, bytes]]) -> bytes:
+    """Packed arrays of several shards in one file."""
+    return b"".join(struct.pack("<QQ", shard, len(raw)) + raw for shard, raw in parts)
+
+
+def _pieces_of(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    at = 0
+    while at < len(raw):
+        shard, n = struct.unpack_from("<QQ", raw, at)
+        yield shard, _unpacked(raw[at + 16 : at + 16 + n])
+        at += 16 + n
+
+
+def _ask(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of a partition, a row a shard; they are kept in a file as well."""
     every, fresh, n = np.zeros(0, np.int64), [], 0
-    for _, distinct, _, _ in _blocks(batches):
-        fresh.append(distinct)
-        n += len(distinct)
+    for _, keys, _ in _blocks(batches):
+        fresh.append(common.distinct(_turned(keys)))
+        n += len(fresh[-1])
         if n > max(1 << 20, len(every)):
-            every, fresh, n = np.unique(np.concatenate([every, *fresh])), [], 0
-    every = np.unique(np.concatenate([every, *fresh]))
-    of = layout.shard(every)
+            every, fresh, n = common.distinct(np.concatenate([every, *fresh])), [], 0
+    every = common.distinct(np.concatenate([every, *fresh]))
+    of = layout.shard(_back(every))
     order = np.argsort(of, kind="stable")
     every, of = every[order], of[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else [0]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
+    parts = [(int(of[a]), _packed(np.diff(every[a:b], prepend=0))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if of[a] >= 0]
     chunk = TaskContext.get().partitionId()
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if of[a] >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([of[a]], pa.int64()), pa.array([every[a:b].astype("<i8").tobytes()], pa.binary())], ["chunk", "shard", "keys"])
+    if parts:
+        common.write_file(f"{folder}/{chunk}.ask", _pieces(parts))
+    for shard, raw in parts:
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "shard", "keys"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """Bits of each row's windows; rows come sorted by shard."""
+    """Bits of each row's windows, in STEPS of a bit; rows come sorted by shard."""
     for batch in batches:
         for i, raw in enumerate(batch.column("keys")):
-            bits = -np.log2(probability(layout, np.frombuffer(raw.as_py(), "<i8")))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), batch.column("keys").slice(i, 1), pa.array([bits.astype("<f8").tobytes()], pa.binary())], ["chunk", "keys", "bits"])
+            bits = -np.log2(probability(layout, _back(_unpacked(raw.as_py()).cumsum())))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), batch.column("shard").slice(i, 1), pa.array([_packed(np.rint(bits * STEPS))], pa.binary())], ["chunk", "shard", "bits"])
 
 
 def _deliver(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes each partition's answers, sorted by window, as one file; rows come sorted by chunk."""
-    chunk, keys, bits = None, [], []
+    """Writes each partition's answers as one file; rows come sorted by chunk."""
+    chunk, parts = None, []
 
     def put() -> pa.RecordBatch:
-        key, value = np.frombuffer(b"".join(keys), "<i8"), np.frombuffer(b"".join(bits), "<f8")
-        order = np.argsort(key)
-        common.write_file(f"{folder}/{chunk}.bin", key[order].tobytes() + value[order].tobytes())
-        return pa.RecordBatch.from_pydict({"chunk": [chunk], "n": [len(key)]})
+        common.write_file(f"{folder}/{chunk}.bits", _pieces(parts))
+        return pa.RecordBatch.from_pydict({"chunk": [chunk], "n": [len(parts)]})
 
     for batch in batches:
-        for c, k, b in zip(batch.column("chunk").to_pylist(), batch.column("keys").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-            if c != chunk and keys:
+        for c, shard, raw in zip(batch.column("chunk").to_pylist(), batch.column("shard").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            if c != chunk and parts:
                 yield put()
-                keys, bits = [], []
+                parts = []
             chunk = c
-            keys.append(k)
-            bits.append(b)
-    if keys:
+            parts.append((shard, raw))
+    if parts:
         yield put()
 
 
-def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
-    """Perplexities of rows (doc_id, text_hash, l, held, text, m), by the partition's answers."""
+def _delivered(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """A partition's windows in order, and their bits."""
     try:
-        raw = common.read_file(f"{folder}/{TaskContext.get().partitionId()}.bin")
+        asked, told = (common.read_file(f"{folder}/{chunk}.{kind}") for kind in ("ask", "bits"))
     except FileNotFoundError:
-        raw = b""
-    n = len(raw) // 16
-    known, bits = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<f8", n, 8 * n)
-    for rows, distinct, back, sizes in _blocks(batches):
+        return np.zeros(0, np.int64), np.zeros(0)
+    bits = dict(_pieces_of(told))
+    keys = {shard: _back(turned.cumsum()) for shard, turned in _pieces_of(asked) if shard in bits}
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0)
+    key = np.concatenate(list(keys.values()))
+    order = np.argsort(key)
+    return key[order], np.concatenate([bits[s] for s in keys])[order] / STEPS
+
+
+def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
+    """Perplexities of rows (doc_id, text_hash, l, held, text, m), by the partition's answers."""
+    known, bits = _delivered(folder, TaskContext.get().partitionId())
+    for rows, keys, sizes in _blocks(batches):
+        distinct = common.distinct(keys)
         value = np.full(len(distinct), np.nan)
-        if n:
-            at = np.minimum(np.searchsorted(known, distinct), n - 1)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
             hit = known[at] == distinct
             value[hit] = bits[at[hit]]
         if len(missing := np.flatnonzero(np.isnan(value) & (layout.shard(distinct) >= 0))):
-            value[missing] = -np.log2(probability(layout, distinct[missing]))
-        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[back], minlength=len(sizes))
+            value[missing] = np.rint(-np.log2(probability(layout, distinct[missing])) * STEPS) / STEPS
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[np.searchsorted(distinct, keys)], minlength=len(sizes))
         perplexity = np.exp2(total / np.maximum(sizes, 1))
         yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "text_hash", "l", "held")), pa.array(sizes), pa.array(perplexity, mask=np.isnan(perplexity) | (sizes == 0))], ["doc_id", "text_hash", "l", "held", "n_bytes", "perplexity"])
 
@@ -336,9 +380,9 @@ def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> It
 def perplexities(rows: DataFrame, layout: Layout, scratch: common.Scratch) -> DataFrame:
     """doc_id, text_hash, l, held, n_bytes, perplexity of rows (doc_id, text_hash, l, held, text, m: number of the model); a table of the scratch."""
     n, folder = common.partitions(rows.sparkSession), scratch.folder("answers")
-    asked = common.in_batches(rows, functools.partial(_ask, layout=layout), "chunk long, shard long, keys binary")
+    asked = common.in_batches(rows, functools.partial(_ask, layout=layout, folder=folder), "chunk long, shard long, keys binary")
     asked = asked.repartition(n, "shard", F.floor(F.col("chunk") / SALT_CHUNKS)).sortWithinPartitions("shard")
-    answered = common.in_batches(asked, functools.partial(_answer, layout=layout), "chunk long, keys binary, bits binary")
+    answered = common.in_batches(asked, functools.partial(_answer, layout=layout), "chunk long, shard long, bits binary")
     answered = answered.repartition(n, "chunk").sortWithinPartitions("chunk")
     scratch.written(common.in_batches(answered, functools.partial(_deliver, folder=folder), "chunk long, n long"), "delivered")
     return scratch.written(common.in_batches(rows, functools.partial(_score, layout=layout, folder=folder), _SCORES), "scores")
