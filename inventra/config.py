@@ -33,6 +33,7 @@ FILE_TYPES = {"pdf": "PDF", "doc": "DOC", "docx": "DOC", "xls": "XLS", "xlsx": "
 AS_OF = "2024-06-01 00:00:00"
 
 
+# The defaults of rules and settings below, the file types and the duplicate levels above.
 @dataclass(frozen=True)
 class Rules:
     """Exclusion and scoring rules of files."""

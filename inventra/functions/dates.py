@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms that dates come in.
 _ISO, _DAY_FIRST = "yyyy-MM-dd H:m:s", "d/M/yyyy H:m:s"
 _CREATION = (_DAY_FIRST, _ISO, "yyyy-MM-dd")
 _FLEXIBLE = (_ISO, "yyyy-MM-dd H:m:s.SSSSSS", "yyyy-MM-dd", _DAY_FIRST, "d/M/yyyy", "yyyy-MM-dd'T'H:m:s", "yyyy-MM-dd'T'H:m:s.SSSSSS'Z'")

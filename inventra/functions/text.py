@@ -87,3 +87,9 @@ def log_level(line: Column) -> Column:
         test = line.contains(f" [{level}] ")
         out = F.when(test, level) if out is None else out.when(test, level)
     return out.otherwise("INFO")
+
+
+def literal_rows(spark, column: str, values: tuple[str, ...]):
+    """A few literal rows, planned as a local relation, so that joins broadcast them."""
+    shown = ", ".join("('" + v.replace("'", "\\'") + "')" for v in values)
+    return spark.sql(f"SELECT * FROM VALUES {shown} AS t({column})")

@@ -32,6 +32,19 @@ def probe(files: DataFrame, cache: DataFrame, as_of: str) -> DataFrame:
     return rows.withColumn("answer", F.coalesce("_r1", "_r2")).withColumn("hit", F.when(F.col("_k1").isNotNull(), "key").when(F.col("_k2").isNotNull(), "legacy").otherwise("miss")).drop("_key", "_old", "_k1", "_k2", "_r1", "_r2")
 
 
+def after_probe(files: DataFrame, cache: DataFrame, as_of: str) -> DataFrame:
+    """The cache after files have asked: each answer's hits grow by the files that it answered, and expired rows that were asked for are gone."""
+    fits = ignore_reason() == "ok"
+    asked = files.where(fits).select(key(F.col("fast_hash"), F.col("file_size"), F.col("prompt_hash")).alias("_key"), legacy_key(F.col("fast_hash"), F.col("prompt_hash")).alias("_old"))
+    known = cache.select("cache_key", (F.col("ttl_expiry") > F.to_timestamp(F.lit(as_of))).alias("_alive"))
+    first = asked.groupBy("_key", "_old").agg(F.count(F.lit(1)).alias("_n")).join(known.withColumnRenamed("cache_key", "_key"), "_key", "left")
+    # The older key is asked only where the newer one isn't there at all or has expired.
+    rest = first.where(~F.coalesce("_alive", F.lit(False))).select(F.col("_old").alias("cache_key"), "_n")
+    counts = first.where("_alive is not null").select(F.col("_key").alias("cache_key"), "_n").unionByName(rest).groupBy("cache_key").agg(F.sum("_n").alias("_n"))
+    rows = cache.join(counts, "cache_key", "left").where(F.col("_n").isNull() | (F.col("ttl_expiry") > F.to_timestamp(F.lit(as_of))))
+    return rows.withColumn("hits_count", (F.col("hits_count") + F.coalesce("_n", F.lit(0))).cast("int")).drop("_n")
+
+
 def put(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The newest row of each key; a replaced row's hits begin at 1 again."""
     both = cache.unionByName(new.withColumn("hits_count", F.lit(1)), allowMissingColumns=True)

@@ -6,6 +6,8 @@ A real service is wrapped by `http_classifier`; tests and queries use the offlin
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import json
 import time
 import urllib.error
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Rules
-from . import answers, prompts, rules, verdicts
+from . import answers, paging, prompts, rules, sinks, verdicts
 
 Classifier = Callable[[list[str]], list[str]]
 
@@ -27,22 +29,26 @@ def offline(texts: list[str]) -> list[str]:
     return [json.dumps({"resume": "offline", "security": {"classification": f"C{len(t) % 4}", "confidence": 50 + len(t) % 50}, "rgpd": {"risk_level": "none", "confidence": 50}, "finance": {"document_type": "none", "confidence": 0}, "legal": {"contract_type": "none", "confidence": 0}}) for t in texts]
 
 
-def http_classifier(base: str, token: str, attempts: int = 3, wait: float = 4.0, poll: float = 2.0, timeout: float = 120.0) -> Classifier:
-    """Posts each prompt, polls for its task, tries again with growing waits; five failures in a row open the circuit for 30 s."""
+def http_classifier(base: str, token: str, attempts: int = 3, wait: float = 4.0, poll: float = 2.0, timeout: float = 120.0, open_seconds: float = 30.0, busy_seconds: float = 30.0) -> Classifier:
+    """Posts each prompt (and the file that it names, if there is one), polls for its task, tries again with growing waits.
 
-    def ask(path: str, body: bytes | None) -> dict:
-        request = urllib.request.Request(base + path, body, {"Authorization": f"Bearer {token}", "Content-Type": "application/json"})
+    Five failures in a row open the circuit for open_seconds; the count is the worker's, shared by its batches.
+    """
+
+    def ask(path: str, body: bytes | None, kind: str = "application/json") -> dict:
+        request = urllib.request.Request(base + path, body, {"Authorization": f"Bearer {token}", "Content-Type": kind})
         with urllib.request.urlopen(request, timeout=10) as reply:
             return json.load(reply)
 
-    state = {"failures": 0, "open_until": 0.0}
+    state = _CIRCUITS.setdefault(base, {"failures": 0, "open_until": 0.0})
 
-    def one(text: str) -> str:
+    def one(text: str, file: tuple[str, bytes] | None = None) -> str:
+        body, kind = (json.dumps({"prompt": text}).encode(), "application/json") if file is None else multipart(text, *file)
         for k in range(attempts):
             if (left := state["open_until"] - time.monotonic()) > 0:
                 time.sleep(left)
             try:
-                task, end = ask("/api/v2/process", json.dumps({"prompt": text}).encode())["task_id"], time.monotonic() + timeout
+                task, end = ask("/api/v2/process", body, kind)["task_id"], time.monotonic() + timeout
                 while time.monotonic() < end:
                     got = ask(f"/api/v2/status/{task}", None)
                     if got.get("status") in ("completed", "failed"):
@@ -53,13 +59,27 @@ def http_classifier(base: str, token: str, attempts: int = 3, wait: float = 4.0,
             except (urllib.error.URLError, TimeoutError, KeyError, ValueError) as e:
                 state["failures"] += 1
                 if state["failures"] >= 5:
-                    state["open_until"], state["failures"] = time.monotonic() + 30, 0
+                    state["open_until"], state["failures"] = time.monotonic() + open_seconds, 0
                 busy = isinstance(e, urllib.error.HTTPError) and e.code in (429, 502, 503)
                 if k + 1 < attempts:
-                    time.sleep(30 if busy else min(10.0, wait * 2**k))
+                    time.sleep(busy_seconds if busy else min(10.0, wait * 2**k))
         return ""
 
-    return lambda texts: [one(t) for t in texts]
+    def classify(texts: list[str], files: list[tuple[str, bytes] | None] | None = None) -> list[str]:
+        return [one(t, f) for t, f in zip(texts, files or [None] * len(texts), strict=True)]
+
+    return classify
+
+
+#: Failures of each service, in this process.
+_CIRCUITS: dict[str, dict] = {}
+
+
+def multipart(prompt: str, name: str, content: bytes) -> tuple[bytes, str]:
+    """Body and type of a form with the prompt and the file."""
+    edge = f"form-{hashlib.sha256(content + prompt.encode()).hexdigest()[:32]}"
+    head = f'--{edge}\r\nContent-Disposition: form-data; name="prompt"\r\n\r\n{prompt}\r\n--{edge}\r\nContent-Disposition: form-data; name="file"; filename="{name.replace(chr(34), "")}"\r\nContent-Type: application/octet-stream\r\n\r\n'
+    return head.encode() + content + f"\r\n--{edge}--\r\n".encode(), f"multipart/form-data; boundary={edge}"
 
 
 def answered(rows: DataFrame, classifier: Classifier = offline) -> DataFrame:
@@ -72,15 +92,82 @@ def answered(rows: DataFrame, classifier: Classifier = offline) -> DataFrame:
     return rows.withColumn("content", F.pandas_udf(classify, "string")("prompt"))
 
 
-def classify_files(files: DataFrame, cache: DataFrame, as_of: str, classifier: Classifier = offline, filters: Rules = Rules()) -> DataFrame:
-    """Each file with its outcome (filtered, cached, completed, error), score and verdict."""
+_DOMAINS = ("security", "rgpd", "finance", "legal")
+_COLUMNS = {"security": "security_analysis", "rgpd": "rgpd_analysis", "finance": "finance_analysis", "legal": "legal_analysis"}
+
+
+def outcomes(files: DataFrame, cache: DataFrame, as_of: str, classifier: Classifier = offline, filters: Rules = Rules()) -> DataFrame:
+    """Each file with outcome (filtered, cached, completed, error), error, priority_score, content (the answer) and what was asked.
+
+    Files of the same hash, size and prompt are classified once; a file without a hash is its own content.
+    """
     rows = files.withColumns({"reason": rules.exclusion_reason(filters), "priority_score": rules.priority_score(filters), "prompt": prompts.build()})
     rows = rows.withColumn("prompt_hash", F.md5("prompt"))
-    left_out = rows.where("reason <> 'ok'").select("id", F.lit("filtered").alias("outcome"), F.col("reason").alias("error"), "priority_score", F.lit(None).cast("string").alias("classification"))
+    kept = ["id", "fast_hash", "file_size", "prompt_hash", "priority_score"]
+    none = F.lit(None).cast("string")
+    left_out = rows.where("reason <> 'ok'").select(*kept, F.lit("filtered").alias("outcome"), F.col("reason").alias("error"), none.alias("content"))
     probed = answers.probe(rows.where("reason = 'ok'"), cache, as_of)
-    known = probed.where("hit <> 'miss'").select("id", F.lit("cached").alias("outcome"), F.lit(None).cast("string").alias("error"), "priority_score", F.get_json_object("answer", "$.security.classification").alias("classification"))
-    missing = probed.where("hit = 'miss'").withColumn("content_key", F.concat_ws("_", F.coalesce("fast_hash", F.concat(F.lit("id"), F.col("id").cast("string"))), F.col("file_size").cast("string"), "prompt_hash"))
+    known = probed.where("hit <> 'miss'").select(*kept, F.lit("cached").alias("outcome"), none.alias("error"), F.col("answer").alias("content"))
+    content_key = F.concat_ws("_", F.coalesce("fast_hash", F.concat(F.lit("id"), F.col("id").cast("string"))), F.col("file_size").cast("string"), "prompt_hash")
+    missing = probed.where("hit = 'miss'").select(*kept, "prompt", content_key.alias("content_key"))
     once = missing.groupBy("content_key").agg(F.min("prompt").alias("prompt"))
-    told = verdicts.interpret(answered(once, classifier).withColumn("status", F.lit("completed"))).select("content_key", F.col("outcome"), "error", F.col("verdict.security.classification").alias("classification"))
-    fresh = missing.join(told, "content_key").select("id", "outcome", "error", "priority_score", "classification")
-    return left_out.unionByName(known).unionByName(fresh)
+    told = verdicts.interpret(answered(once, classifier).withColumn("status", F.lit("completed"))).select("content_key", "outcome", "error", "content")
+    return left_out.unionByName(known).unionByName(missing.join(told, "content_key").select(*kept, "outcome", "error", "content"))
+
+
+def classify_files(files: DataFrame, cache: DataFrame, as_of: str, classifier: Classifier = offline, filters: Rules = Rules()) -> DataFrame:
+    """id, outcome, error, priority_score, classification of each file."""
+    done = outcomes(files, cache, as_of, classifier, filters)
+    shown = F.when(F.col("outcome").isin("completed", "cached"), F.get_json_object(verdicts.salvage_json("content"), "$.security.classification"))
+    return done.select("id", "outcome", "error", "priority_score", shown.alias("classification"))
+
+
+@dataclasses.dataclass(frozen=True)
+class Batch:
+    """The tables after a run: all files, the responses that it adds, all of the cache; and each processed file's outcome."""
+
+    files: DataFrame
+    responses: DataFrame
+    cache: DataFrame
+    outcomes: DataFrame
+
+
+def run(files: DataFrame, cache: DataFrame, as_of: str, work: DataFrame, folder: str, classifier: Classifier = offline, filters: Rules = Rules(), ttl_hours: int = 168) -> Batch:
+    """Classifies the work and applies the outcomes to files, responses and cache.
+
+    The outcomes are first written to the folder (one that the cluster shares), so the classifier is asked once, and a run that was
+    broken off goes on from there: `resumed`.
+    """
+    spark = files.sparkSession
+    outcomes(work, cache, as_of, classifier, filters).write.mode("append").parquet(folder)
+    return applied(files, cache, as_of, spark.read.parquet(folder), ttl_hours)
+
+
+def applied(files: DataFrame, cache: DataFrame, as_of: str, done: DataFrame, ttl_hours: int = 168) -> Batch:
+    """The tables after outcomes: statuses, a response for each completed or cached file, an answer in the cache for each completed content."""
+    reason = F.when(F.col("outcome").isin("error", "filtered"), F.col("error"))
+    after = sinks.with_status(files, done.select("id", F.col("outcome").alias("status"), reason.alias("exclusion_reason"), F.lit(0).alias("seq")))
+    good = done.where(F.col("outcome").isin("completed", "cached"))
+    read = verdicts.interpret(good.select("id", "content", F.lit("completed").alias("status")))
+    rows = read.select(F.col("id").alias("fichier_id"), *[F.to_json(f"verdict.{k}").alias(_COLUMNS[k]) for k in _DOMAINS], *[f"{k}_confidence" for k in _DOMAINS], "confidence_global", "resume", F.col("content").alias("raw_response"))
+    moment = F.to_timestamp(F.lit(as_of))
+    new = done.where((F.col("outcome") == "completed") & F.col("fast_hash").isNotNull()).select(
+        answers.key(F.col("fast_hash"), F.coalesce("file_size", F.lit(0)), F.col("prompt_hash")).alias("cache_key"), F.col("content").alias("response_content"), moment.alias("created_at"), (moment + F.expr(f"make_dt_interval(0, {ttl_hours})")).alias("ttl_expiry"), F.coalesce("file_size", F.lit(0)).alias("file_size"),
+    )
+    return Batch(after, verdicts.stored(rows), answers.put(cache, new.dropDuplicates(["cache_key"])), done)
+
+
+def run_pending(files: DataFrame, cache: DataFrame, as_of: str, folder: str, limit: int | None = None, classifier: Classifier = offline, filters: Rules = Rules()) -> Batch:
+    """The pending files, the highest score first."""
+    return run(files, cache, as_of, paging.pending(files, limit), folder, classifier, filters)
+
+
+def run_errors(files: DataFrame, cache: DataFrame, as_of: str, folder: str, classifier: Classifier = offline, filters: Rules = Rules()) -> Batch:
+    """Once more, the files that ended in an error."""
+    return run(files, cache, as_of, files.where("status = 'error'"), folder, classifier, filters)
+
+
+def resumed(files: DataFrame, cache: DataFrame, as_of: str, folder: str, classifier: Classifier = offline, filters: Rules = Rules()) -> Batch:
+    """Goes on with a run that was broken off: pending files without an outcome in the folder are classified, then all outcomes are applied."""
+    done = files.sparkSession.read.parquet(folder)
+    return run(files, cache, as_of, paging.pending(files).join(done.select("id"), "id", "left_anti"), folder, classifier, filters)

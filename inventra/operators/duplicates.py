@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DUPLICATE_LEVELS, MB
 from ..functions import dates
-from ..functions.text import share
+from ..functions.text import literal_rows, share
 from .rules import has_hash, ignore_reason
 
 KEY = ["fast_hash", "file_size"]
@@ -74,7 +74,7 @@ def level_metrics(files: DataFrame) -> DataFrame:
     known = files.where(F.coalesce("fast_hash", F.lit("")) != "")
     per = known.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).select(level(F.col("n")).alias("level"), "n", (F.col("n") * F.col("file_size")).alias("bytes"))
     found = per.groupBy("level").agg(F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("families"))
-    every = files.sparkSession.createDataFrame([(x,) for x in DUPLICATE_LEVELS], "level string")
+    every = literal_rows(files.sparkSession, "level", DUPLICATE_LEVELS)
     total = known.agg(F.count(F.lit(1)).alias("total"))
     rows = every.join(found, "level", "left").join(F.broadcast(total))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -86,10 +86,21 @@ def by_name(files: DataFrame) -> DataFrame:
     return files.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def copies(files: DataFrame) -> DataFrame:
+    """The members of families but their sources: fast_hash, file_size, source_id, id, path, created; in the order of creation within a family (unreadable dates last)."""
+    rows = eligible(files).join(sources(files), KEY).where("id <> source_id")
+    made = rows.select(*KEY, "source_id", "id", "path", dates.parse_creation_time(F.col("creation_time")).alias("created"))
+    return made.orderBy("source_id", F.col("created").asc_nulls_last(), "id")
+
+
+def name_histogram(files: DataFrame) -> DataFrame:
+    """copies, name: the names that so many files have, in order; a row a name, since so many names can share a number."""
+    return by_name(files).select(F.col("n").alias("copies"), "name").orderBy("copies", "name")
+
+
 def contiguous(rows: DataFrame) -> DataFrame:
-    """Position of each tagged row when families stand together: families in the order of their first row (id descending), the source first, then by creation text; others last."""
-    pair = F.when(F.col("duplicate_tag").isNotNull(), F.struct(*KEY))
-    first = F.max("id").over(Window.partitionBy(*KEY, F.col("duplicate_tag").isNotNull()))
-    ranked = rows.withColumn("_first", F.when(pair.isNotNull(), first))
-    order = [F.col("_first").desc_nulls_last(), F.when(F.col("duplicate_tag") == "SOURCE", 0).otherwise(1), F.when(F.col("_first").isNotNull(), F.coalesce("creation_time", F.lit(""))), F.col("id").desc()]
-    return ranked.orderBy(*order).drop("_first")
+    """Tagged rows so that families stand together: families in the order of their first row (id descending), the source first, then by creation text; others last. Adds family_first."""
+    first = rows.where(F.col("duplicate_tag").isNotNull()).groupBy(*KEY).agg(F.max("id").alias("_first"))
+    ranked = rows.join(first, KEY, "left").withColumn("family_first", F.when(F.col("duplicate_tag").isNotNull(), F.col("_first"))).drop("_first")
+    order = [F.col("family_first").desc_nulls_last(), F.when(F.col("duplicate_tag") == "SOURCE", 0).otherwise(1), F.when(F.col("family_first").isNotNull(), F.coalesce("creation_time", F.lit(""))), F.col("id").desc()]
+    return ranked.orderBy(*order)

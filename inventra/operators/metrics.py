@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import GB, MB, OTHER, SENSITIVE_LEGAL, SIZE_BUCKETS, YEAR_BUCKETS
 from ..functions import dates
-from ..functions.text import share
+from ..functions.text import literal_rows, share
 
 
 def whole(c: Column) -> Column:
@@ -31,7 +31,7 @@ def thematic(joined: DataFrame, column: str, known: tuple[str, ...]) -> DataFram
     """The fixed categories and the rest, with percentages of the total."""
     kind = F.when(F.coalesce(column, F.lit("none")).isin(*known), F.coalesce(column, F.lit("none"))).otherwise(OTHER)
     found = joined.groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"))
-    every = joined.sparkSession.createDataFrame([(k,) for k in (*known, OTHER)], "category string")
+    every = literal_rows(joined.sparkSession, "category", (*known, OTHER))
     rows = every.join(found, "category", "left")
     total = F.sum(whole(F.col("n"))).over(Window.partitionBy())  # a handful of category rows
     return rows.select("category", whole(F.col("n")).alias("n_files"), whole(F.col("bytes")).alias("total_size"), share(whole(F.col("n")), total).alias("percentage"))
@@ -87,7 +87,7 @@ def size_bucket(size: Column) -> Column:
 
 
 def _with_every(found: DataFrame, names: list[str], total: DataFrame) -> DataFrame:
-    every = found.sparkSession.createDataFrame([(k,) for k in names], "category string")
+    every = literal_rows(found.sparkSession, "category", tuple(names))
     rows = every.join(found, "category", "left").join(F.broadcast(total))
     return rows.select("category", whole(F.col("n")).alias("n_files"), share(whole(F.col("n")), F.col("total")).alias("percentage"), gb(F.col("bytes")).alias("size_gb"))
 
@@ -101,7 +101,7 @@ def coarse_sizes(files: DataFrame) -> DataFrame:
     size = F.col("file_size")
     kind = F.when(size < MB, "<1MB").when(size < 10 * MB, "1-10MB").when(size < 100 * MB, "10-100MB").otherwise(">100MB")
     found = files.groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    every = files.sparkSession.createDataFrame([(k,) for k in ("<1MB", "1-10MB", "10-100MB", ">100MB")], "category string")
+    every = literal_rows(files.sparkSession, "category", ("<1MB", "1-10MB", "10-100MB", ">100MB"))
     rows = every.join(found, "category", "left").join(F.broadcast(files.agg(F.count(F.lit(1)).alias("total"))))
     return rows.select("category", whole(F.col("n")).alias("n_files"), share(whole(F.col("n")), F.col("total"), 2).alias("percentage"))
 

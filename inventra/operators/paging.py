@@ -86,6 +86,21 @@ def older(as_of: str, days: int) -> Column:
     return dates.reliable_time(F.col("last_modified"), F.col("creation_time")) < dates.days_before(as_of, days)
 
 
+AGES = ("recent_7_days", "recent_30_days", "recent_90_days", "old_1_year", "old_2_years", "dormant")
+
+
+def aged(joined: DataFrame, as_of: str, category: str, field: str = "last_modified", days: int = 365) -> DataFrame:
+    """Files of a category of age by one date, the oldest first; the date is compared as a date."""
+    moment, ago = dates.parse_time(F.col(field)), lambda n: dates.days_before(as_of, n)
+    years = lambda n: F.to_timestamp(F.lit(as_of)) - F.expr(f"make_ym_interval({n})")
+    test = {
+        "recent_7_days": moment >= ago(7), "recent_30_days": (moment >= ago(30)) & (moment < ago(7)), "recent_90_days": (moment >= ago(90)) & (moment < ago(30)),
+        "old_1_year": moment < years(1), "old_2_years": moment < years(2), "dormant": moment < ago(days),
+    }[category]
+    rows = joined.where(is_active(F.col("status")) & (F.col("file_size") > 0) & test).orderBy(moment, "id")
+    return rows.select("id", "name", "path", "file_size", field, "owner", F.coalesce("security_class", F.lit("none")).alias("classif"), F.coalesce("rgpd_risk", F.lit("none")).alias("rgpd"))
+
+
 COMBINED = {
     "c3_critical": lambda: (F.col("security_class") == "C3") & (F.col("rgpd_risk") == "critical"),
     "c3_legal": lambda: (F.col("security_class") == "C3") & F.col("legal_type").isin(*SENSITIVE_LEGAL),

@@ -36,13 +36,22 @@ def score(security: Column, rgpd: Column, mean: Column, deviation: Column) -> Co
     return 0.4 * security + 0.4 * rgpd + 0.2 * mean * (1 - F.least(deviation / 100, F.lit(0.5)))
 
 
-def scalability(calls: DataFrame) -> DataFrame:
-    """Efficiency of the workers (slowest mean against the fastest) and how many there should be."""
-    per = worker_metrics(calls)
-    wide = per.agg(F.count(F.lit(1)).alias("workers"), F.min("mean_duration").alias("lo"), F.max("mean_duration").alias("hi"), F.avg("mean_duration").alias("mean"))
-    efficiency = F.when(F.col("hi") > 0, F.col("lo") / F.col("hi")).otherwise(0.0)
-    advice = F.when(efficiency < 0.7, F.greatest(F.col("workers") - 1, F.lit(1))).when(efficiency > 0.9, F.col("workers") + 1).otherwise(F.col("workers"))
-    return wide.select("workers", F.round("mean", 4).alias("mean_duration"), F.round(F.when(F.col("mean") > 0, 60 / F.col("mean")).otherwise(0.0), 4).alias("per_minute"), F.round(efficiency, 4).alias("efficiency"), advice.alias("advised_workers"))
+#: Fixed value: the most workers that are advised.
+MOST_WORKERS = 8
+
+
+def scalability(calls: DataFrame, workers: int) -> DataFrame:
+    """One row: the calls a minute that the fastest worker could make, the part of it that is reached, how many workers there should be, and a score from 0 to 100."""
+    rate = call_metrics(calls).select("per_minute")
+    wide = worker_metrics(calls).agg(F.min("mean_duration").alias("fastest")).join(F.broadcast(rate))
+    most = F.when(F.col("fastest") > 0, 60 / F.col("fastest")).otherwise(0.0)
+    wide = wide.withColumn("most_per_minute", most)
+    reached = F.when(F.col("most_per_minute") > 0, F.col("per_minute") / F.col("most_per_minute")).otherwise(0.0)
+    each = reached / workers
+    idle = F.lit(min(MOST_WORKERS, max(2, workers)))
+    advice = F.when(F.col("per_minute") > 0, F.when(each < 0.7, max(1, workers - 1)).when(each > 0.9, min(MOST_WORKERS, workers + 1)).otherwise(idle)).otherwise(idle)
+    score = F.least(F.lit(100.0), F.col("per_minute") / workers * 10)
+    return wide.select(F.round("most_per_minute", 4).alias("most_per_minute"), F.round(reached, 4).alias("efficiency"), advice.alias("advised_workers"), F.round(score, 4).alias("score"))
 
 
 def moving_average(calls: DataFrame, rows: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from ..config import SECURITY_CLASSES
 from .paging import matching
 from .verdicts import DOMAIN_KEYS, mean_confidence
 
+#: Rows of a section of a report.
+MOST_REPORT_ROWS = 10_000
 _FLAT = {"security": ("security_analysis", "classification"), "rgpd": ("rgpd_analysis", "risk_level"), "finance": ("finance_analysis", "document_type"), "legal": ("legal_analysis", "contract_type")}
 
 
@@ -48,6 +51,25 @@ def export_statistics(joined: DataFrame) -> DataFrame:
     )
 
 
+def listing(joined: DataFrame) -> DataFrame:
+    """The seven columns of a list of files (fixed names)."""
+    found = flat(joined)
+    return found.select(F.col("name").alias("Nom"), F.col("path").alias("Chemin"), F.col("file_size").alias("Taille"), F.col("owner").alias("Propriétaire"), F.col("last_modified").alias("Modifié"), F.coalesce("security_class", F.lit("none")).alias("Classification"), F.coalesce("rgpd_risk", F.lit("none")).alias("Risque RGPD"))
+
+
+def results_table(joined: DataFrame) -> DataFrame:
+    """The nine columns of the results grid (fixed names); the confidence is the mean of those above zero."""
+    confidence = mean_confidence(*[F.col(f"{k}_confidence") for k in DOMAIN_KEYS])
+    names = {"id": "ID", "path": "File Path", "status": "Status", "security": "Security", "rgpd": "RGPD", "finance": "Finance", "legal": "Legal"}
+    return flat(joined).select(*[F.col(c).alias(n) for c, n in names.items()], confidence.alias("Confidence"), F.col("processing_time_ms").alias("Processing Time"))
+
+
+def call_table(calls: DataFrame) -> DataFrame:
+    """The ten columns of a log of test calls (fixed names); hashes are MD5, sizes bytes, issues joined by ";"."""
+    md5 = lambda c: F.md5(F.coalesce(c, F.lit("")))
+    return calls.select("iteration", "worker_id", "status", "quality_status", "api_duration", "total_duration", F.octet_length(F.coalesce("raw_response", F.lit(""))).alias("response_size"), md5("prompt").alias("prompt_hash"), md5("raw_response").alias("response_hash"), F.array_join("issues", ";").alias("issues"))
+
+
 def to_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -56,9 +78,16 @@ def to_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def report(sections: dict[str, DataFrame], parameters: dict) -> str:
-    """A business report as one JSON text; sections are small aggregates."""
-    return json.dumps({"parameters": parameters, "metrics": {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in sections.items()}}, default=str, ensure_ascii=False, indent=2)
+def report(sections: dict[str, DataFrame], parameters: dict, advice: list[str] | None = None, timestamp: str | None = None) -> str:
+    """A business report as one JSON text: when, parameters, metrics, recommendations. Sections are aggregates of a few rows; a longer one is refused."""
+    found = {}
+    for name, df in sections.items():
+        rows = df.limit(MOST_REPORT_ROWS + 1).collect()
+        if len(rows) > MOST_REPORT_ROWS:
+            raise ValueError(f"{name} has over {MOST_REPORT_ROWS} rows: export it as a table")
+        found[name] = [r.asDict(recursive=True) for r in rows]
+    when = timestamp or datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+    return json.dumps({"timestamp": when, "parameters": parameters, "metrics": found, "recommendations": advice or []}, default=str, ensure_ascii=False, indent=2)
 
 
 def backup(spark: SparkSession, source: str, target: str) -> int:
@@ -79,3 +108,22 @@ def sound(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "pat
     if not lacking and rows.where("status is null or status <> 'error'").isEmpty():
         lacking.append("no active row")
     return lacking
+
+
+def restore(spark: SparkSession, saved: str, target: str) -> int:
+    """Puts a backup in a table's place; its rows. A backup that isn't sound is refused, and the table stays."""
+    if found := sound(spark, saved):
+        raise ValueError("; ".join(found))
+    return backup(spark, saved, target)
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Empties a table; its columns stay."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def repaired(files: DataFrame) -> DataFrame:
+    """A files table with the first row of each id, unknown statuses as pending, negative sizes as 0."""
+    known = F.col("status").isin("pending", "completed", "error", "filtered", "cached") | F.col("status").isNull()
+    rows = files.withColumns({"status": F.when(known, F.col("status")).otherwise("pending"), "file_size": F.greatest("file_size", F.lit(0).cast("long"))})
+    return rows.dropDuplicates(["id"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +24,11 @@ VERDICT = T.StructType([
     T.StructField("legal", T.StructType([T.StructField("contract_type", T.StringType()), T.StructField("parties", T.ArrayType(T.StringType())), T.StructField("confidence", T.IntegerType())])),
     T.StructField("parsing_error", T.BooleanType()),
 ])
-_NESTED = re.compile(r"\{(?:[^{}]|\{[^{}]*\})*\}")
+_DECODER = json.JSONDecoder()
+
+
+#: What a text with broken accents looks like.
+CORRUPTED = (r"[a-z]\s+[a-z]\s+[a-z]", r"(?:mais|pour|avec)\s+[a-z]{1,2}\s+")
 
 
 def valid(found: object) -> bool:
@@ -58,16 +61,23 @@ def _load(text: str) -> object:
 
 
 def salvage(text: str | None) -> str | None:
-    """The verdict in a response as JSON text: the whole, else the first valid object of two levels, else the first balanced one."""
+    """The verdict in a response as JSON text: the whole, else the first valid object in it, else the first balanced one; texts of any length."""
     text = (text or "").strip()
     if len(text) < 10:
         return None
     whole = _load(text)
     if whole is not None:
         return json.dumps(whole) if valid(whole) else None
-    for part in _NESTED.findall(text) if len(text) < 1 << 16 else ():
-        if valid(found := _load(part)):
-            return json.dumps(found)
+    at = text.find("{")
+    while at >= 0:
+        try:
+            found, end = _DECODER.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            end = at + 1
+        else:
+            if valid(found):
+                return json.dumps(found)
+        at = text.find("{", end)
     found = _load(balanced(text) or "")
     return json.dumps(found) if valid(found) else None
 
@@ -88,11 +98,12 @@ def mean_confidence(*confidences: Column) -> Column:
 
 
 def interpret(responses: DataFrame) -> DataFrame:
-    """Adds outcome, error, verdict, resume and confidences to rows of (status, content)."""
+    """Adds outcome, error, verdict, resume and confidences to rows of (status, content). Where no verdict can be extracted, it is the fallback."""
     done = F.col("status") == "completed"
     content = F.coalesce("content", F.lit(""))
     rows = responses.withColumn("_json", F.when(done, salvage_json(content)))
-    rows = rows.withColumn("verdict", F.from_json("_json", VERDICT))
+    failed = done & F.col("_json").isNull() & (F.trim(content) != "")
+    rows = rows.withColumn("verdict", F.when(failed, F.from_json(F.to_json(fallback(content)), VERDICT)).otherwise(F.from_json("_json", VERDICT)))
     said = F.lower(F.coalesce(F.col("verdict.resume"), F.lit("")))
     unreadable = F.lit(False)
     for phrase in INACCESSIBLE:
@@ -117,7 +128,7 @@ def fallback(content: Column) -> Column:
     none = lambda kind, extra: F.struct(F.lit("none").alias(kind), *extra, F.lit(0).alias("confidence"))
     return F.struct(
         F.substring(F.coalesce(content, F.lit("")), 1, 500).alias("resume"),
-        F.struct(F.lit("C0").alias("classification"), F.lit(0).alias("confidence"), F.lit("").alias("justification")).alias("security"),
+        F.struct(F.lit("C0").alias("classification"), F.lit(0).alias("confidence"), F.lit("Parsing failed").alias("justification")).alias("security"),
         none("risk_level", [F.array().cast("array<string>").alias("data_types")]).alias("rgpd"),
         none("document_type", [F.array().cast("array<string>").alias("amounts")]).alias("finance"),
         none("contract_type", [F.array().cast("array<string>").alias("parties")]).alias("legal"),
@@ -128,7 +139,9 @@ def fallback(content: Column) -> Column:
 def quality(raw: Column, status: Column, error: Column) -> tuple[Column, Column]:
     """Status and issues of a raw response; later findings override earlier ones, issues add up."""
     text = F.trim(F.coalesce(raw, F.lit("")))
-    corrupted = text.rlike(r"(?i)[a-z]\s+[a-z]\s+[a-z]") | text.rlike(r"(?i)(?:mais|pour|avec)\s+[a-z]{1,2}\s+")
+    corrupted = F.lit(False)
+    for pattern in CORRUPTED:
+        corrupted |= text.rlike(f"(?i){pattern}")
     truncated = (text != "") & ~text.endswith("}")
     malformed = (status == "error") & F.coalesce(error.contains("Failed to extract JSON"), F.lit(False))
     empty = F.length(text) < 10

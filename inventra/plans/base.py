@@ -33,6 +33,7 @@ def _parsed(x: str, formats: tuple[str, ...], epoch: bool) -> str:
     return f"coalesce({tried}{f', make_timestamp(CAST(try_cast({x} AS DOUBLE) * 1000000 AS BIGINT))' if epoch else ''})"
 
 
+# The forms that dates come in.
 def parse_time(x: str) -> str:
     return _parsed(x, ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y"), True)
 

@@ -11,7 +11,7 @@ from ..operators import active as A
 from ..operators import duplicates as D
 from ..operators import paging as P
 from ..operators import rules
-from .base import ATTRIBUTES, EXT, RELIABLE, SIZE_BUCKET, human_sql, parse_creation, parse_flexible, parse_time, period_sql, query
+from .base import ATTRIBUTES, ELIGIBLE, EXT, RELIABLE, SIZE_BUCKET, human_sql, parse_creation, parse_flexible, parse_time, period_sql, query
 
 _ALIVE = "(status IS NULL OR status <> 'error')"
 RULES = Rules(excluded_paths=("*/src3/*",))
@@ -260,9 +260,22 @@ def _(t):
     return P.last_first(t.active, [F.col("file_size").desc(), F.col("id")], 3, ["owner"]).select("owner", "id", "file_size", "rank")
 
 
-@query("l10_families_together")
+_TAGGED = f"(SELECT a.id, a.creation_time, a.fast_hash, a.file_size, CASE WHEN ok AND source_id IS NOT NULL THEN CASE WHEN id = source_id THEN 'SOURCE' ELSE 'COPY_' || source_id::VARCHAR END END AS tag FROM (SELECT *, {ELIGIBLE} AS ok FROM active) a LEFT JOIN (SELECT fast_hash, file_size, first(id ORDER BY coalesce({parse_creation('creation_time')}, timestamp '9999-12-31'), id) AS source_id FROM active WHERE {ELIGIBLE} GROUP BY 1, 2 HAVING count(*) > 1) s USING (fast_hash, file_size))"
+
+
+@query("l10_families_together", f"SELECT id, tag AS duplicate_tag, creation_time, CASE WHEN tag IS NOT NULL THEN max(id) OVER (PARTITION BY fast_hash, file_size, tag IS NOT NULL) END AS family_first FROM {_TAGGED}")
+def _(t):
+    return D.contiguous(D.tagged(t.active)).select("id", "duplicate_tag", "creation_time", "family_first")
+
+
+@query("g9_copies_in_order", f"SELECT fast_hash, file_size, source_id, id, path, strftime({parse_creation('creation_time')}, '%Y-%m-%d %H:%M:%S') AS created FROM active JOIN (SELECT fast_hash, file_size, first(id ORDER BY coalesce({parse_creation('creation_time')}, timestamp '9999-12-31'), id) AS source_id FROM active WHERE {ELIGIBLE} GROUP BY 1, 2 HAVING count(*) > 1) s USING (fast_hash, file_size) WHERE {ELIGIBLE} AND id <> source_id")
 def _(t):
-    return D.contiguous(D.tagged(t.active)).select("id", "duplicate_tag", "creation_time")
+    return D.copies(t.active).withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("g6_name_histogram", "SELECT count(*) AS copies, name FROM files GROUP BY name HAVING count(*) > 1")
+def _(t):
+    return D.name_histogram(t.files)
 
 
 @query("l12_first_messages", "SELECT status, CAST(row_number() OVER (ORDER BY n DESC, status) AS INTEGER) AS rank FROM (SELECT coalesce(status, 'NULL') AS status, count(*) AS n FROM files GROUP BY 1) QUALIFY rank <= 2")
@@ -312,7 +325,7 @@ def _drill(name: str, where: str, predicate, shown: str | None = None, sized: bo
 
 for _prefix, _column, _known, _null in (("r1_security", "security_class", SECURITY_CLASSES, False), ("r2_rgpd", "rgpd_risk", GDPR_RISKS, True), ("r3_finance", "finance_type", FINANCE_TYPES, True), ("r4_legal", "legal_type", LEGAL_TYPES, True)):
     _names = ", ".join(f"'{k}'" for k in _known)
-    for _value in (_known[0], _known[-1], OTHER):
+    for _value in (*_known, OTHER):
         if _value == OTHER:
             _where = f"{_column} IS NULL OR {_column} NOT IN ({_names})"
         elif _value == "none" and _null:
@@ -321,14 +334,21 @@ for _prefix, _column, _known, _null in (("r1_security", "security_class", SECURI
             _where = f"{_column} = '{_value}'"
         _drill(f"{_prefix}_{_value.lower()}", _where, lambda c=_column, v=_value, k=_known, n=_null: P.category(c, v, k, n), _column)
 
-for _tag, _bucket in (("small", "<50MB"), ("middle", "100-150MB"), ("large", ">500MB")):
+for _tag, _bucket in (("below_50", "<50MB"), ("50", "50-100MB"), ("100", "100-150MB"), ("150", "150-200MB"), ("200", "200-300MB"), ("300", "300-500MB"), ("above_500", ">500MB")):
     _drill(f"r5_size_{_tag}", f"({SIZE_BUCKET.replace('file_size', 'coalesce(file_size, 0)')}) = '{_bucket}'", lambda b=_bucket: P.in_bucket(b), sized=False)
 
 for _days in (365, 1095):
     _drill(f"r6_older_{_days}_days", f"{RELIABLE} < timestamp '2024-06-01 00:00:00' - to_days({_days})", lambda d=_days: P.older(AS_OF, d))
 
+for _field in ("last_modified", "creation_time"):
+    for _age, _where in (
+        ("recent_7_days", "m >= b - to_days(7)"), ("recent_30_days", "m >= b - to_days(30) AND m < b - to_days(7)"), ("recent_90_days", "m >= b - to_days(90) AND m < b - to_days(30)"),
+        ("old_1_year", "m < b - to_years(1)"), ("old_2_years", "m < b - to_years(2)"), ("dormant", "m < b - to_days(500)"),
+    ):
+        query(f"r6_{_age}_{_field}", f"SELECT id, name, path, file_size, {_field}, owner, coalesce(security_class, 'none') AS classif, coalesce(rgpd_risk, 'none') AS rgpd FROM (SELECT *, {parse_time(_field)} AS m, timestamp '2024-06-01 00:00:00' AS b FROM joined) WHERE {_ALIVE} AND file_size > 0 AND {_where}")(lambda t, a=_age, f=_field: P.aged(t.joined, AS_OF, a, f, 500))
+
 for _date, _pair in (("modification", ("last_modified", "creation_time")), ("creation", ("creation_time", "last_modified"))):
-    for _period in ("0_1y", "2_3y", "6plus"):
+    for _period in ("0_1y", "1_2y", "2_3y", "3_4y", "4_5y", "5_6y", "6plus"):
         _moment = f"coalesce({parse_flexible(_pair[0])}, {parse_flexible(_pair[1])})"
         _drill(f"r8_{_date}_{_period}", f"({period_sql(_moment, False)}) = '{_period}'", lambda d=_date, p=_period: P.in_period(AS_OF, p, d))
 
@@ -344,7 +364,7 @@ def _(t):
     return D.group_sizes(t.active).where("group_size > 1 AND file_size > 0").orderBy(F.col("group_size").desc(), F.col("file_size").desc(), "id").select("id", "file_size", "group_size")
 
 
-for _tag, _test in (("1x", "group_size = 1"), ("2x", "group_size = 2"), ("3x", "group_size = 3"), ("7x", "group_size >= 7")):
+for _tag, _test in ((*((f"{k}x", f"group_size = {k}") for k in range(1, 7)), ("7x", "group_size >= 7"))):
     query(f"r10_level_{_tag}", f"SELECT id, file_size, group_size FROM {_GROUPS} WHERE {_test}")(lambda t, w=_test: D.group_sizes(t.active).where(w).select("id", "file_size", "group_size"))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import AS_OF
+from ..config import AS_OF, INVENTORY_COLUMNS
 from ..operators import answers as C
 from ..operators import batch, prompts, sinks, verdicts
 from ..operators import reliability as Q
-from .base import confidence_sql, human_sql, query
+from ..sources import inventory, shared
+from .base import ATTRIBUTES, EXT, confidence_sql, human_sql, query
 
 _CONF = confidence_sql("security_confidence", "rgpd_confidence", "finance_confidence", "legal_confidence")
 
@@ -37,9 +38,12 @@ def latest(t) -> DataFrame:
     return C.put(cache(t).limit(0), cache(t).drop("hits_count"))
 
 
-@query("c1_cached_result", _CACHE + f"SELECT count(*) AS n_alive FROM latest WHERE ttl_expiry > timestamp '{AS_OF}'")
+_ASKED = "(SELECT fast_hash || '_' || file_size::VARCHAR || '_p1' AS k, fast_hash || '_p1' AS o FROM active WHERE (CASE WHEN coalesce(file_size, 0) = 0 THEN 'z' WHEN contains(upper(fast_hash), 'ERROR') THEN 'h' WHEN regexp_matches(lower(path), '(\\.tmp|\\.temp|\\.~)$') THEN 't' ELSE 'ok' END) = 'ok')"
+
+
+@query("c1_cached_result", _CACHE + f", told AS (SELECT a.k, a.o, x.cache_key IS NOT NULL AS there, coalesce(x.ttl_expiry > timestamp '{AS_OF}', false) AS fresh FROM {_ASKED} a LEFT JOIN latest x ON a.k = x.cache_key), n AS (SELECT key, count(*) AS n FROM (SELECT k AS key FROM told WHERE there UNION ALL SELECT o FROM told WHERE NOT fresh) GROUP BY 1) SELECT cache_key, CAST(1 + coalesce(n, 0) AS INTEGER) AS hits_count FROM latest LEFT JOIN n ON cache_key = key WHERE n IS NULL OR ttl_expiry > timestamp '{AS_OF}'")
 def _(t):
-    return C.alive(latest(t), AS_OF).agg(F.count(F.lit(1)).alias("n_alive"))
+    return C.after_probe(t.active.withColumn("prompt_hash", F.lit("p1")), latest(t), AS_OF).select("cache_key", "hits_count")
 
 
 @query("j8_cache_probe", _CACHE + f", live AS (SELECT * FROM latest WHERE ttl_expiry > timestamp '{AS_OF}') SELECT f.id, coalesce(a.response_content, b.response_content) AS answer, CASE WHEN a.cache_key IS NOT NULL THEN 'key' WHEN b.cache_key IS NOT NULL THEN 'legacy' ELSE 'miss' END AS hit FROM (SELECT *, (CASE WHEN coalesce(file_size, 0) = 0 THEN 'z' WHEN contains(upper(fast_hash), 'ERROR') THEN 'h' WHEN regexp_matches(lower(path), '(\\.tmp|\\.temp|\\.~)$') THEN 't' ELSE 'ok' END) = 'ok' AS fits FROM active) f LEFT JOIN live a ON fits AND f.fast_hash || '_' || f.file_size::VARCHAR || '_p1' = a.cache_key LEFT JOIN live b ON fits AND f.fast_hash || '_p1' = b.cache_key")
@@ -93,9 +97,9 @@ def _(t):
     return Q.consistency(t.responses, "finance_type").select("distinct_values", "spread")
 
 
-@query("q5_scalability", f"WITH w AS (SELECT worker, round(avg(duration), 4) AS m FROM {_CALLS} GROUP BY 1), x AS (SELECT count(*) AS n, min(m) AS lo, max(m) AS hi, avg(m) AS mean FROM w) SELECT n AS workers, round(mean, 4) AS mean_duration, round(60 / mean, 4) AS per_minute, round(lo / hi, 4) AS efficiency, CASE WHEN lo / hi < 0.7 THEN greatest(n - 1, 1) WHEN lo / hi > 0.9 THEN n + 1 ELSE n END AS advised_workers FROM x", plain=True)
+@query("q5_scalability", f"WITH w AS (SELECT min(m) AS lo FROM (SELECT round(avg(duration), 4) AS m FROM {_CALLS} GROUP BY worker)), x AS (SELECT 60 / lo AS most, (SELECT round(60 / avg(duration) FILTER (ok), 4) FROM {_CALLS}) AS rate FROM w) SELECT round(most, 4) AS most_per_minute, round(rate / most, 4) AS efficiency, CASE WHEN rate / most / 4 < 0.7 THEN 3 WHEN rate / most / 4 > 0.9 THEN 5 ELSE 4 END AS advised_workers, round(least(100.0, rate / 4 * 10), 4) AS score FROM x", plain=True)
 def _(t):
-    return Q.scalability(calls(t))
+    return Q.scalability(calls(t), workers=4)
 
 
 for _name, _frame, _fun, _out in (("f1_moving_average", "9 PRECEDING", Q.moving_average, "avg(CAST(round(duration * 10000) AS BIGINT)) OVER w / 10000 AS moving"), ("w8_moving_average", "9 PRECEDING", Q.moving_average, "avg(CAST(round(duration * 10000) AS BIGINT)) OVER w / 10000 AS moving"), ("w9_running_mean", "UNBOUNDED PRECEDING", Q.running_mean, "avg(CAST(round(duration * 10000) AS BIGINT)) OVER w / 10000 AS running"), ("w7_running_max", "UNBOUNDED PRECEDING", Q.running_max, "max(duration) OVER w AS most"), ("f4_progress", "UNBOUNDED PRECEDING", Q.running_max, "max(duration) OVER w AS most")):
@@ -116,7 +120,7 @@ def bodies(t) -> DataFrame:
     return t.responses.select("id", F.when(F.col("id") % 13 == 0, "error").otherwise("completed").alias("status"), content.alias("content"))
 
 
-@query("v1_interpret", ", b AS (SELECT *, id % 6 AS kind, id % 13 = 0 AS failed FROM responses) SELECT id, CASE WHEN failed THEN 'error' WHEN kind IN (0, 1) THEN 'completed' ELSE 'error' END AS outcome, CASE WHEN failed THEN NULL WHEN kind IN (2, 5) THEN 'Failed to extract JSON' WHEN kind = 3 THEN 'Empty content from API' WHEN kind = 4 THEN 'File inaccessible to LLM' END AS error, CASE WHEN NOT failed AND kind IN (0, 1) THEN security_class WHEN NOT failed AND kind = 4 THEN 'N/A' END AS classification, CASE WHEN NOT failed AND kind IN (0, 1) THEN CASE WHEN security_confidence > 0 THEN (security_confidence + 40) // 2 ELSE 40 END ELSE 0 END AS confidence FROM b")
+@query("v1_interpret", ", b AS (SELECT *, id % 6 AS kind, id % 13 = 0 AS failed FROM responses) SELECT id, CASE WHEN failed THEN 'error' WHEN kind IN (0, 1) THEN 'completed' ELSE 'error' END AS outcome, CASE WHEN failed THEN NULL WHEN kind IN (2, 5) THEN 'Failed to extract JSON' WHEN kind = 3 THEN 'Empty content from API' WHEN kind = 4 THEN 'File inaccessible to LLM' END AS error, CASE WHEN NOT failed AND kind IN (0, 1) THEN security_class WHEN NOT failed AND kind = 4 THEN 'N/A' WHEN NOT failed AND kind IN (2, 5) THEN 'C0' END AS classification, CASE WHEN NOT failed AND kind IN (0, 1) THEN CASE WHEN security_confidence > 0 THEN (security_confidence + 40) // 2 ELSE 40 END ELSE 0 END AS confidence FROM b")
 def _(t):
     rows = verdicts.interpret(bodies(t))
     return rows.select("id", "outcome", "error", F.col("verdict.security.classification").alias("classification"), F.col("confidence_global").alias("confidence"))
@@ -156,12 +160,109 @@ def _(t):
     return t.raw("documents").select("doc_id", n.cast("long").alias("n_bytes"), prompts.colour(n).alias("colour"), prompts.within(n).alias("within"))
 
 
-@query("u6_batch_status")
+_RULE = f"CASE WHEN {EXT} IN ('.tmp', '.log', '.bak', '.cache', '.zip') THEN 'blocked_extension' WHEN coalesce(file_size, 0) < 100 THEN 'too_small' WHEN coalesce(file_size, 0) > 104857600 THEN 'too_large' WHEN list_contains({ATTRIBUTES}, 'system') THEN 'system_file' ELSE 'ok' END"
+
+
+@query("u6_batch_status", f"SELECT CASE WHEN ({_RULE}) = 'ok' THEN 'completed' ELSE 'filtered' END AS outcome, count(*) AS n FROM files WHERE status = 'pending' GROUP BY 1")
 def _(t):
     done = batch.classify_files(t.files.where("status = 'pending'"), latest(t), AS_OF)
     return done.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _after(status: str) -> str:
+    """Files and their new responses after a run over a status, by the offline classifier's formula."""
+    told = f"status = '{status}' AND ({_RULE}) = 'ok'"
+    return f"SELECT id, CASE WHEN {told} THEN 'completed' WHEN status = '{status}' THEN 'filtered' ELSE status END AS status, CASE WHEN status = '{status}' THEN nullif({_RULE}, 'ok') ELSE exclusion_reason END AS exclusion_reason, CASE WHEN {told} THEN 'C' || (length({_PROMPT}) % 4)::VARCHAR END AS classification FROM files"
+
+
+def _shown(done: batch.Batch) -> DataFrame:
+    told = done.responses.select(F.col("fichier_id").alias("id"), F.col("security_cached").alias("classification"))
+    return done.files.select("id", "status", "exclusion_reason").join(told, "id", "left")
+
+
+@query("u7_run_batch", _after("pending"))
+def _(t):
+    return _shown(batch.run_pending(t.files, latest(t), AS_OF, shared.folder(t.spark, "outcomes")))
+
+
+@query("u8_run_errors", _after("error"))
+def _(t):
+    return _shown(batch.run_errors(t.files, latest(t), AS_OF, shared.folder(t.spark, "outcomes")))
+
+
+@query("f7_resumed", _after("pending"))
+def _(t):
+    folder = shared.folder(t.spark, "outcomes")
+    batch.run(t.files, latest(t), AS_OF, t.files.where("status = 'pending' AND id % 3 = 0"), folder)
+    return _shown(batch.resumed(t.files, latest(t), AS_OF, folder))
+
+
+@query("k7_listing", "SELECT name AS \"Nom\", path AS \"Chemin\", file_size AS \"Taille\", owner AS \"Propriétaire\", last_modified AS \"Modifié\", coalesce(security_class, 'none') AS \"Classification\", coalesce(rgpd_risk, 'none') AS \"Risque RGPD\" FROM joined")
+def _(t):
+    return sinks.listing(t.joined)
+
+
+@query("k8_results_table", f"SELECT id AS \"ID\", path AS \"File Path\", status AS \"Status\", coalesce(security_class, 'N/A') AS \"Security\", coalesce(rgpd_risk, 'N/A') AS \"RGPD\", coalesce(finance_type, 'N/A') AS \"Finance\", coalesce(legal_type, 'N/A') AS \"Legal\", {_CONF} AS \"Confidence\", processing_time_ms AS \"Processing Time\" FROM joined")
+def _(t):
+    return sinks.results_table(t.joined)
+
+
+@query("k10_call_table", "SELECT event_id AS iteration, user_id AS worker_id, event_type AS status, 'success' AS quality_status, value AS api_duration, value * 2 AS total_duration, CAST(strlen(props) AS INTEGER) AS response_size, md5('p') AS prompt_hash, md5(props) AS response_hash, 'a;b' AS issues FROM events", plain=True)
+def _(t):
+    lit = F.lit
+    return sinks.call_table(t.events.select(F.col("event_id").alias("iteration"), F.col("user_id").alias("worker_id"), F.col("event_type").alias("status"), lit("success").alias("quality_status"), F.col("value").alias("api_duration"), (F.col("value") * 2).alias("total_duration"), F.col("props").alias("raw_response"), lit("p").alias("prompt"), F.array(lit("a"), lit("b")).alias("issues")))
+
+
+@query("v2_salvaged", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'C1' WHEN 1 THEN 'C2' END AS classification FROM documents", plain=True)
+def _(t):
+    """Verdicts in prose of any length: after braces that hold no JSON, after an object that is no verdict, and none."""
+    text, kind = F.col("text"), F.col("doc_id") % 3
+    content = F.when(kind == 0, F.concat(F.lit("note {x} "), text, F.lit(' {"security": {"classification": "C1"}} '), text)).when(kind == 1, F.concat(F.lit('{"a": {"b": 1}} '), F.repeat(text, 40), F.lit('{"security": {"classification": "C2"}}'))).otherwise(F.concat(F.lit("{ none "), text))
+    return t.raw("documents").select(F.col("doc_id").alias("id"), F.get_json_object(verdicts.salvage_json(content), "$.security.classification").alias("classification"))
+
+
+def inventory_csv(t, quoted: bool) -> str:
+    """An inventory file written from the documents, a line in five with a stray quote; its folder."""
+    quote = (lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))) if quoted else (lambda c: c)
+    given = {"Name": F.concat(F.lit("n, "), F.col("doc_id").cast("string"), F.lit('".txt')) if quoted else F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".txt")), "Extension": F.lit("PDF"), "UNCDirectory": F.lit("/share"), "Readable": F.lit("True"), "FileSize": F.col("n_chars").cast("string"), "FileAttributes": F.lit("Hidden"), "FastHash": F.substring(F.md5("text"), 1, 16), "FileSignature": F.lit("file.pdf")}
+    fields = [quote(given[c]) if i in inventory.QUOTED and c in given else given.get(c, F.lit("x")) for i, c in enumerate(INVENTORY_COLUMNS)]
+    line = F.concat_ws(",", *fields)
+    line = F.when(F.col("doc_id") % 5 == 0, F.concat(line, F.lit('y"z"'))).otherwise(line)
+    folder = shared.folder(t.spark, "inventory")
+    t.raw("documents").select(F.struct(F.lit(0).alias("o"), "doc_id").alias("o"), line.alias("value")).repartitionByRange(3, "o").sortWithinPartitions("o").select("value").write.option("header", True).option("quote", "\u0000").option("escape", "\u0000").option("sep", "\u0001").csv(folder)
+    return folder
+
+
+@query("a8_ingest", "SELECT '/share/n, ' || doc_id || '\".txt' AS path, '.pdf' AS extension, n_chars AS file_size, 'pending' AS status, CASE WHEN n_chars < 100 THEN 'too_small' END AS exclusion_reason, CAST(trunc(least(n_chars::DOUBLE / 104857600.0::DOUBLE, 1.0::DOUBLE) * 30 + 65.0::DOUBLE) AS INTEGER) AS priority_score, 'hidden_file' AS flags, CASE WHEN doc_id % 5 = 0 THEN 'file.pdfyz' ELSE 'file.pdf' END AS file_signature FROM documents", plain=True)
+def _(t):
+    target = shared.folder(t.spark, "files")
+    inventory.ingest(t.spark, inventory_csv(t, True), target)
+    return t.spark.read.parquet(target).select("path", "extension", "file_size", "status", "exclusion_reason", "priority_score", F.array_join(F.array_except("special_flags", F.array(F.lit("signature_mismatch"))), ",").alias("flags"), "file_signature")
+
+
+@query("a2_strict_lines", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'DirectoryType must not be quoted' ELSE '2 fields instead of 19' END AS faults FROM documents", plain=True)
+def _(t):
+    good = [f'"{c}"' if i in {*range(6), 12, *range(15, 19)} else c for i, c in enumerate(INVENTORY_COLUMNS)]
+    bad = [f'"{c}"' if i == 11 else c for i, c in enumerate(good)]
+    kind = F.col("doc_id") % 3
+    line = F.when(kind == 0, ",".join(good)).when(kind == 1, ",".join(bad)).otherwise("a,b")
+    return t.raw("documents").select(F.col("doc_id").alias("id"), F.array_join(inventory.faults(line), "; ").alias("faults"))
+
+
+@query("a1_scan_fields", "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'a|b' || lang || '|' WHEN 1 THEN 'q\"' || lang || ',x|2' WHEN 2 THEN 'ab,' || lang || 'c|d' ELSE '' END AS fields FROM documents", plain=True)
+def _(t):
+    kind, lang = F.col("doc_id") % 4, F.col("lang")
+    line = F.when(kind == 0, F.concat(F.lit("a,b"), lang, F.lit(","))).when(kind == 1, F.concat(F.lit('"q""'), lang, F.lit(',x",2'))).when(kind == 2, F.concat(F.lit('a"b,'), lang, F.lit('"c,d'))).otherwise("   ")
+    return t.raw("documents").select(F.col("doc_id").alias("id"), F.array_join(inventory.scan_fields(line), "|").alias("fields"))
+
+
+@query("a15_tail", "SELECT event_type || event_id::VARCHAR AS line FROM events ORDER BY event_id DESC LIMIT 7", plain=True)
+def _(t):
+    folder = shared.folder(t.spark, "log")
+    t.events.orderBy("event_id").select(F.concat("event_type", F.col("event_id").cast("string")).alias("value")).coalesce(1).write.text(folder)
+    return inventory.tail(t.spark, folder, 7)
+
+
 @query("k1_stored_response", f"SELECT id, security_class AS security_cached, rgpd_risk AS rgpd_cached, finance_type AS finance_cached, legal_type AS legal_cached, {_CONF} AS confidence_global FROM responses")
 def _(t):
     return verdicts.stored(t.responses).select("id", "security_cached", "rgpd_cached", "finance_cached", "legal_cached", "confidence_global")
@@ -189,6 +290,8 @@ def _(t):
     return sinks.export_statistics(t.joined)
 
 
-@query("k5_nested_rows")
+@query("k5_nested_rows", "SELECT id, name AS file_name, owner AS file_owner, status AS file_status, fast_hash AS file_hash, coalesce(security_class, 'N/A') AS security, coalesce(legal_type, 'N/A') AS legal, resume, processing_time_ms FROM joined")
 def _(t):
-    return sinks.nested(t.joined)
+    rows = sinks.nested(t.joined)
+    info, told = F.col("file_info"), F.col("analysis")
+    return rows.select("id", info["name"].alias("file_name"), info["owner"].alias("file_owner"), info["status"].alias("file_status"), info["fast_hash"].alias("file_hash"), told["security"].alias("security"), told["legal"].alias("legal"), told["resume"].alias("resume"), told["processing_time_ms"].alias("processing_time_ms"))

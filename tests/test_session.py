@@ -38,10 +38,31 @@ def test_templates_and_settings(tmp_path):
 
 
 def test_throttle_and_reports(spark):
-    t = session.Throttle()
-    for s in (1, 1, 1, 9, 9):
+    t = session.Throttle(workers=2)
+    for s in (8, 8):
         t.record(s)
-    assert t.spacing > 10 and t.label() in ("busy", "slow") and t.timeout(60) > 60 and t.wait(0) == 0
+    assert t.spacing == 5 and t.label() == "normal"  # two times tell nothing yet
+    t.record(4.5)
+    assert t.spacing == 3.5 and t.recovered()  # faster than the spacing: at once
+    t.record(1)
+    assert t.spacing == 2  # the number of workers is the least
+    t = session.Throttle(spacing=5, workers=3)
+    for s in (6, 6, 6, 6, 60):
+        t.record(s)
+    assert t.spacing == 6 and t.label() == "busy" and not t.recovered()
+    t = session.Throttle(spacing=90, least=1, workers=2)
+    for s in (100, 100, 100, 100, 100):
+        t.record(s)
+    assert t.spacing == 90 and t.timeout(300) == 2700
+    t.times.extend([10] * 9)
+    t.record(95)
+    assert t.spacing == 1.5 * 18.5  # over four times the mean
+    alone = session.Throttle(spacing=10)
+    for s in (1, 1, 1, 1, 1):
+        alone.record(s)
+    assert alone.spacing == 10 and alone.wait(0) == 0
+    alone.started(100)
+    assert alone.wait(104) == 6
     assert session.workers(None, 2) == 6 and session.workers(99, 2) == 32 and session.speed_up(10, 2) == 5
     assert session.progress(5, 10, 60) == {"percentage": 50.0, "per_minute": 5.0, "seconds_left": 60.0}
     assert not session.healthy("http://127.0.0.1:9")
