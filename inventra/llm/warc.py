@@ -5,10 +5,11 @@ title, numbers of links and characters, the source's digests) and a conversion r
 Both carry the response's identifier in WARC-Refers-To, its target and date, and their own block digest;
 the metadata record also names the conversion in WARC-Concurrent-To. Identifiers are version-5 style UUIDs of
 the source's identifier, so a task that runs again makes the same records. Files have one gzip member a
-record; a task writes its own file and moves it, and a manifest lists them.
+record; a task writes its own file and moves it, and a manifest lists them. Chunked transfers and gzip or deflate contents are
+undone; text is extracted in one pass, so hostile pages take no longer than others of their size.
 
 Defined results: a page without URL has the target ``urn:page:<id>``; null html is an empty payload, whose conversion is
-empty; a record that isn't a response, or is cut off, gives a metadata record with the field derivation-error and no
+empty; a record that isn't a response, is cut off, or whose payload can't be unpacked, gives a metadata record with the field derivation-error and no
 conversion; repeated pages give repeated records; an empty table gives no files and no rows; other
 columns are not read.
 """
@@ -33,11 +34,13 @@ from . import common
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivatives")
-_SKIP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<title\b[^>]*>.*?</title\s*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|body)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
+#: Elements whose content isn't text, and elements that end a line.
+_HIDDEN = frozenset(("script", "style", "noscript", "template", "title"))
+_BREAKS = frozenset(("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "main", "aside", "blockquote", "pre", "body"))
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_HREF = re.compile(r"\shref\s*=", re.I)
+#: Bytes that a compressed payload may unpack to.
+MOST_UNPACKED = 1 << 28
 _ROWS = "page_id long, response_id string, metadata_id string, conversion_id string, target_uri string, source_digest string, metadata_digest string, conversion_digest string, text_sha256 string, n_chars long, n_links long, error string"
 
 
@@ -80,11 +83,94 @@ def response(page_id: int | None, url: str | None, html: str | None) -> bytes:
     return record("response", fields, http + payload)
 
 
+class Page:
+    """A page's plain text, title and number of links, in one pass: no end that isn't there is looked for twice.
+
+    No scripts, styles, comments or title; a line for each block; entities resolved. What is opened and never closed hides nothing.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.links, self._title, parts, at, n = 0, None, [], 0, len(html)
+        low = html.lower()
+        if len(low) != n:  # a letter whose lower case is longer
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
+        missing: set[str] = set()
+
+        def end(mark: str, start: int) -> int:
+            """Where the mark is next; -1, found once and for all, if nowhere."""
+            if mark in missing:
+                return -1
+            if (found := low.find(mark, start)) < 0:
+                missing.add(mark)
+            return found
+
+        while at < n:
+            if (open_ := low.find("<", at)) < 0:
+                break
+            parts.append(html[at:open_])
+            if low.startswith("<!--", open_) and (close := end("-->", open_ + 4)) >= 0:
+                parts.append(" ")
+                at = close + 3
+                continue
+            close = end(">", open_ + 1) if open_ + 1 < n and (low[open_ + 1] in "/!?" or "a" <= low[open_ + 1] <= "z") else -1
+            if close < 0:
+                parts.append("<")
+                at = open_ + 1
+                continue
+            name = (found := _NAME.match(low, open_, close)) and found[1]
+            at = close + 1
+            if name in _HIDDEN and low[open_ + 1] != "/":
+                last = end(f"</{name}", at)
+                if last >= 0 and (stop := end(">", last)) >= 0:
+                    if name == "title" and self._title is None:
+                        self._title = html[at:last]
+                    parts.append(" ")
+                    at = stop + 1
+            elif name == "a" and low[open_ + 1] != "/":
+                self.links += bool(_HREF.search(low, open_, close))
+            elif name in _BREAKS:
+                parts.append("\n")
+        parts.append(html[at:])
+        lines = (" ".join(line.split()) for line in entities.unescape("".join(parts)).split("\n"))
+        self.text = "\n".join(line for line in lines if line)
+
+    @property
+    def title(self) -> str:
+        return " ".join(entities.unescape(self._title or "").split())
+
+
 def plain_text(html: str) -> str:
-    """The page's text: no scripts, styles, comments or title; a line for each block; entities resolved."""
-    text = entities.unescape(_TAG.sub("", _BREAK.sub("\n", _SKIP.sub(" ", html))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return Page(html).text
+
+
+def unchunked(body: bytes) -> bytes:
+    """The payload of a chunked transfer; what isn't chunked comes back as it is."""
+    parts, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:line].split(b";")[0].strip() or b"x", 16)
+        except ValueError:
+            return body
+        if not size:
+            return b"".join(parts)
+        parts.append(body[line + 2 : line + 2 + size])
+        at = line + 2 + size + 2
+    return body if not parts else b"".join(parts)
+
+
+def unpacked(body: bytes, encoding: str) -> bytes:
+    """The content of a gzip or deflate payload, also if cut off; ValueError for any other coding, damage, or over MOST_UNPACKED bytes."""
+    for coding in reversed([c.strip() for c in encoding.lower().split(",") if c.strip() not in ("", "identity")]):
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            raise ValueError(f"content coding {coding}")
+        press = zlib.decompressobj(wbits=15 if coding == "deflate" and body[:1] in (b"\x78", b"\x58") else -15 if coding == "deflate" else 31)
+        try:
+            body = press.decompress(body, MOST_UNPACKED)
+        except zlib.error as e:
+            raise ValueError(f"damaged {coding}: {e}") from e
+        if press.unconsumed_tail:
+            raise ValueError(f"over {MOST_UNPACKED} bytes unpacked")
+    return body
 
 
 def derive(raw: bytes) -> tuple[bytes, bytes | None]:
@@ -96,28 +182,36 @@ def derive(raw: bytes) -> tuple[bytes, bytes | None]:
         fields, block, error = {}, b"", str(e)
     source = fields.get("warc-record-id") or identifier("unknown", hashlib.sha256(raw).hexdigest())
     common_fields = [("WARC-Refers-To", source), ("WARC-Date", fields.get("warc-date", DATE)), ("WARC-Target-URI", fields.get("warc-target-uri", ""))]
-    if page := fields.get("x-page-id"):
-        common_fields.append(("X-Page-ID", page))
+    if number := fields.get("x-page-id"):
+        common_fields.append(("X-Page-ID", number))
     head, sep, payload = block.partition(b"\r\n\r\n")
     if not error and not (sep and head.startswith(b"HTTP/")):
         error = "no HTTP header"
     about = [("source-block-digest", fields.get("warc-block-digest", "")), ("source-payload-digest", fields.get("warc-payload-digest", ""))]
+    if not error:
+        status, *headers = head.decode("latin-1").split("\r\n")
+        told_headers = [(k.strip().lower(), v.strip()) for k, _, v in (h.partition(":") for h in headers)]
+        header = dict(told_headers)
+        entity = unchunked(payload) if "chunked" in header.get("transfer-encoding", "").lower() else payload
+        try:
+            content = unpacked(entity, header.get("content-encoding", ""))
+        except ValueError as e:
+            error = str(e)
     if error:
         body = [*about, ("derivation-error", error)]
         return record("metadata", [("WARC-Record-ID", identifier("metadata", source)), *common_fields, ("Content-Type", "application/warc-fields")], _fields(body)), None
-    if (told := fields.get("warc-payload-digest", "")).startswith("sha1:") and told != digest(payload):
-        about.append(("payload-digest-mismatch", digest(payload)))
-    status, *headers = head.decode("latin-1").split("\r\n")
-    charset = re.search(r"charset=([\w-]+)", head.decode("latin-1"), re.I)
+    if (told := fields.get("warc-payload-digest", "")).startswith("sha1:") and told not in (digest(entity), digest(payload)):
+        about.append(("payload-digest-mismatch", digest(entity)))
+    charset = re.search(r"charset=[\"']?([\w-]+)", header.get("content-type", ""), re.I)
     try:
-        page_text = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page_text = content.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page_text = payload.decode("utf-8", "replace")
-    text = plain_text(page_text).encode()
+        page_text = content.decode("utf-8", "replace")
+    page = Page(page_text)
+    text = page.text.encode("utf-8", "replace")
     converted = identifier("conversion", source)
-    title = _TITLE.search(page_text)
-    about += [("http-status", status), *((f"http-header-{k.strip().lower()}", v.strip()) for k, _, v in (h.partition(":") for h in headers))]
-    about += [("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("links", str(len(_LINK.findall(page_text)))), ("characters", str(len(text.decode())))]
+    about += [("http-status", status), *((f"http-header-{k}", v) for k, v in told_headers)]
+    about += [("title", page.title), ("links", str(page.links)), ("characters", str(len(text.decode())))]
     metadata = record("metadata", [("WARC-Record-ID", identifier("metadata", source)), *common_fields, ("WARC-Concurrent-To", converted), ("Content-Type", "application/warc-fields")], _fields(about))
     conversion = record("conversion", [("WARC-Record-ID", converted), *common_fields, ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Payload-Digest", digest(text))], text)
     return metadata, conversion
@@ -139,19 +233,63 @@ def responses(pages: DataFrame) -> DataFrame:
     return common.in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), step, "page_id long, record binary")
 
 
+def records_of(uri: str) -> Iterator[bytes]:
+    """The records of a WARC file, of gzip members or plain."""
+    system, path = common.open_fs(uri)
+    with system.open_input_file(path) as f:
+        packed = f.read(2) == b"\x1f\x8b"
+    if packed:
+        yield from members(uri)
+        return
+    with system.open_input_stream(path, compression=None) as f:
+        rest = b""
+        while True:
+            while (cut := rest.find(b"\r\n\r\n")) < 0 and (more := f.read(1 << 20)):
+                rest += more
+            if cut < 0:
+                if rest.strip():
+                    yield rest
+                return
+            size = re.search(rb"(?im)^content-length:\s*(\d+)", rest[:cut])
+            end = cut + 4 + (int(size[1]) if size else 0)
+            while len(rest) < end + 4 and (more := f.read(1 << 20)):
+                rest += more
+            yield rest[:end]
+            rest = rest[end:].lstrip(b"\r\n")
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uri in batch.column("path").to_pylist():
+            for raw in records_of(uri):
+                fields = raw[: max(raw.find(b"\r\n\r\n"), 0)].lower()
+                if b"\r\nwarc-type: response\r\n" in fields + b"\r\n":
+                    yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["record"])
+
+
+def read_responses(spark, path: str) -> DataFrame:
+    """record: the response records of WARC files (a path or a pattern); a file is read by one task, record by record."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return common.in_batches(files.repartition(common.partitions(spark)), _open, "record binary")
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     name = f"derived-{TaskContext.get().partitionId():06d}.warc.gz"
     system, path = common.open_fs(f"{folder}/{name}")
     own, n = f"{path}.{TaskContext.get().taskAttemptId()}", 0
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(own) as out:
-        for batch in batches:
-            for raw in batch.column("record"):
-                for made in derive(raw.as_py() or b""):
-                    if made is not None:
-                        press = zlib.compressobj(6, wbits=31)
-                        out.write(press.compress(made) + press.flush())
-                        n += 1
+    try:
+        with system.open_output_stream(own) as out:
+            for batch in batches:
+                for raw in batch.column("record"):
+                    for made in derive(raw.as_py() or b""):
+                        if made is not None:
+                            press = zlib.compressobj(6, wbits=31)
+                            out.write(press.compress(made) + press.flush())
+                            n += 1
+    except BaseException:
+        system.delete_file(own)
+        raise
     if not n:
         system.delete_file(own)
         return
