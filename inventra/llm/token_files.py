@@ -3,21 +3,27 @@
 A shard is two files below one folder: ``shard-NNNNNN.bin``, the frames end to end, and
 ``shard-NNNNNN.idx``, an index with each document's id, frame offset and token count, so that one short
 document is read by one seek. All frames share one zstandard dictionary, trained on serialized id arrays
-of at most SAMPLE_DOCS documents of at most SAMPLE_BYTES (it serves short documents), chosen by hash; the
-dictionary lies in the folder and every index carries its SHA-256. Shards follow ascending doc_id: Spark deals documents by range, each task
-writes its own shard under a temporary name and moves it, so a task that runs again leaves one whole
-file. The manifest (a row a shard) gives each shard's first id position.
+of at most SAMPLE_DOCS documents, chosen by hash (of a longer one, SAMPLE_CHARS characters from a place in it chosen by hash): the
+one bounded sample. It lies in the folder, and every index carries its SHA-256. Where there is too little to train
+on (fewer than about ten documents), it is empty and frames are written without one; the manifest says so.
+
+Shards follow ascending doc_id, rows that share one by a hash of the text: Spark deals documents by range into shards of
+SHARD_BYTES of text (smaller ones on small tables, to use all tasks), each task writes its own shard under a temporary name and
+moves it, so a task that runs again leaves one whole file. The manifest, a table in the folder, has for each shard its numbers of
+documents, ids and bytes, its first id position, whether it has a dictionary, and the tokenizer's name and hash.
 
 Defined results: null text is empty and gives only the end id; a null doc_id sorts first; repeated
-doc_ids stay as rows of their own, in no set order among themselves; an empty table gives no shards and
+doc_ids stay as rows of their own; an empty table gives no shards and
 no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,20 +31,21 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common, tokens
 
 END_ID = 2
 SAMPLE_DOCS = 512
-SAMPLE_BYTES = 20_000
+SAMPLE_CHARS = 20_000
+SHARD_BYTES, LEAST_SHARD_BYTES = 256 << 20, 4 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 _MAGIC = b"TOKIDX1\n"
 _HEAD = struct.Struct("<8sHH32sQ")  # magic, bytes an id, whether doc_id is there for all rows, dictionary hash, documents
-_MANIFEST = "shard int, n_docs long, n_ids long, n_bytes long"
+_PARTS = "shard int, n_docs long, n_ids long, n_bytes long, dictionary boolean"
+_MANIFEST = f"{_PARTS}, first long, tokenizer string, tokenizer_sha256 string, end_id int"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -47,10 +54,11 @@ def id_type(vocabulary: int) -> str:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary of at most DICTIONARY_BYTES from at most SAMPLE_DOCS documents of at most SAMPLE_BYTES; empty if there is too little to train on."""
-    short = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = short.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text").limit(SAMPLE_DOCS).toArrow().column("text").combine_chunks()
+    """A dictionary of at most DICTIONARY_BYTES from at most SAMPLE_DOCS documents; empty if there is too little to train on."""
+    order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("dictionary"))
+    place = F.pmod(order, F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    chosen = docs.select(order.alias("o"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("o", "piece").limit(SAMPLE_DOCS)
+    texts = chosen.select("piece").toArrow().column("piece").combine_chunks()
     if not len(texts):
         return b""
     coder = tokens.chunk_tokenizer(tokenizer)
@@ -80,27 +88,31 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     kind = id_type(coder.library.get_vocab_size())
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
-    ids, known, offsets, counts, at = [], [], [0], [], 0
+    ids, known, offsets, counts, at = [], [], array("Q", [0]), array("Q"), 0
     system, path = common.open_fs(shard_name(folder, shard, "bin"))
     own = f"{path}.{TaskContext.get().taskAttemptId()}"
-    with system.open_output_stream(own) as out:
-        for batch in batches:
-            for row in _rows(coder, batch.column("text")):
-                frame = press.compress(np.append(row, end_id).astype(kind).tobytes())
-                out.write(frame)
-                at += len(frame)
-                offsets.append(at)
-                counts.append(len(row) + 1)
-            doc_id = batch.column("doc_id")
-            ids.append(doc_id.fill_null(0).to_numpy())
-            known.append(doc_id.is_valid().to_numpy(zero_copy_only=False))
+    try:
+        with system.open_output_stream(own) as out:
+            for batch in batches:
+                for row in _rows(coder, batch.column("text")):
+                    frame = press.compress(np.append(row, end_id).astype(kind).tobytes())
+                    out.write(frame)
+                    at += len(frame)
+                    offsets.append(at)
+                    counts.append(len(row) + 1)
+                doc_id = batch.column("doc_id")
+                ids.append(doc_id.fill_null(0).to_numpy())
+                known.append(doc_id.is_valid().to_numpy(zero_copy_only=False))
+    except BaseException:
+        system.delete_file(own)
+        raise
     if not counts:
         system.delete_file(own)
         return
     system.move(own, path)
     head = _HEAD.pack(_MAGIC, np.dtype(kind).itemsize, 1, hashlib.sha256(dictionary).digest(), len(counts))
     common.write_file(shard_name(folder, shard, "idx"), head + np.concatenate(ids).astype("<i8").tobytes() + np.packbits(np.concatenate(known)).tobytes() + np.array(offsets, "<u8").tobytes() + np.array(counts, "<u8").tobytes())
-    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(counts)], "n_ids": [sum(counts)], "n_bytes": [at]})
+    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(counts)], "n_ids": [sum(counts)], "n_bytes": [at], "dictionary": [bool(dictionary)]})
 
 
 class Shard:
@@ -146,29 +158,33 @@ def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(opened.doc_ids, pa.int64(), mask=~opened.known), pa.array(start + counts.cumsum() - counts), pa.array(counts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[tuple[int, int, int, int]]:
-    """Writes the files of all documents; returns the manifest's rows (shard, n_docs, n_ids, n_bytes), one a task."""
-    docs = common.text_of(docs)
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """Writes the files of all documents and the manifest; the manifest's rows, one a shard."""
+    spark, docs = docs.sparkSession, common.text_of(docs)
     dictionary = train_dictionary(docs, tokenizer, end_id)
     common.write_file(f"{folder}/dictionary.bin", dictionary)
-    ranged = docs.repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(-(-n_bytes // SHARD_BYTES), min(common.partitions(spark), -(-n_bytes // LEAST_SHARD_BYTES)), 1)
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     step = partial(_write_shard, folder=folder, tokenizer=tokenizer, end_id=end_id, dictionary=dictionary)
-    return sorted(tuple(r) for r in common.in_batches(ranged, step, _MANIFEST).collect())
+    with common.Scratch(spark) as scratch:
+        parts = scratch.written(common.in_batches(ranged, step, _PARTS), "parts")
+        before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
+        with open(tokenizer, "rb") as f:
+            about = hashlib.sha256(f.read()).hexdigest()
+        manifest = parts.select("*", F.coalesce(before, F.lit(0)).cast("long").alias("first"), F.lit(os.path.basename(tokenizer)).alias("tokenizer"), F.lit(about).alias("tokenizer_sha256"), F.lit(end_id).alias("end_id"))
+        manifest.coalesce(1).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read(spark, folder: str, manifest: list[tuple[int, int, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    first, rows = 0, []
-    for shard, _, n_ids, _ in manifest:
-        rows.append((shard, first))
-        first += n_ids
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType())])
-    if not rows:
-        return spark.createDataFrame([], _ROWS)
-    return common.in_batches(spark.createDataFrame(rows, schema).repartition(len(rows)), partial(_read_shards, folder=folder), _ROWS)
+def read(spark, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files and their manifest."""
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    return common.in_batches(manifest.select("shard", "first").repartition(max(1, manifest.count()), "shard"), partial(_read_shards, folder=folder), _ROWS)
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     folder = common.shared_folder(spark, "token-files")
-    manifest = write(common.table(spark, sf_dir, "documents"), folder, tokens.default_path("word_bpe_49k.json"))
-    return read(spark, folder, manifest)
+    write(common.table(spark, sf_dir, "documents"), folder, tokens.default_path("word_bpe_49k.json"))
+    return read(spark, folder)
