@@ -7,11 +7,11 @@ lexicon has at most (mean number of distinct terms of a text) / LOW entries, wha
 bound lets it be one constant of the plan, an array of buckets of hashes that each row looks up in place.
 
 A document's fingerprint: its distinct lexicon terms (all its terms, if fewer than LEAST are in the
-lexicon) are sorted; SUBSETS randomised lexicon subsets, each of a share of 2^-level of all terms, each
-give a hash of the document's sorted terms in the subset. The level follows from the number of terms, so
-that a subset takes one to two of a document's terms; the level above is taken too, so documents whose
-sizes differ by up to twofold have a level in common. The likeness of two fingerprints is the share of
-subsets with equal hashes among the subsets that are not empty in both, over their common levels.
+lexicon) are sorted; fixed randomised lexicon subsets, the same for all documents, each
+give a hash of the document's sorted terms in the subset. There are SUBSETS of each of the RATES, each rate's within those
+of the rate before: large subsets tell short documents apart, small ones hold a few terms of long ones. The likeness
+of two fingerprints is taken at each rate as the share of subsets with equal hashes among those that are not empty in both documents,
+if these are half of the subsets at least; the largest such share counts (at no such rate: equality of all hashes).
 
 The edited texts need each document's successor: doc_ids are dealt into buckets by approximate
 quantiles, one shuffle brings a bucket's texts together, and the first document of each next bucket
@@ -34,7 +34,9 @@ from . import common
 
 LOW, HIGH = 1e-3, 0.1
 LEAST = 4
-SUBSETS = 16
+SUBSETS = 8
+#: Shares of the lexicon that the subsets take, as powers of a half.
+RATES = (2, 4, 6, 8, 10)
 _BUCKETS = 1 << 12
 _FIRST = -(1 << 63)
 
@@ -57,51 +59,41 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
 
 
 def with_print(df: DataFrame, text: str, name: str, lexicon: Column) -> DataFrame:
-    """Adds the fingerprint of a text column: struct<level, parts: array<struct<low, high>>>, a part for each subset."""
+    """Adds the fingerprint of a text column: struct<used, parts: array<array<hash>>>, an array a subset, a hash a rate; null without a term."""
     kept = df.columns
     df = df.select(*kept, terms(F.col(text)).alias("_terms"))
     band = F.filter("_terms", lambda h: F.array_contains(F.get(lexicon, common.pick(h, _BUCKETS)), h))
     df = df.select(*kept, "_terms", band.alias("_band"))
     df = df.select(*kept, F.sort_array(F.when(F.size("_band") >= LEAST, F.col("_band")).otherwise(F.col("_terms"))).alias("_used"))
-    level = F.when(F.size("_used") > 0, F.floor(F.log2(F.size("_used").cast("double")))).otherwise(-1).cast("int")
-    df = df.select(*kept, "_used", level.alias("_level"))
-    masks = [(F.pow(F.lit(2.0), F.greatest(F.col("_level") + up, F.lit(0))) - 1).cast("long").alias(f"_mask{up}") for up in (0, 1)]
-    df = df.select(*kept, "_used", "_level", *masks)
 
-    def within(rows: Column, i: Column, mask: str) -> Column:
-        return F.filter(rows, lambda h: F.xxhash64(h, i).bitwiseAND(F.col(mask)) == 0)
+    def of(drawn: Column, rate: int) -> Column:
+        """The drawn terms (struct of draw d and term h) within a rate."""
+        return F.filter(drawn, lambda x: x["d"].bitwiseAND(F.lit((1 << rate) - 1)) == 0)
 
-    def of(rows: Column) -> Column:
-        return F.when(F.size(rows) > 0, F.xxhash64(rows).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-    taken = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: within(F.col("_used"), i, "_mask0"))
-    parts = F.transform(taken, lambda rows, i: F.struct(of(rows).alias("low"), of(within(rows, i, "_mask1")).alias("high")))
-    return df.select(*kept, F.struct(F.col("_level").alias("level"), parts.alias("parts")).alias(name))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.filter(F.transform(F.col("_used"), lambda h: F.struct(F.xxhash64(h, i).alias("d"), h.alias("h"))), lambda x: x["d"].bitwiseAND(F.lit((1 << RATES[0]) - 1)) == 0))
+    df = df.select(*kept, "_used", drawn.alias("_drawn"))
+    made = lambda rows: F.when(F.size(rows) > 0, F.xxhash64(F.transform(rows, lambda x: x["h"])).bitwiseAND(F.lit(0xFFFFFFFF)))
+    parts = F.transform("_drawn", lambda rows: F.array(*[made(of(rows, rate) if rate > RATES[0] else rows) for rate in RATES]))
+    return df.select(*kept, F.struct((F.size("_used") > 0).alias("used"), parts.alias("parts")).alias(name))
 
 
 def shown(made: Column) -> Column:
-    """A fingerprint as a string."""
-    text = lambda part: F.array_join(F.transform(made["parts"][part], lambda h: F.lower(F.hex(h))), ",", "")
-    return F.when(made["level"] < 0, F.lit("-")).otherwise(F.concat_ws(":", made["level"].cast("string"), text("low"), text("high")))
+    """A fingerprint as a string: subsets joined by ":", their rates' hashes by ","."""
+    subset = lambda hashes: F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ",", "")
+    return F.when(~made["used"], F.lit("-")).otherwise(F.array_join(F.transform(made["parts"], subset), ":"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1, from two fingerprints."""
+    pairs = F.zip_with(a["parts"], b["parts"], lambda x, y: F.zip_with(x, y, lambda v, w: F.when(v.isNotNull() & w.isNotNull(), F.when(v == w, 1).otherwise(0))))
 
-    def share(pairs: list[tuple[str, str]]) -> Column:
-        zipped = [(a["parts"][x], b["parts"][y]) for x, y in pairs]
-        count = lambda how: sum((F.size(F.filter(F.zip_with(x, y, how), lambda v: v)) for x, y in zipped), F.lit(0)).cast("double")
-        either = count(lambda v, w: v.isNotNull() | w.isNotNull())
-        return F.when(either > 0, count(lambda v, w: F.coalesce(v == w, F.lit(False))) / either).otherwise(0.0)
-
-    gap = a["level"] - b["level"]
-    return (
-        F.when((a["level"] < 0) | (b["level"] < 0), F.when(gap == 0, 1.0).otherwise(0.0))
-        .when(gap == 0, share([("low", "low"), ("high", "high")]))
-        .when(gap == 1, share([("low", "high")]))
-        .when(gap == -1, share([("high", "low")]))
-        .otherwise(0.0)
-    )
+    def share(k: int) -> Column:
+        met = F.filter(F.transform(pairs, lambda p: F.get(p, F.lit(k))), lambda v: v.isNotNull())
+        return F.when(F.size(met) >= SUBSETS // 2, F.aggregate(met, F.lit(0), lambda x, v: x + v) / F.size(met))
+
+    best = F.greatest(*[share(k) for k in range(len(RATES))])
+    same = F.when(a["parts"] == b["parts"], 1.0).otherwise(0.0)
+    return F.when(~a["used"] | ~b["used"], F.when(a["used"] == b["used"], 1.0).otherwise(0.0)).otherwise(F.coalesce(best, same))
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,8 +119,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     return with_print(docs, "text", "print", lexicon(docs, low, high)).select("doc_id", shown(F.col("print")).alias("fingerprint"))
 
 
-def op9_imatch(spark, sf_dir: str) -> DataFrame:
-    docs = common.text_of(common.table(spark, sf_dir, "documents"))
+def with_edits(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    docs = common.text_of(docs)
     terms_kept = lexicon(docs)
     rows = with_next(with_print(docs, "text", "print", terms_kept), ["text", "print"])
     n = F.char_length("text")
@@ -146,3 +139,7 @@ def op9_imatch(spark, sf_dir: str) -> DataFrame:
         likeness(made, after).alias("near_edited"),
         likeness(made, following).alias("near_next"),
     )
+
+
+def op9_imatch(spark, sf_dir: str) -> DataFrame:
+    return with_edits(common.table(spark, sf_dir, "documents"))
