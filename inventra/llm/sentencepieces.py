@@ -31,8 +31,8 @@ from . import common, tokens
 
 #: Fixed value: the library's mark for a space.
 SPACE = "▁"
-#: Units that one worker keeps; beyond it the table starts again empty.
-MEMO_ENTRIES = 500_000
+#: Units that one worker keeps, of at most so many characters; beyond it the table starts again empty. Longer ones are merged in each block anew.
+MEMO_ENTRIES, MEMO_LONGEST = 400_000, 64
 _NONE = np.int64(1) << 40
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -215,13 +215,14 @@ class PieceModel:
         rows = [self.cut(t) for t in texts]
         memo = self.memo
         new = list(dict.fromkeys(u for r in rows for u in r if u not in memo))
-        if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = list(dict.fromkeys(u for r in rows for u in r))
-            for i in range(0, len(new), 1 << 17):
-                memo.update(zip(new[i : i + (1 << 17)], self.encode_units(new[i : i + (1 << 17)]), strict=True))
-        return [np.frombuffer(b"".join([memo[u] for u in r]), "<u4") for r in rows]
+        if new and len(memo) + len(new) > MEMO_ENTRIES:
+            memo.clear()
+            new = list(dict.fromkeys(u for r in rows for u in r))
+        long = {}
+        for i in range(0, len(new), 1 << 17):
+            for u, ids in zip(new[i : i + (1 << 17)], self.encode_units(new[i : i + (1 << 17)]), strict=True):
+                (memo if len(u) <= MEMO_LONGEST else long)[u] = ids
+        return [np.frombuffer(b"".join([memo[u] if u in memo else long[u] for u in r]), "<u4") for r in rows]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """UTF-8 text of each row of ids."""

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that one worker keeps; beyond it the table starts again empty.
-MEMO_ENTRIES = 800_000
+#: Pieces that one worker keeps, of at most so many characters; beyond it the table starts again empty. Longer ones are asked for each block anew.
+MEMO_ENTRIES, MEMO_LONGEST = 500_000, 64
 #: Rows of a block; a block of texts and its ids are in memory together.
 BLOCK_ROWS = 4096
 #: Bytes of a block, but for a single longer text.
@@ -101,7 +101,8 @@ class ChunkTokenizer:
         if new := [w for w, x in zip(words, found, strict=True) if x is None]:
             if len(table) + len(new) > MEMO_ENTRIES:
                 table.clear()
-            table.update(learnt := dict(zip(new, ask(new), strict=True)))
+            learnt = dict(zip(new, ask(new), strict=True))
+            table.update((w, x) for w, x in learnt.items() if len(w) <= MEMO_LONGEST)
             found = [learnt[w] if x is None else x for w, x in zip(words, found, strict=True)]
         return found
 

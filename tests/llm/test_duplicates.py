@@ -199,6 +199,79 @@ def test_fingerprints_odd(odd, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def _print(text, band):
+    """The fingerprint by plain Python."""
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chain = lambda parts: signed(_chained(xxhash.xxh64_intdigest, parts))
+    words = {chain([w.encode()]) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+    used = words & band if len(words & band) >= imatch.LEAST else words
+    if not words:
+        return "-", None
+    out = []
+    for i in range(imatch.SUBSETS):
+        draws = [(chain([h.to_bytes(8, "little", signed=True), i.to_bytes(4, "little")]), h) for h in sorted(used)]
+        rows = [[h for d, h in draws if d & ((1 << r) - 1) == 0] for r in imatch.RATES]
+        out.append([chain([h.to_bytes(8, "little", signed=True) for h in row]) & 0xFFFFFFFF if row else None for row in rows])
+    return ":".join(",".join("" if h is None else f"{h:x}" for h in row) for row in out), out
+
+
+def _chained(digest, parts):
+    seed = 42
+    for p in parts:
+        seed = digest(p, seed=seed)
+    return seed
+
+
+def _like(a, b):
+    if a is None or b is None:
+        return float(a is b)
+    best = None
+    for k in range(len(imatch.RATES)):
+        met = [x[k] == y[k] for x, y in zip(a, b, strict=True) if x[k] is not None and y[k] is not None]
+        if len(met) >= imatch.SUBSETS // 2:
+            best = max(best or 0, sum(met) / len(met))
+    return float(a == b) if best is None else best
+
+
+def test_fingerprints_brute_force(spark, data, documents):
+    """Lexicon, fingerprints and likenesses of the query equal plain ones, on given texts and on all odd ones."""
+    import regex
+    import xxhash
+
+    odd_texts = [None, "", "  ", "one", "One ONE one", "İstanbul ΣΑΣ é x", "日本語 テキスト", "a b c d e f g", "!!!", "one two three four five six"]
+    far = documents.agg(F.max("doc_id")).first()[0]
+    extra = spark.createDataFrame([(far + 1 + i, t) for i, t in enumerate(odd_texts)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(extra).withColumns({"_key": F.lit(1), "used": F.lit("x"), "print": F.lit(2)})
+    texts = [(r[0], r[1] or "") for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    count = Counter(h for _, t in texts for h in {signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w})
+    band = {h for h, n in count.items() if max(2, imatch.LOW * len(texts)) <= n <= imatch.HIGH * len(texts)}
+    got = {r["doc_id"]: r for r in imatch.with_edits(docs).collect()}
+    assert len(got) == len(texts)
+    for k, (i, t) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        own, own_parts = _print(t, band)
+        new, new_parts = _print(edited, band)
+        _, next_parts = _print(after, band)
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) == (own, new, hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(r["near_edited"] - _like(own_parts, new_parts)) < 1e-9 and abs(r["near_next"] - _like(own_parts, next_parts)) < 1e-9
+
+
+def test_fingerprints_odd_query(spark, odd, empty):
+    """The whole query on nulls, null and repeated doc_ids, clashing names, one document, and none."""
+    got = imatch.with_edits(odd).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows())
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and r["n_chars"] == len(text or "") for r in got for text in [next(t for i, t, *_ in rows() if i == r["doc_id"])] if r["doc_id"] is not None)
+    one = imatch.with_edits(spark.createDataFrame([(3, "a b c d")], "doc_id long, text string")).collect()
+    assert one[0]["edited_sha256"] == hashlib.sha256(b"a b c a").hexdigest() and one[0]["near_next"] == 1.0
+    assert imatch.with_edits(empty).count() == 0
+
+
 def test_successors(odd, empty):
     docs = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     got = imatch.with_next(docs, ["text", "doc_id"]).collect()

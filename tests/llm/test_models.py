@@ -100,6 +100,51 @@ def test_licenses(spark, odd, empty, data):
     assert licenses.scan(empty, licenses.build(empty)).count() == 0
 
 
+def test_licenses_naive(spark, odd, data):
+    """All labels equal those of an aligner that tries every template at every place, on odd, planted and given texts."""
+    import random
+
+    rng = random.Random(5)
+    planted = []
+    for t in licenses.BASE + licenses.OWN:
+        for share in (1.0, 0.9, 0.8, 0.7, 0.55):
+            words = [w if rng.random() < share else f"x{rng.randrange(99)}" for w in t.notice]
+            around = [f"y{rng.randrange(99)}" for _ in range(rng.randrange(12))]
+            cut = rng.choice([0, 0, 0, 2])
+            planted.append(" ".join(around[:5] + words[cut:] + around[5:]))
+    docs = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string").unionByName(odd.select("doc_id", "text")).unionByName(common.table(spark, data, "documents").select("doc_id", "text").limit(60))
+
+    def naive(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        found = set()
+        for t in licenses.BASE + licenses.OWN:
+            phrase = next(k for k in range(len(t.notice)) if t.notice[k : k + len(t.key)] == t.key)
+            for at in range(len(w) - len(t.key) + 1):
+                if tuple(w[at : at + len(t.key)]) == t.key:
+                    start = at - phrase
+                    agree = sum(0 <= start + k < len(w) and w[start + k] == x for k, x in enumerate(t.notice))
+                    if agree >= t.share * len(t.notice):
+                        found.add(t.label)
+                        break
+        return ",".join(sorted(found))
+
+    got = licenses.scan(docs, licenses.build(docs)).select("doc_id", "labels").collect()
+    want = [(r[0], naive(r[1])) for r in docs.collect()]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sum(x != "" for _, x in want) > 100
+
+
+def test_licenses_many_templates():
+    """Templates that share no word with a text cost nothing but their place in the index."""
+    own = tuple(licenses.Template(f"t{i}", (f"a{i}", f"b{i}", f"c{i}"), (f"a{i}", f"b{i}"), 1.0) for i in range(5000))
+    index = licenses.Index(own, {}, 10)
+    import numpy as np
+
+    number = np.array([index.words.index(w) for w in ("a7", "b7", "c7", "a9", "b7")] + [-1] * 1000)
+    template, start = index.proposals(number, np.array([0, len(number)]))
+    assert template.tolist() == [7] and start.tolist() == [0]
+
+
 def test_warc(spark, data):
     pages = spark.createDataFrame([(1, "http://a/", "<html><head><title>T &amp; U</title><style>x{}</style></head><body><p>One <b>two</b></p><!-- no --><script>bad()</script><a href='x'>three</a>"), (2, None, None), (None, "http://b/", ""), (1, "http://a/", "dup"), (3, "http://c/\r\nX: y", "<p>" + "long " * 50_000)], "page_id long, url string, html string")
     folder = common.shared_folder(spark, "warc-test")
@@ -121,6 +166,95 @@ def test_warc(spark, data):
     assert warc.op5_warc(spark, data).count() == spark.read.parquet(f"{data}/pages.parquet").count()
 
 
+def test_warc_payloads():
+    """Chunked and compressed payloads are undone; what can't be is an error; digests of the payload as sent or as transferred agree."""
+    import gzip
+    import zlib
+
+    html = "<title>T</title><p>päge</p>".encode()
+    chunked = lambda b: b"".join(b"%x\r\n%b\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+
+    def made(payload, headers):
+        fields = [("WARC-Record-ID", "<urn:x>"), ("WARC-Payload-Digest", warc.digest(gzip_body if b"gzip" in headers else payload))]
+        return warc.record("response", fields, b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n\r\n" + payload)
+
+    gzip_body = gzip.compress(html)
+    for payload, headers in (
+        (chunked(html), b"Transfer-Encoding: chunked"), (gzip_body, b"Content-Encoding: gzip"), (chunked(gzip_body), b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked"),
+        (zlib.compress(html), b"Content-Encoding: deflate"), (zlib.compress(html)[2:-4], b"Content-Encoding: deflate"), (html, b"Content-Encoding: identity"),
+    ):
+        metadata, conversion = warc.derive(made(payload, headers))
+        assert warc.parse(conversion)[1].decode() == "päge", headers
+        assert b"payload-digest-mismatch" not in metadata
+    for payload, headers in ((b"junk", b"Content-Encoding: gzip"), (b"x", b"Content-Encoding: br")):
+        metadata, conversion = warc.derive(made(payload, headers))
+        assert conversion is None and b"derivation-error: " in metadata
+
+
+def test_warc_hostile_pages():
+    """Marks that are opened again and again, and never closed, take linear time."""
+    import time
+
+    for mark in ("<script>", "<!-- ", "<title>", "<a href=", "<b", "</script", "<style><!--"):
+        began = time.perf_counter()
+        warc.plain_text(mark * 100_000)
+        assert time.perf_counter() - began < 5, mark
+
+
+def test_warc_pages(spark, data):
+    """Texts of all given pages equal those by the standard library's parser; records link, and digests are those of what was read."""
+    import hashlib
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in warc._HIDDEN
+            self.parts.append("\n" if tag in warc._BREAKS else " " if tag in warc._HIDDEN else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in warc._HIDDEN and self.hidden > 0
+            self.parts.append("\n" if tag in warc._BREAKS else "")
+
+        def handle_comment(self, _):
+            self.parts.append(" ")
+
+        def handle_data(self, found):
+            if not self.hidden:
+                self.parts.append(found)
+
+    pages = spark.read.parquet(f"{data}/pages.parquet").withColumns({"record": F.lit(1), "name": F.lit("x")})
+    got = {r["page_id"]: r for r in warc.op5_warc(spark, data).collect()}
+    same = 0
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r["html"])
+        plain.close()
+        text = "\n".join(x for x in (" ".join(line.split()) for line in "".join(plain.parts).split("\n")) if x)
+        row = got[r["page_id"]]
+        same += row["text_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["n_chars"] == len(text)
+        source, block = warc.parse(warc.response(r["page_id"], r["url"], r["html"]))
+        assert (row["response_id"], row["target_uri"], row["source_digest"]) == (source["warc-record-id"], r["url"], warc.digest(r["html"].encode())) and row["error"] is None
+    assert same == len(got) == pages.count()
+    assert warc.responses(pages).columns == ["page_id", "record"]
+
+
+def test_warc_reader(spark, tmp_path):
+    """Response records of packed and of plain files, beside other kinds."""
+    import gzip
+
+    made = [warc.response(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(5)]
+    other = warc.record("request", [("WARC-Record-ID", "<urn:q>")], b"GET / HTTP/1.1\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in [other, *made[:2]]))
+    (tmp_path / "b.warc").write_bytes(b"".join([made[2], other, *made[3:]]))
+    got = [bytes(r[0]) for r in warc.read_responses(spark, str(tmp_path)).collect()]
+    assert {warc.parse(r)[0]["warc-record-id"] for r in got} == {warc.parse(r)[0]["warc-record-id"] for r in made} and len(got) == 5
+    assert all(warc.derive(r)[1] is not None for r in got)
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     got = quality.op6_quality(spark, sf).join(common.table(spark, sf, "labels"), "doc_id")

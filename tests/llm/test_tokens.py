@@ -71,6 +71,31 @@ def test_packing(odd, empty, capacity):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_packing_documents(documents):
+    """Each document's pieces tile it exactly once, with the library's ids; windows are gapless and nearly full."""
+    got = packing.pack(documents, WORD).collect()
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append(r)
+        windows[r["sequence_id"]].append(r)
+    texts = documents.select("doc_id", "text").collect()
+    assert len(pieces) == len(texts)
+    for (doc_id, _), ids in zip(texts, _library([t for _, t in texts]), strict=True):
+        ids, at = np.array([*ids, packing.END_ID], "<u4"), 0
+        for r in sorted(pieces[doc_id], key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for rows_ in windows.values():
+        at = 0
+        for r in sorted(rows_, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= packing.CAPACITY
+    assert sum(r["length"] for r in got) >= 0.95 * packing.CAPACITY * len(windows)
+
+
 def test_differencing():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 4096, 700)
@@ -85,8 +110,8 @@ def test_differencing():
 
 def test_token_files(spark, odd, empty):
     folder = common.shared_folder(spark, "token-test")
-    manifest = token_files.write(odd, folder, WORD)
-    got = token_files.read(spark, folder, manifest).collect()
+    manifest = token_files.write(odd, folder, WORD).orderBy("shard").collect()
+    got = token_files.read(spark, folder).collect()
     want = sorted(rows(), key=lambda r: -(1 << 62) if r[0] is None else r[0])
     ids = {(r[0], r[1]): _library([r[1] or ""])[0] + [token_files.END_ID] for r in want}
     start = 0
@@ -97,10 +122,41 @@ def test_token_files(spark, odd, empty):
     assert sorted(key(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(key(r[0], len(x := ids[r[0], r[1]]), zlib.crc32(np.array(x, "<u4").tobytes())) for r in want)
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == [None, None] + sorted(i for i in order if i is not None)
-    shard = token_files.Shard(folder, manifest[0][0])
+    assert sum(m["n_docs"] for m in manifest) == len(want) and manifest[0]["first"] == 0 and manifest[0]["tokenizer"] == "word_bpe_49k.json" and len(manifest[0]["tokenizer_sha256"]) == 64
+    assert all(b["first"] == a["first"] + a["n_ids"] for a, b in zip(manifest, manifest[1:], strict=False))
+    shard = token_files.Shard(folder, manifest[0]["shard"])
     assert shard.ids(len(shard) - 1).tolist() == list(shard)[-1].tolist()
     none = common.shared_folder(spark, "token-none")
-    assert token_files.read(spark, none, token_files.write(empty, none, WORD)).count() == 0
+    assert token_files.write(empty, none, WORD).count() == 0 and token_files.read(spark, none).count() == 0
+
+
+def test_token_files_shards(spark, documents, data, monkeypatch):
+    """Many shards, equal doc_ids dealt over several, long texts only: the ids read back are the same."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 20_000)
+    docs = spark.createDataFrame([(7, f"word{i} " * 3000) for i in range(30)], "doc_id long, text string")
+    folder = common.shared_folder(spark, "token-shards")
+    manifest = token_files.write(docs, folder, WORD).collect()
+    got = token_files.read(spark, folder).orderBy("start").collect()
+    assert len(manifest) > 5 and all(m["dictionary"] for m in manifest)
+    want = sorted((len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for x in _library([r[1] for r in docs.collect()]))
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_long_texts_without_spaces(spark):
+    """Texts of megabytes without a space: as the library, and no worker keeps them."""
+    model = sentencepieces.piece_model(PIECE)
+    texts = ["ab0" * 200_000, "日本語" * 40_000, "q" * 100_000]
+    assert [r.tolist() for r in model.encode(texts)] == model.library.encode(texts)
+    assert all(len(u) <= sentencepieces.MEMO_LONGEST for u in model.memo)
+    coder = tokens.chunk_tokenizer(WORD)
+    import pyarrow as pa
+
+    got, start = coder.encode(pa.array(texts)), 0
+    for want, end in zip(_library(texts), got.ends.tolist(), strict=True):
+        assert got.flat[start:end].tolist() == want
+        start = end
+    assert all(len(w) <= tokens.MEMO_LONGEST for table in (coder.pieces, coder.others) for w in table)
 
 
 def test_whole_table(spark, documents, data):
