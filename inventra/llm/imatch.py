@@ -66,14 +66,17 @@ def with_print(df: DataFrame, text: str, name: str, lexicon: Column) -> DataFram
     df = df.select(*kept, "_terms", band.alias("_band"))
     df = df.select(*kept, F.sort_array(F.when(F.size("_band") >= LEAST, F.col("_band")).otherwise(F.col("_terms"))).alias("_used"))
 
-    def of(drawn: Column, rate: int) -> Column:
-        """The drawn terms (struct of draw d and term h) within a rate."""
-        return F.filter(drawn, lambda x: x["d"].bitwiseAND(F.lit((1 << rate) - 1)) == 0)
-
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.filter(F.transform(F.col("_used"), lambda h: F.struct(F.xxhash64(h, i).alias("d"), h.alias("h"))), lambda x: x["d"].bitwiseAND(F.lit((1 << RATES[0]) - 1)) == 0))
-    df = df.select(*kept, "_used", drawn.alias("_drawn"))
-    made = lambda rows: F.when(F.size(rows) > 0, F.xxhash64(F.transform(rows, lambda x: x["h"])).bitwiseAND(F.lit(0xFFFFFFFF)))
-    parts = F.transform("_drawn", lambda rows: F.array(*[made(of(rows, rate) if rate > RATES[0] else rows) for rate in RATES]))
+    def within(rate: int):
+        """From terms and the subset's number to the terms that the subset takes at a rate."""
+        return lambda rows, i: F.filter(rows, lambda h: F.xxhash64(h, i).bitwiseAND(F.lit((1 << rate) - 1)) == 0)
+
+    # Each rate draws from the terms of the rate before, one column after the other.
+    draws = [f"_draw{rate}" for rate in RATES]
+    df = df.select(*kept, "_used", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: within(RATES[0])(F.col("_used"), i)).alias(draws[0]))
+    for before, draw, rate in zip(draws, draws[1:], RATES[1:], strict=False):
+        df = df.select(*df.columns, F.transform(before, within(rate)).alias(draw))
+    made = lambda rows: F.when(F.size(rows) > 0, F.xxhash64(rows).bitwiseAND(F.lit(0xFFFFFFFF)))
+    parts = F.transform(draws[0], lambda _, i: F.array(*[made(F.get(F.col(draw), i)) for draw in draws]))
     return df.select(*kept, F.struct((F.size("_used") > 0).alias("used"), parts.alias("parts")).alias(name))
 
 
