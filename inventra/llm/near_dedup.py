@@ -51,7 +51,7 @@ FLOOR = 0.58
 BLOCK = 8192
 LINK_BLOCK, LINK_SHINGLES = 4096, 2 << 20
 SALT_ROWS = 1024
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 2 << 20
 _WORDS = BITS // 64
 _SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
 

@@ -324,6 +324,8 @@ def _answer(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Re
         for i, raw in enumerate(batch.column("keys")):
             bits = -np.log2(probability(layout, _back(_unpacked(raw.as_py()).cumsum())))
             yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), batch.column("shard").slice(i, 1), pa.array([_packed(np.rint(bits * STEPS))], pa.binary())], ["chunk", "shard", "bits"])
+    _shard.cache_clear()  # the worker stays for later tasks
+    _low.cache_clear()
 
 
 def _deliver(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
