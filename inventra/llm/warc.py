@@ -37,7 +37,8 @@ _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivatives")
 #: Elements whose content isn't text, and elements that end a line.
 _HIDDEN = frozenset(("script", "style", "noscript", "template", "title"))
 _BREAKS = frozenset(("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "main", "aside", "blockquote", "pre", "body"))
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|title)(?![\w-])")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9]*)|[/!?])[^>]*>")
 _HREF = re.compile(r"\shref\s*=", re.I)
 #: Bytes that a compressed payload may unpack to.
 MOST_UNPACKED = 1 << 28
@@ -84,56 +85,56 @@ def response(page_id: int | None, url: str | None, html: str | None) -> bytes:
 
 
 class Page:
-    """A page's plain text, title and number of links, in one pass: no end that isn't there is looked for twice.
+    """A page's plain text, title and number of links, in linear time: no end that isn't there is looked for twice.
 
     No scripts, styles, comments or title; a line for each block; entities resolved. What is opened and never closed hides nothing.
     """
 
     def __init__(self, html: str) -> None:
-        self.links, self._title, parts, at, n = 0, None, [], 0, len(html)
+        self.links, self._title, parts, at = 0, None, [], 0
         low = html.lower()
-        if len(low) != n:  # a letter whose lower case is longer
+        if len(low) != len(html):  # a letter whose lower case is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
         missing: set[str] = set()
 
         def end(mark: str, start: int) -> int:
-            """Where the mark is next; -1, found once and for all, if nowhere."""
+            """Where the mark ends next; 0, found once and for all, if it is nowhere."""
             if mark in missing:
-                return -1
+                return 0
             if (found := low.find(mark, start)) < 0:
                 missing.add(mark)
-            return found
+                return 0
+            return found + len(mark)
 
-        while at < n:
-            if (open_ := low.find("<", at)) < 0:
-                break
-            parts.append(html[at:open_])
-            if low.startswith("<!--", open_) and (close := end("-->", open_ + 4)) >= 0:
-                parts.append(" ")
-                at = close + 3
-                continue
-            close = end(">", open_ + 1) if open_ + 1 < n and (low[open_ + 1] in "/!?" or "a" <= low[open_ + 1] <= "z") else -1
-            if close < 0:
-                parts.append("<")
-                at = open_ + 1
+        for m in _OPEN.finditer(low):
+            if m.start() < at:
                 continue
-            name = (found := _NAME.match(low, open_, close)) and found[1]
-            at = close + 1
-            if name in _HIDDEN and low[open_ + 1] != "/":
-                last = end(f"</{name}", at)
-                if last >= 0 and (stop := end(">", last)) >= 0:
-                    if name == "title" and self._title is None:
-                        self._title = html[at:last]
-                    parts.append(" ")
-                    at = stop + 1
-            elif name == "a" and low[open_ + 1] != "/":
-                self.links += bool(_HREF.search(low, open_, close))
-            elif name in _BREAKS:
-                parts.append("\n")
-        parts.append(html[at:])
-        lines = (" ".join(line.split()) for line in entities.unescape("".join(parts)).split("\n"))
+            if m[1] is None:
+                stop = end("-->", m.end())
+            else:
+                stop = (inner := end(">", m.end())) and (close := end(f"</{m[1]}", inner)) and end(">", close)
+                if stop and m[1] == "title" and self._title is None:
+                    self._title = html[inner : close - len("</title")]
+            if stop:
+                parts += [html[at : m.start()], " "]
+                at = stop
+        body = "".join([*parts, html[at:]])
+        last = body.rfind(">") + 1  # no tag ends beyond, so none is looked for there
+        text = _TAG.sub(self._tag, body[:last]) + body[last:]
+        lines = (" ".join(line.split()) for line in entities.unescape(text).split("\n"))
         self.text = "\n".join(line for line in lines if line)
 
+    def _tag(self, m: re.Match) -> str:
+        """What stands for a tag: the end of a line, or nothing. Counts links."""
+        name = m[2]
+        if not name:
+            return ""
+        name = name.lower()
+        if name == "a":
+            self.links += not m[1] and bool(_HREF.search(m[0]))
+            return ""
+        return "\n" if name in _BREAKS else ""
+
     @property
     def title(self) -> str:
         return " ".join(entities.unescape(self._title or "").split())
