@@ -59,7 +59,7 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def _one_line(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
