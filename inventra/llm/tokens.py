@@ -16,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that one worker keeps, of at most so many characters; beyond it the table starts again empty. Longer ones are asked for each block anew.
-MEMO_ENTRIES, MEMO_LONGEST = 500_000, 64
+MEMO_ENTRIES, MEMO_LONGEST = 300_000, 64
 #: Rows of a block; a block of texts and its ids are in memory together.
 BLOCK_ROWS = 4096
 #: Bytes of a block, but for a single longer text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 #: Letters whose lower case, normal form and class are the same in every Unicode version. No apostrophe and no < (contractions and added tokens take the other way).
 _PLAIN = r"^[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=-@\[-`{-~]+$"
 #: Fixed value: the tokenizer's own split, for such letters: single digits, runs of letters, runs of the rest.
