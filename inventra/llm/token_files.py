@@ -57,10 +57,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary of at most DICTIONARY_BYTES from at most SAMPLE_DOCS documents; empty if there is too little to train on."""
     order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("dictionary"))
     place = F.pmod(order, F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
-    chosen = docs.select(order.alias("o"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("o", "piece").limit(SAMPLE_DOCS)
-    texts = chosen.select("piece").toArrow().column("piece").combine_chunks()
-    if not len(texts):
+    bound = docs.select(order.alias("o")).orderBy("o").limit(SAMPLE_DOCS).agg(F.max("o")).first()[0]  # from ids alone, so that no task gathers texts that aren't chosen
+    if bound is None:
         return b""
+    chosen = docs.where(order <= bound).select(order.alias("o"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("o", "piece").limit(SAMPLE_DOCS)
+    texts = chosen.select("piece").toArrow().column("piece").combine_chunks()
     coder = tokens.chunk_tokenizer(tokenizer)
     kind = id_type(coder.library.get_vocab_size())
     samples = [np.append(row, end_id).astype(kind).tobytes() for row in _rows(coder, texts)]
