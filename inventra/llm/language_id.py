@@ -41,7 +41,7 @@ ORDERS = (3, 4)
 #: Rows of the filter that one task sets together.
 ROW_BLOCK = 1 << 15
 #: Bytes of text whose windows are in memory together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 0x20, np.uint8)

@@ -259,18 +259,29 @@ class _Prefixes:
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        of = np.repeat(np.arange(len(sets)), self.sizes)
-        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        order = np.lexsort((code, count[code], of))
-        self.code = code[order]
+        # Members and codes as 32-bit numbers: the index of a block pair is what most of a worker's memory goes to.
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        code = self._coded(np.concatenate(sets))
+        count = np.bincount(code).astype(np.int32)
+        self.code = code[np.lexsort((code, count[code], of))]
+        del code
         self.start = self.sizes.cumsum() - self.sizes
-        place = np.arange(len(of)) - np.repeat(self.start, self.sizes)
         longer = self.sizes - -(-percent * self.sizes // 100) + 1
         self.shorter = self.sizes - -(-2 * percent * self.sizes // (100 + percent)) + 1
         self.every = self._postings(self.code, of, len(count))
-        keep = place < longer[of]
+        place = np.arange(len(of), dtype=np.int32) - np.repeat(self.start.astype(np.int32), self.sizes)
+        keep = place < longer.astype(np.int32)[of]
         self.longer = self._postings(self.code[keep], of[keep], len(count))
 
+    @staticmethod
+    def _coded(values: np.ndarray) -> np.ndarray:
+        """Each value's number among the sorted distinct ones."""
+        order = np.argsort(values)
+        ordered = values[order]
+        code = np.empty(len(values), np.int32)
+        code[order] = np.cumsum(np.concatenate([np.zeros(1, bool), ordered[1:] != ordered[:-1]]), dtype=np.int32)
+        return code
+
     @staticmethod
     def _postings(code: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         return of[np.argsort(code, kind="stable")], np.concatenate([[0], np.bincount(code, minlength=n).cumsum()])

@@ -58,7 +58,7 @@ SALT_CHUNKS = 512
 #: Answers are rounded to so many steps of a bit: perplexities hold to 3e-6 of themselves.
 STEPS = 1 << 17
 #: Bytes of text whose windows are in memory together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _NO_LANGUAGE = "und"
 _SCORES = "doc_id long, text_hash long, l int, held boolean, n_bytes long, perplexity double"
 _PAIR = 40503
@@ -210,7 +210,7 @@ def _read(path: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _shard(folder: str, shard: int) -> dict:
     return _read(f"{folder}/shards/shard={shard}")
 
