@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, language_id, licenses, near_dedup, packing, quality, sentencepieces, token_files, warc
+from . import bytes_bpe, exact_dedup, fill_middle, imatch, importance, language_id, licenses, near_dedup, packing, quality, sentencepieces, token_files, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_imatch": imatch.op9_imatch,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_importance": importance.op11_importance,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_byte_bpe": bytes_bpe.op13_byte_bpe,
 }
 
-ORACLES = {"op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLES = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op11_importance": importance.OP11_SQL, "op12_fill_middle": fill_middle.OP12_SQL}
