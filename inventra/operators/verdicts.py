@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,6 @@ VERDICT = T.StructType([
     T.StructField("legal", T.StructType([T.StructField("contract_type", T.StringType()), T.StructField("parties", T.ArrayType(T.StringType())), T.StructField("confidence", T.IntegerType())])),
     T.StructField("parsing_error", T.BooleanType()),
 ])
-_DECODER = json.JSONDecoder()
 
 
 #: What a text with broken accents looks like.
@@ -37,58 +37,95 @@ def valid(found: object) -> bool:
     return bool(present) and all(isinstance(found[k], dict) for k in present)
 
 
-def balanced(text: str) -> str | None:
-    """From the first brace to the one that closes it, minding strings and escapes."""
-    start, depth, quoted, escaped = text.find("{"), 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        c = text[i]
-        if quoted:
-            escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        else:
-            depth += (c == "{") - (c == "}")
-            if depth == 0:
-                return text[start : i + 1]
-    return None
-
-
 def _load(text: str) -> object:
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_TOKEN = re.compile(rf"[ \t\n\r]*+(?:({_STRING})|([{{}}\[\],:])|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null|NaN|-?Infinity))")
+#: What may follow: a value; a value or the end of a list; a key or the end of an object; a key; a colon; a comma or the end.
+_VALUE, _VALUE_OR_END, _KEY_OR_END, _KEY, _COLON, _COMMA = range(6)
+
+
+def _closed(text: str, start: int, known: dict[int, int | None]) -> None:
+    """Reads the object that begins at a brace, without recursion, and enters where it and the objects in it end: None for those that don't."""
+    stack: list[tuple[str, int]] = []
+    state, at = _VALUE, start
+    while (token := _TOKEN.match(text, at)) is not None:
+        string, sign, at = token[1], token[2], token.end()
+        if sign in ("{", "[") and state in (_VALUE, _VALUE_OR_END):
+            stack.append((sign, token.start(2)))
+            state = _KEY_OR_END if sign == "{" else _VALUE_OR_END
+            continue
+        if sign == "}" and stack[-1][0] == "{" and state in (_KEY_OR_END, _COMMA) or sign == "]" and stack[-1][0] == "[" and state in (_VALUE_OR_END, _COMMA):
+            kind, begin = stack.pop()
+            if kind == "{":
+                known[begin] = at
+            if not stack:
+                return
+            state = _COMMA
+        elif sign == "," and state == _COMMA:
+            state = _KEY if stack[-1][0] == "{" else _VALUE
+        elif sign == ":" and state == _COLON:
+            state = _VALUE
+        elif string is not None and state in (_KEY, _KEY_OR_END):
+            state = _COLON
+        elif not sign and state in (_VALUE, _VALUE_OR_END):
+            state = _COMMA
+        else:
+            break
+    for kind, begin in stack:
+        if kind == "{":
+            known[begin] = None
+
+
+def objects(text: str) -> Iterator[str]:
+    """The objects in a text, from each brace to the one that closes it, minding strings and escapes; none that lies in one before it.
+
+    Each object that was met on the way, closed or not, isn't read again, so the work grows with the text's length, whatever its nesting.
+    """
+    known: dict[int, int | None] = {}
+    at = text.find("{")
+    while at >= 0:
+        if at not in known:
+            _closed(text, at, known)
+        end = known.pop(at)
+        if end is not None:
+            yield text[at:end]
+        at = text.find("{", at + 1 if end is None else end)
+
+
 def salvage(text: str | None) -> str | None:
-    """The verdict in a response as JSON text: the whole, else the first valid object in it, else the first balanced one; texts of any length."""
+    """The verdict in a response as JSON text: the whole (if it is JSON, it alone counts), else the first valid object in it; texts of any length and nesting.
+
+    An object nested deeper than the JSON reader goes is no verdict.
+    """
     text = (text or "").strip()
     if len(text) < 10:
         return None
     whole = _load(text)
     if whole is not None:
         return json.dumps(whole) if valid(whole) else None
-    at = text.find("{")
-    while at >= 0:
-        try:
-            found, end = _DECODER.raw_decode(text, at)
-        except (ValueError, RecursionError):
-            end = at + 1
-        else:
-            if valid(found):
-                return json.dumps(found)
-        at = text.find("{", end)
-    found = _load(balanced(text) or "")
-    return json.dumps(found) if valid(found) else None
+    for found in map(_load, objects(text)):
+        if valid(found):
+            return json.dumps(found)
+    return None
 
 
-def _salvage_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(salvage)
+def with_json(rows: DataFrame, content: Column, name: str) -> DataFrame:
+    """Adds the verdict's JSON of a text, read once a row: a node of the plan, which isn't copied to where its result is used."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(name)
+            found = [None if t is None else salvage(t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, name, pa.array(found, pa.string()))
 
-def salvage_json(text: Column) -> Column:
-    return F.pandas_udf(_salvage_batches, "string")(text)
+    rows = rows.withColumn(name, content)
+    return rows.mapInArrow(read, rows.schema)
 
 
 def mean_confidence(*confidences: Column) -> Column:
@@ -101,9 +138,9 @@ def interpret(responses: DataFrame) -> DataFrame:
     """Adds outcome, error, verdict, resume and confidences to rows of (status, content). Where no verdict can be extracted, it is the fallback."""
     done = F.col("status") == "completed"
     content = F.coalesce("content", F.lit(""))
-    rows = responses.withColumn("_json", F.when(done, salvage_json(content)))
+    rows = with_json(responses, F.when(done, content), "_json")
     failed = done & F.col("_json").isNull() & (F.trim(content) != "")
-    rows = rows.withColumn("verdict", F.when(failed, F.from_json(F.to_json(fallback(content)), VERDICT)).otherwise(F.from_json("_json", VERDICT)))
+    rows = rows.withColumn("verdict", F.when(failed, fallback(content)).otherwise(F.from_json("_json", VERDICT)))
     said = F.lower(F.coalesce(F.col("verdict.resume"), F.lit("")))
     unreadable = F.lit(False)
     for phrase in INACCESSIBLE:
@@ -126,14 +163,15 @@ def interpret(responses: DataFrame) -> DataFrame:
 def fallback(content: Column) -> Column:
     """The verdict that stands for a response without one."""
     none = lambda kind, extra: F.struct(F.lit("none").alias(kind), *extra, F.lit(0).alias("confidence"))
-    return F.struct(
+    made = F.struct(
         F.substring(F.coalesce(content, F.lit("")), 1, 500).alias("resume"),
         F.struct(F.lit("C0").alias("classification"), F.lit(0).alias("confidence"), F.lit("Parsing failed").alias("justification")).alias("security"),
         none("risk_level", [F.array().cast("array<string>").alias("data_types")]).alias("rgpd"),
-        none("document_type", [F.array().cast("array<string>").alias("amounts")]).alias("finance"),
+        none("document_type", [F.array().cast("array<struct<value:string,currency:string,context:string>>").alias("amounts")]).alias("finance"),
         none("contract_type", [F.array().cast("array<string>").alias("parties")]).alias("legal"),
         F.lit(True).alias("parsing_error"),
     )
+    return made.cast(VERDICT)
 
 
 def quality(raw: Column, status: Column, error: Column) -> tuple[Column, Column]:

@@ -165,7 +165,7 @@ _RULE = f"CASE WHEN {EXT} IN ('.tmp', '.log', '.bak', '.cache', '.zip') THEN 'bl
 
 @query("u6_batch_status", f"SELECT CASE WHEN ({_RULE}) = 'ok' THEN 'completed' ELSE 'filtered' END AS outcome, count(*) AS n FROM files WHERE status = 'pending' GROUP BY 1")
 def _(t):
-    done = batch.classify_files(t.files.where("status = 'pending'"), latest(t), AS_OF)
+    done = batch.classify_files(t.files.where("status = 'pending'"), latest(t), AS_OF, shared.folder(t.spark, "answers"))
     return done.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -218,7 +218,8 @@ def _(t):
     """Verdicts in prose of any length: after braces that hold no JSON, after an object that is no verdict, and none."""
     text, kind = F.col("text"), F.col("doc_id") % 3
     content = F.when(kind == 0, F.concat(F.lit("note {x} "), text, F.lit(' {"security": {"classification": "C1"}} '), text)).when(kind == 1, F.concat(F.lit('{"a": {"b": 1}} '), F.repeat(text, 40), F.lit('{"security": {"classification": "C2"}}'))).otherwise(F.concat(F.lit("{ none "), text))
-    return t.raw("documents").select(F.col("doc_id").alias("id"), F.get_json_object(verdicts.salvage_json(content), "$.security.classification").alias("classification"))
+    rows = verdicts.with_json(t.raw("documents").select(F.col("doc_id").alias("id"), content.alias("content")), F.col("content"), "json")
+    return rows.select("id", F.get_json_object("json", "$.security.classification").alias("classification"))
 
 
 def inventory_csv(t, quoted: bool) -> str:

@@ -1,13 +1,15 @@
 """The batch job with a service, salvage of long responses, and ingest from files with strange lines."""
 
 import json
+import random
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
 from inventra.config import INVENTORY_COLUMNS
-from inventra.operators import batch, sinks, verdicts
+from inventra.operators import batch, durable, sinks, verdicts
 from inventra.sources import inventory
 
 
@@ -60,11 +62,192 @@ def test_salvage_any_length():
     for pad in (10, 100_000):
         assert json.loads(verdicts.salvage("note {x} " + "p" * pad + verdict + "q" * pad)) == json.loads(verdict)
         assert verdicts.salvage("note {x} " + "p" * pad) is None
-    assert verdicts.salvage('{"a": ' * 3000) is None
+    for hostile in ('{"a": ', '{"a": [', "[", "{", '{"', '": [{', '{"a": [{}, '):
+        began = time.monotonic()
+        assert verdicts.salvage(hostile * (400_000 // len(hostile))) is None
+        assert verdicts.salvage(hostile * (400_000 // len(hostile)) + verdict) in (None, json.dumps(json.loads(verdict)))
+        assert time.monotonic() - began < 8
+    assert verdicts.salvage('{"a": [' * 8000 + " " + verdict) == json.dumps(json.loads(verdict))
     deep = '{"finance": {"amounts": [{"value": "1", "context": "a } b"}]}}'
     assert json.loads(verdicts.salvage("so: " + deep)) == json.loads(deep)
 
 
+def test_salvage_as_reading_at_each_brace():
+    """The same as trying the JSON reader at every brace in turn."""
+    rng, reader = random.Random(1), json.JSONDecoder()
+    parts = ["{", "}", "[", "]", '"', ":", ",", '"security"', '"a"', "1", "-", "1e5", "true", "null", '{"security": {}}', '{"security": 1}', " ", "\\", '\\"', "\n", "é", "NaN", "{}", '"\\u00e9"', '"\\x"']
+
+    def plain(text):
+        text = text.strip()
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            whole = None
+        if len(text) < 10 or whole is not None:
+            return json.dumps(whole) if len(text) >= 10 and verdicts.valid(whole) else None
+        at = text.find("{")
+        while at >= 0:
+            try:
+                found, end = reader.raw_decode(text, at)
+            except ValueError:
+                end = at + 1
+            else:
+                if verdicts.valid(found):
+                    return json.dumps(found)
+            at = text.find("{", end)
+        return None
+
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(3, 14)))
+        assert verdicts.salvage(text) == plain(text), text
+
+
+def _inventory(spark, n, path="/s/f{}.txt"):
+    """Files of n/2 contents, two of each; a few without a hash."""
+    rows = [(i, f"f{i // 2}.txt", path.format(i), ".txt", 1000 + i // 2, "o", None if i < 4 else f"h{i // 2}", None, None, None, None, "pending", None, 50) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, name string, path string, extension string, file_size long, owner string, fast_hash string, file_attributes string, file_signature string, last_modified string, creation_time string, status string, exclusion_reason string, priority_score int")
+
+
+def _no_cache(spark):
+    return spark.createDataFrame([], "cache_key string, response_content string, created_at timestamp, hits_count int, ttl_expiry timestamp, file_size long")
+
+
+def _noting(folder, broken=None, bad=None):
+    """A classifier that notes each prompt in a file of its own, raises at a prompt while a file `broken` is there, and gives no verdict for some while `bad` is there."""
+    import os
+    import uuid
+
+    def classify(texts):
+        if os.path.exists(f"{folder}/{broken}") and any("Name: f20.txt" in t for t in texts):
+            raise RuntimeError("service is gone")
+        for t in texts:
+            with open(f"{folder}/asked-{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        none = os.path.exists(f"{folder}/{bad}")
+        return ["no verdict, sorry" if none and "f1" in t else x for t, x in zip(texts, batch.offline(texts), strict=True)]
+
+    return classify
+
+
+def _asked(folder):
+    return [p.read_text() for p in folder.glob("asked-*")]
+
+
+AS_OF = "2024-06-01 00:00:00"
+
+
+def test_asked_once_and_resumed(spark, tmp_path):
+    """Each content is asked once; a run that breaks keeps its answers, and going on asks only for the rest."""
+    files, notes, folder = _inventory(spark, 100), tmp_path / "notes", f"file://{tmp_path}/run"
+    notes.mkdir()
+    (notes / "broken").touch()
+    sending = batch.Sending(in_flight=2, bounds=durable.Bounds(rows=1, commit_rows=3))
+    ask = _noting(str(notes), broken="broken")
+    with pytest.raises(Exception, match="service is gone"):
+        batch.run_pending(files, _no_cache(spark), AS_OF, folder, classifier=ask, sending=sending)
+    kept = _asked(notes)
+    assert 0 < len(kept) < 52 and durable.results(spark, folder, batch.ANSWERS).count() == len(kept)
+    (notes / "broken").unlink()
+    done = batch.resumed(files, _no_cache(spark), AS_OF, folder, classifier=ask, sending=sending)
+    # 48 contents of two files and four files without a hash, two of each prompt
+    assert len(_asked(notes)) == 52 and len(set(_asked(notes))) == 50
+    assert done.files.groupBy("status").count().collect() == [("completed", 100)]
+    assert done.responses.count() == 100 and done.cache.count() == 48
+    again = batch.resumed(files, _no_cache(spark), AS_OF, folder, classifier=ask, sending=sending)
+    assert again.responses.count() == 100 and len(_asked(notes)) == 52
+
+
+def test_errors_again_in_place(spark, tmp_path):
+    """Errors are asked again in the folder of their run, and the last answer counts."""
+    files, notes, folder = _inventory(spark, 100), tmp_path / "notes", f"file://{tmp_path}/run"
+    notes.mkdir()
+    (notes / "bad").touch()
+    ask = _noting(str(notes), bad="bad")
+    first = batch.run_pending(files, _no_cache(spark), AS_OF, folder, classifier=ask)
+    first.files.write.parquet(f"{tmp_path}/files1")
+    after = spark.read.parquet(f"{tmp_path}/files1")
+    wrong = after.where("status = 'error'").count()
+    asked = len(_asked(notes))
+    assert wrong and asked == 52
+    (notes / "bad").unlink()
+    second = batch.run_errors(after, first.cache, AS_OF, folder, classifier=ask)
+    assert second.files.where("status = 'error'").count() == 0 and second.files.where("status = 'completed'").count() == 100
+    assert second.responses.count() == wrong and second.outcomes.count() == wrong
+    assert len(_asked(notes)) - asked == len({t for t in _asked(notes) if "f1" in t}) + 1  # f1 has two files without a hash
+
+
+def test_stopped(spark, tmp_path):
+    files, folder = _inventory(spark, 40), f"file://{tmp_path}/run"
+    sending = batch.Sending(in_flight=1, bounds=durable.Bounds(rows=4))
+    plain = batch.offline
+
+    def stopping(texts):
+        durable.stop(folder)
+        return plain(texts)
+
+    first = batch.run_pending(files, _no_cache(spark), AS_OF, folder, classifier=stopping, sending=sending)
+    assert durable.results(spark, folder, batch.ANSWERS).count() == 4
+    assert 4 <= first.files.where("status = 'completed'").count() <= 8 and first.files.where("status = 'pending'").count() >= 32
+    rest = batch.resumed(files, _no_cache(spark), AS_OF, folder)
+    assert rest.files.where("status = 'completed'").count() == 40
+    assert durable.results(spark, folder, batch.ANSWERS).groupBy("content_key").count().where("count > 1").isEmpty()
+
+
+def test_documents_from_the_job(spark, tmp_path, service):
+    """The job sends each distinct document once, as a form, with the prompt; one that can't be read ends in an error."""
+    base, seen = service
+    for i in range(20):
+        (tmp_path / f"f{i}.txt").write_bytes(f"content {i // 2}".encode())
+    (tmp_path / "f19.txt").unlink()
+    (tmp_path / "f18.txt").unlink()
+    files = _inventory(spark, 20, f"{tmp_path}/f{{}}.txt")
+    sending = batch.Sending(in_flight=2, documents=True, portion_bytes=25)
+    ask = batch.http_classifier(base, "token", wait=0.01, poll=0.01, busy_seconds=0.01)
+    done = batch.run_pending(files, _no_cache(spark), AS_OF, f"file://{tmp_path}/run", classifier=ask, sending=sending)
+    got = {r["id"]: (r["status"], r["exclusion_reason"]) for r in done.files.collect()}
+    assert {i for i, (s, _) in got.items() if s == "completed"} == set(range(18))
+    assert all(got[i][0] == "error" and got[i][1].startswith("Document not sent: FileNotFoundError") for i in (18, 19))
+    bodies = [body for kind, body in seen if kind.startswith("multipart/form-data")]
+    assert len(bodies) == len(seen) == 11  # 4 files without a hash, 7 pairs
+    for i in range(2, 9):
+        assert sum(f"\r\n\r\ncontent {i}\r\n".encode() in b for b in bodies) == 1
+
+
+def test_two_halves(spark, tmp_path, service):
+    """Posting and collecting are two stages; neither posts nor collects a content twice."""
+    base, seen = service
+    files, folder = _inventory(spark, 20), f"file://{tmp_path}/run"
+    ask = batch.http_classifier(base, "token", wait=0.01, poll=0.01)
+    once = batch.contents(batch.sorted_out(files, _no_cache(spark), AS_OF)[2])
+    assert batch.upload(once, folder, ask) == 12 and len(seen) == 12
+    assert batch.upload(once, folder, ask) == 0 and len(seen) == 12
+    assert batch.collect_answers(spark, folder, ask) == 12
+    assert batch.collect_answers(spark, folder, ask) == 0
+    done = batch.run_pending(files, _no_cache(spark), AS_OF, folder, classifier=_never)
+    assert done.files.where("status = 'completed'").count() == 20
+
+
+def _never(texts):
+    raise AssertionError("everything has an answer")
+
+
+def test_busy_goes_to_the_back():
+    """What is turned away for now is tried again after the others, and not before its time."""
+    from inventra.operators.transport import Busy, Service
+
+    tried = []
+
+    def call(i):
+        tried.append(i)
+        if i == 0 and tried.count(0) < 3:
+            raise Busy("429")
+        return str(i)
+
+    assert Service("http://x", "t", busy_seconds=0.05).queued([lambda i=i: call(i) for i in range(4)]) == ["0", "1", "2", "3"]
+    assert tried == [0, 1, 2, 3, 0, 0]
+    assert Service("http://y", "t", attempts=2, busy_seconds=0.01).queued([lambda: (_ for _ in ()).throw(Busy("503"))]) == [""]
+
+
 def test_strict_columns():
     """Columns 0 to 5, 12 and 15 to 18 are quoted."""
     assert [i for i in range(len(INVENTORY_COLUMNS)) if i not in inventory.QUOTED] == [6, 7, 8, 9, 10, 11, 13, 14]
