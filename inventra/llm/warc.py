@@ -6,17 +6,19 @@ Both carry the response's identifier in WARC-Refers-To, its target and date, and
 the metadata record also names the conversion in WARC-Concurrent-To. Identifiers are version-5 style UUIDs of
 the source's identifier, so a task that runs again makes the same records. Files have one gzip member a
 record; a task writes its own file and moves it, and a manifest lists them. Chunked transfers and gzip or deflate contents are
-undone; text is extracted in one pass, so hostile pages take no longer than others of their size.
+undone in a stream, whatever they unpack to; text is extracted in one pass and, of long pages, in segments, so hostile pages take no longer than others of their size.
 
 Defined results: a page without URL has the target ``urn:page:<id>``; null html is an empty payload, whose conversion is
-empty; a record that isn't a response, is cut off, or whose payload can't be unpacked, gives a metadata record with the field derivation-error and no
-conversion; repeated pages give repeated records; an empty table gives no files and no rows; other
+empty; a record that isn't a response, is cut off (also by the end of its file, or by damage to it), or whose payload can't be unpacked, gives a metadata record with the field derivation-error and no
+conversion; a payload of several gzip members is all of them; of a payload that ends too early, what is there is converted, and the metadata record says payload-truncated; bytes after a compressed
+payload are left out and counted in payload-trailing-bytes; repeated pages give repeated records; an empty table gives no files and no rows; other
 columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html as entities
 import re
@@ -40,8 +42,10 @@ _BREAKS = frozenset(("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li",
 _OPEN = re.compile(r"<!--|<(script|style|noscript|template|title)(?![\w-])")
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9]*)|[/!?])[^>]*>")
 _HREF = re.compile(r"\shref\s*=", re.I)
-#: Bytes that a compressed payload may unpack to.
-MOST_UNPACKED = 1 << 28
+#: Where a long page may be cut: between a tag and one that begins a line.
+_CUT = re.compile(r">\s*<(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article)(?![\w-])[^<>]*>", re.I)
+#: Characters of a segment of a long page, and bytes that are unpacked at a time.
+SEGMENT, PIECE = 1 << 24, 1 << 20
 _ROWS = "page_id long, response_id string, metadata_id string, conversion_id string, target_uri string, source_digest string, metadata_digest string, conversion_digest string, text_sha256 string, n_chars long, n_links long, error string"
 
 
@@ -139,39 +143,119 @@ class Page:
     def title(self) -> str:
         return " ".join(entities.unescape(self._title or "").split())
 
+    @classmethod
+    def of(cls, pieces: Iterator[str]) -> Page:
+        """A page that comes in pieces. Of a long one, segments are extracted one after the other; only a page without a place to cut, or with an element that hides a long part, is held for longer."""
+        done, held, size, least = [], [], 0, SEGMENT
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece)
+            if size >= least:
+                whole = "".join(held)
+                cut = cls._safe_cut(whole)
+                if cut:
+                    done.append(cls(whole[:cut]))
+                held, size = [whole[cut:]], len(whole) - cut
+                least = max(SEGMENT, 2 * size)  # without a place to cut, the next look is at twice the size
+        page = cls("".join(held))
+        for one in reversed(done):
+            page.links += one.links
+            page._title = page._title if one._title is None else one._title
+        page.text = "\n".join(t for t in (*(one.text for one in done), page.text) if t)
+        return page
+
+    @staticmethod
+    def _safe_cut(html: str) -> int:
+        """The last place where the rest of a page can be read by itself: at a tag that begins a line, in no hidden element or comment that is still open; 0 if there is none."""
+        low, at, limit = html.lower(), 0, len(html)
+        if len(low) != len(html):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
+        hidden = []
+        for m in _OPEN.finditer(low):
+            if m.start() < at:
+                continue
+            stop = low.find("-->" if m[1] is None else f"</{m[1]}", m.end())
+            stop = low.find(">", stop) + 1 if stop >= 0 else 0
+            if not stop:
+                limit = m.start()
+                break
+            hidden.append((m.start(), stop))
+            at = stop
+        places = [(m.start(), m.start() + m[0].index("<")) for m in _CUT.finditer(html, 0, limit)]
+        for before, place in reversed(places):
+            while hidden and hidden[-1][0] >= place:
+                hidden.pop()
+            if not hidden or hidden[-1][1] <= before:  # the > before it is a tag's, not that of a hidden element
+                return place
+        return 0
+
 
 def plain_text(html: str) -> str:
     return Page(html).text
 
 
-def unchunked(body: bytes) -> bytes:
-    """The payload of a chunked transfer; what isn't chunked comes back as it is."""
+def unchunked(body: bytes) -> tuple[bytes, bool]:
+    """The payload of a chunked transfer, and whether it came to its end; what isn't chunked comes back as it is."""
     parts, at = [], 0
     while (line := body.find(b"\r\n", at)) >= 0:
         try:
             size = int(body[at:line].split(b";")[0].strip() or b"x", 16)
         except ValueError:
-            return body
+            return body, True
         if not size:
-            return b"".join(parts)
+            return b"".join(parts), True
         parts.append(body[line + 2 : line + 2 + size])
         at = line + 2 + size + 2
-    return body if not parts else b"".join(parts)
-
-
-def unpacked(body: bytes, encoding: str) -> bytes:
-    """The content of a gzip or deflate payload, also if cut off; ValueError for any other coding, damage, or over MOST_UNPACKED bytes."""
+    return (b"".join(parts), False) if parts else (body, True)
+
+
+def _inflated(pieces: Iterator[bytes], coding: str, about: dict[str, str]) -> Iterator[bytes]:
+    """What a gzip or deflate payload holds, all its members, a piece at a time. Notes in about if it ends too early or goes on after its end."""
+    press, begun = None, False
+    for piece in pieces:
+        while piece:
+            if press is None:
+                if begun and (coding == "deflate" or not piece.lstrip(b"\0")[:2] == b"\x1f\x8b"[: len(piece.lstrip(b"\0"))]):
+                    left = len(piece.lstrip(b"\0")) + sum(map(len, pieces))
+                    if left:
+                        about["payload-trailing-bytes"] = str(left)
+                    return
+                piece = piece.lstrip(b"\0") if begun else piece
+                if not piece:
+                    break
+                press, begun = zlib.decompressobj(wbits=31 if coding != "deflate" else 15 if piece[:1] in (b"\x78", b"\x58") else -15), True
+            try:
+                yield press.decompress(piece, PIECE)
+            except zlib.error as e:
+                raise ValueError(f"damaged {coding}: {e}") from e
+            piece = press.unused_data if press.eof else press.unconsumed_tail
+            if press.eof:
+                press = None
+    if press is not None:
+        yield press.flush()
+    if not begun or press is not None and not press.eof:
+        about["payload-truncated"] = coding
+
+
+def unpacked(body: bytes, encoding: str, about: dict[str, str]) -> Iterator[bytes]:
+    """The content of a payload by its content codings, a piece at a time; ValueError for a coding other than gzip and deflate, and for damage."""
+    pieces = iter([body])
     for coding in reversed([c.strip() for c in encoding.lower().split(",") if c.strip() not in ("", "identity")]):
         if coding not in ("gzip", "x-gzip", "deflate"):
             raise ValueError(f"content coding {coding}")
-        press = zlib.decompressobj(wbits=15 if coding == "deflate" and body[:1] in (b"\x78", b"\x58") else -15 if coding == "deflate" else 31)
-        try:
-            body = press.decompress(body, MOST_UNPACKED)
-        except zlib.error as e:
-            raise ValueError(f"damaged {coding}: {e}") from e
-        if press.unconsumed_tail:
-            raise ValueError(f"over {MOST_UNPACKED} bytes unpacked")
-    return body
+        pieces = _inflated(pieces, coding, about)
+    return pieces
+
+
+def _decoded(pieces: Iterator[bytes], charset: str) -> Iterator[str]:
+    """Text of bytes that come in pieces; what can't be read is replaced. An unknown character set is read as UTF-8."""
+    try:
+        reader = codecs.getincrementaldecoder(charset)("replace")
+    except LookupError:
+        reader = codecs.getincrementaldecoder("utf-8")("replace")
+    for piece in pieces:
+        yield reader.decode(piece)
+    yield reader.decode(b"", True)
 
 
 def derive(raw: bytes) -> tuple[bytes, bytes | None]:
@@ -193,9 +277,11 @@ def derive(raw: bytes) -> tuple[bytes, bytes | None]:
         status, *headers = head.decode("latin-1").split("\r\n")
         told_headers = [(k.strip().lower(), v.strip()) for k, _, v in (h.partition(":") for h in headers)]
         header = dict(told_headers)
-        entity = unchunked(payload) if "chunked" in header.get("transfer-encoding", "").lower() else payload
+        entity, ended = unchunked(payload) if "chunked" in header.get("transfer-encoding", "").lower() else (payload, True)
+        charset = re.search(r"charset=[\"']?([\w-]+)", header.get("content-type", ""), re.I)
+        noted: dict[str, str] = {} if ended else {"payload-truncated": "chunked"}
         try:
-            content = unpacked(entity, header.get("content-encoding", ""))
+            page = Page.of(_decoded(unpacked(entity, header.get("content-encoding", ""), noted), charset[1] if charset else "utf-8"))
         except ValueError as e:
             error = str(e)
     if error:
@@ -203,12 +289,7 @@ def derive(raw: bytes) -> tuple[bytes, bytes | None]:
         return record("metadata", [("WARC-Record-ID", identifier("metadata", source)), *common_fields, ("Content-Type", "application/warc-fields")], _fields(body)), None
     if (told := fields.get("warc-payload-digest", "")).startswith("sha1:") and told not in (digest(entity), digest(payload)):
         about.append(("payload-digest-mismatch", digest(entity)))
-    charset = re.search(r"charset=[\"']?([\w-]+)", header.get("content-type", ""), re.I)
-    try:
-        page_text = content.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page_text = content.decode("utf-8", "replace")
-    page = Page(page_text)
+    about += noted.items()
     text = page.text.encode("utf-8", "replace")
     converted = identifier("conversion", source)
     about += [("http-status", status), *((f"http-header-{k}", v) for k, v in told_headers)]
@@ -263,13 +344,13 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri in batch.column("path").to_pylist():
             for raw in records_of(uri):
-                fields = raw[: max(raw.find(b"\r\n\r\n"), 0)].lower()
-                if b"\r\nwarc-type: response\r\n" in fields + b"\r\n":
+                head, whole, _ = raw.partition(b"\r\n\r\n")
+                if not whole or b"\r\nwarc-type: response\r\n" in head.lower() + b"\r\n":  # of one whose header is cut, nobody knows
                     yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["record"])
 
 
 def read_responses(spark, path: str) -> DataFrame:
-    """record: the response records of WARC files (a path or a pattern); a file is read by one task, record by record."""
+    """record: the response records of WARC files (a path or a pattern), cut ones too; a file is read by one task, record by record."""
     files = spark.read.format("binaryFile").load(path).select("path")
     return common.in_batches(files.repartition(common.partitions(spark)), _open, "record binary")
 
@@ -303,20 +384,34 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     return common.written(common.in_batches(records.select("record"), partial(_write, folder=folder), "name string, n_records long"), "manifest")
 
 
+_MEMBER = b"\x1f\x8b\x08"
+
+
 def members(uri: str) -> Iterator[bytes]:
-    """The records of a file of gzip members."""
+    """The records of a file of gzip members. Of one that is cut or damaged, what can be read; after damage, reading goes on at the next member's mark."""
     system, path = common.open_fs(uri)
     with system.open_input_stream(path, compression=None) as f:
-        rest, open_, parts = b"", zlib.decompressobj(wbits=31), []
+        rest, press, parts = b"", None, []
         while True:
             data = rest or f.read(1 << 20)
             if not data:
                 break
-            parts.append(open_.decompress(data))
-            rest = open_.unused_data
-            if open_.eof:
+            press = press or zlib.decompressobj(wbits=31)
+            try:
+                parts.append(press.decompress(data))
+                rest = press.unused_data
+                ended = press.eof
+            except zlib.error:
+                ended = True
+                rest = data[1:] + f.read(2)
+                while (mark := rest.find(_MEMBER)) < 0 and (more := f.read(1 << 20)):
+                    rest = rest[-2:] + more
+                rest = rest[mark:] if mark >= 0 else b""
+            if ended:
                 yield b"".join(parts)
-                open_, parts = zlib.decompressobj(wbits=31), []
+                press, parts = None, []
+        if press is not None:
+            yield b"".join([*parts, press.flush()])
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Operators 1, 4, 5, 6 and the pipeline."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -191,6 +192,61 @@ def test_warc_payloads():
         assert conversion is None and b"derivation-error: " in metadata
 
 
+def test_warc_members_and_cuts(monkeypatch):
+    """All members of a payload; what is there of a cut one, with a mark; bytes behind it counted; pieces of any size."""
+    import gzip
+    import zlib
+
+    def derived(payload, headers=b"Content-Encoding: gzip"):
+        metadata, conversion = warc.derive(warc.record("response", [("WARC-Record-ID", "<urn:x>")], b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n\r\n" + payload))
+        return warc.parse(metadata)[1].decode(), conversion and warc.parse(conversion)[1].decode()
+
+    body = b"<p>first</p>" * 2000
+    for piece in (7, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        about, text = derived(gzip.compress(b"<p>first ") + b"\0\0" + gzip.compress(b"second</p>"))
+        assert text == "first second" and "payload-tr" not in about
+        about, text = derived(gzip.compress(body) + b"garbage")
+        assert text == "\n".join(["first"] * 2000) and "payload-trailing-bytes: 7" in about
+        about, text = derived(gzip.compress(random.Random(1).randbytes(5000).hex().encode())[:2000])
+        assert "payload-truncated: gzip" in about and len(text) > 500
+        about, text = derived(zlib.compress(gzip.compress(b"<p>both</p>")), b"Content-Encoding: gzip, deflate")
+        assert text == "both" and "payload-tr" not in about
+    about, text = derived(b"5\r\nabcde\r\n9\r\nfg", b"Transfer-Encoding: chunked")
+    assert text == "abcdefg" and "payload-truncated: chunked" in about
+    assert "payload-truncated: gzip" in derived(b"")[0] and derived(b"")[1] == ""
+
+
+def test_warc_segments(monkeypatch):
+    """A page in segments gives what it gives whole."""
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<div class='a>b'>", "text &amp; more ", "<script>var x = '<p>';", "</script>", "<!-- <p> ", "-->", "\n", "<a href='x'>", "</a>", "<title>T", "</title>", "<li>é İ ", "> <p", ">", "<style>", "</style >"]
+    for size in (20, 100):
+        monkeypatch.setattr(warc, "SEGMENT", size)
+        for _ in range(1500):
+            page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
+            whole, cut = warc.Page(page), warc.Page.of(page[i : i + 9] for i in range(0, len(page), 9))
+            assert (cut.text, cut.links, cut.title) == (whole.text, whole.links, whole.title), page
+    monkeypatch.setattr(warc, "SEGMENT", 1 << 16)
+    long = "<p>some words</p>" * 300_000
+    assert warc.Page.of(long[i : i + 5000] for i in range(0, len(long), 5000)).text == "\n".join(["some words"] * 300_000)
+
+
+def test_warc_cut_files(spark, tmp_path):
+    """A file that ends in a member, and one with damage, lose no other record and name the broken one."""
+    import gzip
+
+    made = [warc.response(i, f"http://x/{i}", f"<p>{random.Random(i).randbytes(400).hex()}</p>") for i in range(4)]
+    packed = [gzip.compress(r) for r in made]
+    (tmp_path / "cut.warc.gz").write_bytes(packed[0] + packed[1][:-200])
+    hurt = bytearray(packed[2])
+    hurt[300:310] = b"\xff" * 10
+    (tmp_path / "hurt.warc.gz").write_bytes(bytes(hurt) + packed[3])
+    (tmp_path / "plain.warc").write_bytes(made[0] + made[1][:-100])
+    got = [warc.derive(bytes(r[0])) for r in warc.read_responses(spark, str(tmp_path)).collect()]
+    assert sum(c is not None for _, c in got) == 3 and sum(b"derivation-error: " in m for m, _ in got) == 3
+
+
 def test_warc_hostile_pages():
     """Marks that are opened again and again, and never closed, take linear time."""
     import time
