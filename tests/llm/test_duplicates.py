@@ -165,6 +165,23 @@ def test_exact_refines(spark):
         assert [(r["keep_id"], r["group_size"], r["copies"]) for r in found.collect()] == [(6, 2, 1)]
 
 
+@pytest.mark.parametrize("hot", [1e-3, 0.3])
+def test_exact_refines_at_every_size(spark, monkeypatch, hot):
+    """Beyond the broadcast bound the same rows are hashed, and the same stay; with pairs that are hot and pairs that aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("slot", F.lit(1))
+    more = docs.limit(1).crossJoin(spark.range(400).select((F.col("id") + 10**6).alias("i"))).withColumn("doc_id", F.col("i")).drop("i")
+    docs = docs.unionByName(more)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", hot)
+    found = []
+    for size in (common.BROADCAST_BYTES, 0, 64 * 50):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        with common.Scratch(spark) as scratch:
+            rows, names, groups = exact_dedup.refined(docs, 64, scratch)
+            hashed = sorted(r[0] for r in rows.where(F.col(names[2]).isNotNull()).select("doc_id").collect())
+            found.append((hashed, rows.count(), sorted(map(tuple, groups.select("keep_id", "copies", "group_size").collect())), sorted(r[0] for r in exact_dedup.keepers(docs, scratch).select("doc_id").collect())))
+    assert found[0] == found[1] == found[2] and 400 < len(found[0][0]) < 600
+
+
 def test_exact_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
