@@ -17,6 +17,8 @@ from inventra.llm import common, exact_dedup, language_id, near_dedup, packing,
 LEAST_LANGUAGE_SCORE, SURE_COVERAGE, LEAST_COVERAGE = 0.51, 0.8, 0.4
 #: Words of a shingle.
 SHINGLE = 5
+#: Tables that a stage's rows still read; `run` deletes them when these are written.
+_SCRATCHES: list[common.Scratch] = []
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -51,7 +53,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text counts as empty; a null doc_id stays only where all of the group are null; of repeated rows one stays; an empty table stays empty.
     """
-    return exact_dedup.keepers(docs, common.Scratch(spark))
+    scratch = common.Scratch(spark)
+    _SCRATCHES.append(scratch)
+    return exact_dedup.keepers(docs, scratch)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,5 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             after = stage(spark, docs, sf_dir)
             after = scratch.written(after, f"stage-{name}") if i < len(STAGES) - 1 else common.written(after, name)
             scratch.dropped(docs)
+            while _SCRATCHES:
+                _SCRATCHES.pop().__exit__()
             docs = after
     return docs

@@ -8,10 +8,10 @@ windows, dealt by key.
 
 Scoring is a join of the documents' distinct windows with the model, both dealt into shards by model and by the window's third and
 fourth byte, so that a window, its contexts and its shorter forms of three bytes and more lie in one shard (the tables of one
-and two bytes are at most 66,000 rows a model and are read with it). A task asks once for each distinct window of its whole
-partition; requests and answers travel as compressed arrays (about 4 bytes a window), a row for each partition and shard; each shard of the model is read once
-for SALT_CHUNKS partitions that ask. The answers go back as a file for each partition, and a second pass over the
-documents adds up log-probabilities from its own file. Texts never move. If that pass finds its rows
+and two bytes are at most 66,000 rows a model and are read with it). A task takes its partition in slices of SLICE windows and asks once for each distinct window of a
+slice; requests and answers travel as compressed arrays (about 4 bytes a window), a row for each slice and shard; each shard of the model is read once
+for SALT_PARTITIONS partitions that ask. The answers go back as a file for each slice, and a second pass over the
+documents adds up log-probabilities from the files of its slices. Texts never move. If that pass finds its rows
 dealt otherwise (a source that isn't a table), windows without an answer are looked up in the model's shards.
 
 A document's perplexity is that of its bytes. A document is rejected if it exceeds the limit of its
@@ -54,11 +54,13 @@ CLASS_LEAST = 200
 LANGUAGE_LEAST = 30
 #: Rows of a shard of the model; partitions whose requests meet one reading of a shard.
 SHARD_ROWS = 1_000_000
-SALT_CHUNKS = 512
+SALT_PARTITIONS = 64
 #: Answers are rounded to so many steps of a bit: perplexities hold to 3e-6 of themselves.
 STEPS = 1 << 17
 #: Bytes of text whose windows are in memory together.
 BLOCK = 1 << 19
+#: Windows whose distinct ones are asked for together: a task's memory doesn't follow the size of its partition.
+SLICE = 1 << 21
 _NO_LANGUAGE = "und"
 _SCORES = "doc_id long, text_hash long, l int, held boolean, n_bytes long, perplexity double"
 _PAIR = 40503
@@ -297,25 +299,32 @@ def _pieces_of(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
         at += 16 + n
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Slices of a partition by size, each with a number that no other slice of the table has, and its blocks: rows, windows, sizes."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for rows, keys, sizes in _blocks(batches):
+        held.append((rows, keys, sizes))
+        size += len(keys)
+        if size >= SLICE:
+            yield number, held
+            number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
+
+
 def _ask(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
-    """The distinct windows of a partition, a row a shard; they are kept in a file as well."""
-    every, fresh, n = np.zeros(0, np.int64), [], 0
-    for _, keys, _ in _blocks(batches):
-        fresh.append(common.distinct(_turned(keys)))
-        n += len(fresh[-1])
-        if n > max(1 << 20, len(every)):
-            every, fresh, n = common.distinct(np.concatenate([every, *fresh])), [], 0
-    every = common.distinct(np.concatenate([every, *fresh]))
-    of = layout.shard(_back(every))
-    order = np.argsort(of, kind="stable")
-    every, of = every[order], of[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
-    parts = [(int(of[a]), _packed(np.diff(every[a:b], prepend=0))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if of[a] >= 0]
-    chunk = TaskContext.get().partitionId()
-    if parts:
-        common.write_file(f"{folder}/{chunk}.ask", _pieces(parts))
-    for shard, raw in parts:
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "shard", "keys"])
+    """The distinct windows of each slice, a row a shard; they are kept in a file as well."""
+    for chunk, blocks in _slices(batches):
+        every = common.distinct(np.concatenate([common.distinct(_turned(keys)) for _, keys, _ in blocks]))
+        of = layout.shard(_back(every))
+        order = np.argsort(of, kind="stable")
+        every, of = every[order], of[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
+        parts = [(int(of[a]), _packed(np.diff(every[a:b], prepend=0))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if of[a] >= 0]
+        if parts:
+            common.write_file(f"{folder}/{chunk}.ask", _pieces(parts))
+        for shard, raw in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "shard", "keys"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
@@ -329,7 +338,7 @@ def _answer(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Re
 
 
 def _deliver(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes each partition's answers as one file; rows come sorted by chunk."""
+    """Writes each slice's answers as one file; rows come sorted by chunk."""
     chunk, parts = None, []
 
     def put() -> pa.RecordBatch:
@@ -348,7 +357,7 @@ def _deliver(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 
 
 def _delivered(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
-    """A partition's windows in order, and their bits."""
+    """A slice's windows in order, and their bits."""
     try:
         asked, told = (common.read_file(f"{folder}/{chunk}.{kind}") for kind in ("ask", "bits"))
     except FileNotFoundError:
@@ -363,27 +372,30 @@ def _delivered(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
-    """Perplexities of rows (doc_id, text_hash, l, held, text, m), by the partition's answers."""
-    known, bits = _delivered(folder, TaskContext.get().partitionId())
-    for rows, keys, sizes in _blocks(batches):
-        distinct = common.distinct(keys)
-        value = np.full(len(distinct), np.nan)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-            hit = known[at] == distinct
-            value[hit] = bits[at[hit]]
-        if len(missing := np.flatnonzero(np.isnan(value) & (layout.shard(distinct) >= 0))):
-            value[missing] = np.rint(-np.log2(probability(layout, distinct[missing])) * STEPS) / STEPS
-        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[np.searchsorted(distinct, keys)], minlength=len(sizes))
-        perplexity = np.exp2(total / np.maximum(sizes, 1))
-        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "text_hash", "l", "held")), pa.array(sizes), pa.array(perplexity, mask=np.isnan(perplexity) | (sizes == 0))], ["doc_id", "text_hash", "l", "held", "n_bytes", "perplexity"])
+    """Perplexities of rows (doc_id, text_hash, l, held, text, m), by their slice's answers; what a slice hasn't asked for (its rows came in another order) is read from the model."""
+    for chunk, blocks in _slices(batches):
+        known, bits = _delivered(folder, chunk)
+        for rows, keys, sizes in blocks:
+            distinct = common.distinct(keys)
+            value = np.full(len(distinct), np.nan)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                hit = known[at] == distinct
+                value[hit] = bits[at[hit]]
+            if len(missing := np.flatnonzero(np.isnan(value) & (layout.shard(distinct) >= 0))):
+                value[missing] = np.rint(-np.log2(probability(layout, distinct[missing])) * STEPS) / STEPS
+            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[np.searchsorted(distinct, keys)], minlength=len(sizes))
+            perplexity = np.exp2(total / np.maximum(sizes, 1))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "text_hash", "l", "held")), pa.array(sizes), pa.array(perplexity, mask=np.isnan(perplexity) | (sizes == 0))], ["doc_id", "text_hash", "l", "held", "n_bytes", "perplexity"])
+    _shard.cache_clear()
+    _low.cache_clear()
 
 
 def perplexities(rows: DataFrame, layout: Layout, scratch: common.Scratch) -> DataFrame:
     """doc_id, text_hash, l, held, n_bytes, perplexity of rows (doc_id, text_hash, l, held, text, m: number of the model); a table of the scratch."""
     n, folder = common.partitions(rows.sparkSession), scratch.folder("answers")
     asked = common.in_batches(rows, functools.partial(_ask, layout=layout, folder=folder), "chunk long, shard long, keys binary")
-    asked = asked.repartition(n, "shard", F.floor(F.col("chunk") / SALT_CHUNKS)).sortWithinPartitions("shard")
+    asked = asked.repartition(n, "shard", F.floor(F.shiftright("chunk", 32) / SALT_PARTITIONS)).sortWithinPartitions("shard")
     answered = common.in_batches(asked, functools.partial(_answer, layout=layout), "chunk long, shard long, bits binary")
     answered = answered.repartition(n, "chunk").sortWithinPartitions("chunk")
     scratch.written(common.in_batches(answered, functools.partial(_deliver, folder=folder), "chunk long, n long"), "delivered")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that one worker keeps, of at most so many characters; beyond it the table starts again empty. Longer ones are asked for each block anew.
-MEMO_ENTRIES, MEMO_LONGEST = 300_000, 64
+MEMO_ENTRIES, MEMO_LONGEST = 150_000, 64
 #: Rows of a block; a block of texts and its ids are in memory together.
 BLOCK_ROWS = 4096
 #: Bytes of a block, but for a single longer text.
