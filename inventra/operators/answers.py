@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MB
+from . import ordering
 from .rules import ignore_reason
 
 
@@ -52,13 +53,13 @@ def put(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("cache_key").agg(F.max_by(F.struct(*names), "created_at").alias("r")).select("cache_key", *[F.col(f"r.{n}").alias(n) for n in names])
 
 
-def evict(cache: DataFrame, excess_bytes: int) -> DataFrame:
-    """What stays when the least used, then oldest rows go until their documents' sizes cover the excess."""
-    # Sums of each hits count come first, so the running sum over all rows is one over few rows and one within each count.
-    per = cache.groupBy("hits_count").agg(F.sum("file_size").alias("_bytes"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_bytes").over(Window.orderBy("hits_count").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("hits_count", "_before")
-    within = F.coalesce(F.sum("file_size").over(Window.partitionBy("hits_count").orderBy("created_at", "cache_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cache.withColumn("_within", within).join(before, "hits_count").where(F.col("_before") + F.col("_within") >= excess_bytes).drop("_within", "_before")
+def evict(cache: DataFrame, excess_bytes: int, parts: int | None = None) -> DataFrame:
+    """What stays when the least used, then oldest rows go until their documents' sizes cover the excess. The sum runs over stretches of the order, so rows of one number of hits are many tasks."""
+    narrow = cache.select("cache_key", "hits_count", "created_at", F.coalesce("file_size", F.lit(0)).cast("long").alias("file_size"))
+    summed = ordering.running(narrow, [], ["hits_count", "created_at", "cache_key"], "file_size", "hits_count", 1, parts)
+    stays = summed.where(F.col("run_sum") - F.col("file_size") >= excess_bytes).select(*[F.col(c).alias(f"_{c}") for c in ("cache_key", "hits_count", "created_at")])
+    same = (F.col("cache_key") == F.col("_cache_key")) & F.col("hits_count").eqNullSafe(F.col("_hits_count")) & F.col("created_at").eqNullSafe(F.col("_created_at"))
+    return cache.join(stays, same, "left_semi")
 
 
 def statistics(cache: DataFrame) -> DataFrame:

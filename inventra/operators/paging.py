@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MB, OTHER, SENSITIVE_LEGAL
 from ..functions import dates
+from . import ordering
 from .active import is_active
 from .metrics import period, size_bucket
 
@@ -122,5 +123,11 @@ def large_ids(files: DataFrame, mb: int) -> DataFrame:
     return files.where(F.col("file_size") >= mb * MB).select("id")
 
 
+def positions(rows: DataFrame, within: list[str], parts: int | None = None) -> DataFrame:
+    """Each row's place (from 0) among those of its keys, the largest id first. One key's rows may lie in many tasks."""
+    given = rows.withColumn("_down", -F.col("id"))
+    return ordering.running(given, within, ["_down"], "_down", "_down", 1, parts).withColumn("position", (F.col("run_number") - 1).cast("int")).select(*rows.columns, "position")
+
+
 def last_first(rows: DataFrame, by: list[Column], most: int, within: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col("rank") <= most)

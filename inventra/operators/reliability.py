@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
 
-def _mean(column: str) -> Column:
-    """Mean to ten-thousandths, added up as whole numbers so that the order of rows doesn't matter."""
-    return F.avg(F.round(F.col(column) * 10_000).cast("long"))
+
+#: Parts of a second in which durations are added up.
+TICKS = 10_000
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:
@@ -36,8 +37,8 @@ def score(security: Column, rgpd: Column, mean: Column, deviation: Column) -> Co
     return 0.4 * security + 0.4 * rgpd + 0.2 * mean * (1 - F.least(deviation / 100, F.lit(0.5)))
 
 
-#: Fixed value: the most workers that are advised.
-MOST_WORKERS = 8
+#: The most workers that are advised; shares of a worker's rate below and above which there should be one less or more; points a call a minute.
+MOST_WORKERS, IDLE, BUSY, POINTS = 8, 0.7, 0.9, 10
 
 
 def scalability(calls: DataFrame, workers: int) -> DataFrame:
@@ -49,19 +50,25 @@ def scalability(calls: DataFrame, workers: int) -> DataFrame:
     reached = F.when(F.col("most_per_minute") > 0, F.col("per_minute") / F.col("most_per_minute")).otherwise(0.0)
     each = reached / workers
     idle = F.lit(min(MOST_WORKERS, max(2, workers)))
-    advice = F.when(F.col("per_minute") > 0, F.when(each < 0.7, max(1, workers - 1)).when(each > 0.9, min(MOST_WORKERS, workers + 1)).otherwise(idle)).otherwise(idle)
-    score = F.least(F.lit(100.0), F.col("per_minute") / workers * 10)
+    advice = F.when(F.col("per_minute") > 0, F.when(each < IDLE, max(1, workers - 1)).when(each > BUSY, min(MOST_WORKERS, workers + 1)).otherwise(idle)).otherwise(idle)
+    score = F.least(F.lit(100.0), F.col("per_minute") / workers * POINTS)
     return wide.select(F.round("most_per_minute", 4).alias("most_per_minute"), F.round(reached, 4).alias("efficiency"), advice.alias("advised_workers"), F.round(score, 4).alias("score"))
 
 
-def moving_average(calls: DataFrame, rows: int = 10) -> DataFrame:
+def _running(calls: DataFrame, rows: int = 10, parts: int | None = None) -> DataFrame:
+    """The calls with each worker's running figures; durations are added up as whole ten-thousandths, so that the order of adding doesn't matter. A busy worker's log is many stretches."""
+    given = calls.withColumn("_ticks", F.round(F.col("duration") * TICKS).cast("long"))
+    return ordering.running(given, ["worker"], ["ts", "call_id"], "_ticks", "duration", rows, parts).drop("_ticks")
+
+
+def moving_average(calls: DataFrame, rows: int = 10, parts: int | None = None) -> DataFrame:
     """Mean of each worker's last calls."""
-    return calls.withColumn("moving", _mean("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(1 - rows, 0)) / 10_000)
+    return _running(calls, rows, parts).withColumn("moving", F.col("frame_sum") / F.col("frame_rows") / TICKS).select(*calls.columns, "moving")
 
 
-def running_mean(calls: DataFrame) -> DataFrame:
-    return calls.withColumn("running", _mean("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)) / 10_000)
+def running_mean(calls: DataFrame, parts: int | None = None) -> DataFrame:
+    return _running(calls, parts=parts).withColumn("running", F.col("run_sum") / F.col("run_number") / TICKS).select(*calls.columns, "running")
 
 
-def running_max(calls: DataFrame) -> DataFrame:
-    return calls.withColumn("most", F.max("duration").over(Window.partitionBy("worker").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)))
+def running_max(calls: DataFrame, parts: int | None = None) -> DataFrame:
+    return _running(calls, parts=parts).select(*calls.columns, F.col("run_most").alias("most"))

@@ -307,9 +307,7 @@ def _(t):
 
 @query("w4_rank", "SELECT id, CAST(row_number() OVER (PARTITION BY owner ORDER BY id DESC) - 1 AS INTEGER) AS position FROM active")
 def _(t):
-    from pyspark.sql import Window
-
-    return t.active.select("id", (F.row_number().over(Window.partitionBy("owner").orderBy(F.col("id").desc())) - 1).alias("position"))
+    return P.positions(t.active.select("id", "owner"), ["owner"]).select("id", "position")
 
 
 @query("w5_first_of_family", f"SELECT fast_hash, file_size, min(id) AS first_id FROM {_GROUPS} WHERE group_size > 1 GROUP BY 1, 2")

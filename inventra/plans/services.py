@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import AS_OF, INVENTORY_COLUMNS
 from ..operators import answers as C
-from ..operators import batch, prompts, sinks, verdicts
+from ..operators import batch, durable, pages, prompts, sinks, tables, verdicts
 from ..operators import reliability as Q
-from ..sources import inventory, shared
+from ..sources import inventory, listing, shared
+from ..sources import logs as log_files
+from ..streaming import answer_state, paced
 from .base import ATTRIBUTES, EXT, confidence_sql, human_sql, query
 
 _CONF = confidence_sql("security_confidence", "rgpd_confidence", "finance_confidence", "legal_confidence")
@@ -192,11 +194,139 @@ def _(t):
 
 @query("f7_resumed", _after("pending"))
 def _(t):
+    """A run that is stopped after each task's first portion, then goes on."""
     folder = shared.folder(t.spark, "outcomes")
-    batch.run(t.files, latest(t), AS_OF, t.files.where("status = 'pending' AND id % 3 = 0"), folder)
+
+    def stopping(texts):
+        durable.stop(folder)
+        return batch.offline(texts)
+
+    batch.run_pending(t.files, latest(t), AS_OF, folder, classifier=stopping, sending=batch.Sending(bounds=durable.Bounds(rows=4)))
     return _shown(batch.resumed(t.files, latest(t), AS_OF, folder))
 
 
+@query("u11_two_halves", _after("pending"))
+def _(t):
+    """Contents are posted in one stage and their results collected in another; the run then finds all answers."""
+    folder, service = shared.folder(t.spark, "outcomes"), batch.OfflineService("offline://", "")
+    once = batch.contents(batch.sorted_out(t.files.where("status = 'pending'"), latest(t), AS_OF)[2])
+    batch.upload(once, folder, service)
+    batch.collect_answers(t.spark, folder, service)
+    return _shown(batch.run_pending(t.files, latest(t), AS_OF, folder))
+
+
+@query("u12_paced_run", _after("pending"))
+def _(t):
+    """The pending contents in order of their scores, as a stream of batches of a fifth of them."""
+    folder = shared.folder(t.spark, "outcomes")
+    n = batch.contents(batch.sorted_out(t.files.where("status = 'pending'"), latest(t), AS_OF)[2]).count()
+    return _shown(paced.run(t.files, latest(t), AS_OF, folder, max(1, -(-n // 5)))[0])
+
+
+def documents_folder(t) -> str:
+    """The documents' texts as files, in a folder by language and source, written where the rows are."""
+    folder = shared.folder(t.spark, "tree")
+
+    def put(batches):
+        import pyarrow as pa
+
+        system, root = shared.open_fs(folder)
+        for rows in batches:
+            for r in rows.to_pylist():
+                place = f"{root}/{r['lang']}/{r['source']}"
+                system.create_dir(place, recursive=True)
+                with system.open_output_stream(f"{place}/{r['doc_id']}.txt") as out:
+                    out.write((r["text"] or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([rows.num_rows], pa.int64())})
+
+    t.raw("documents").select("doc_id", "lang", "source", "text").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+@query("a18_documents_sent", "SELECT doc_id AS id, 'completed' AS status, 'C' || (strlen(coalesce(text, '')) % 100 % 4)::VARCHAR AS classification FROM documents", plain=True)
+def _(t):
+    """The job reads each document from its file and sends it with the prompt; the answer depends on what was sent."""
+    folder = documents_folder(t)
+    path = F.concat_ws("/", F.lit(folder), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    none = F.lit(None).cast("string")
+    files = t.raw("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), path.alias("path"), F.lit(".txt").alias("extension"), F.lit(1000).cast("long").alias("file_size"), F.col("source").alias("owner"), none.alias("fast_hash"), none.alias("file_attributes"), none.alias("file_signature"), none.alias("last_modified"), F.lit("pending").alias("status"), none.alias("exclusion_reason"), F.lit(1).alias("priority_score"))
+    done = batch.run_pending(files, latest(t), AS_OF, shared.folder(t.spark, "outcomes"), classifier=batch.by_document, sending=batch.Sending(documents=True))
+    return _shown(done).select("id", "status", "classification")
+
+
+@query("b15_listing", "SELECT doc_id || '.txt' AS name, coalesce(lang, 'None') || '/' || coalesce(source, 'None') AS folder, '.txt' AS extension, strlen(coalesce(text, '')) AS file_size, 'pending' AS status, true AS dated FROM documents", plain=True)
+def _(t):
+    folder = documents_folder(t)
+    parts = F.split("path", "/")
+    found = listing.files(t.spark, folder)
+    return found.select("name", F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2)).alias("folder"), "extension", "file_size", "status", F.col("last_modified").isNotNull().alias("dated"))
+
+
+@query("v3_objects", "SELECT doc_id AS id, 'C' || (doc_id % 4)::VARCHAR AS classification FROM documents", plain=True)
+def _(t):
+    """Verdicts behind openings that never close, with braces and quotes in their strings, and nested ones."""
+    text = F.translate(F.col("text"), '"\\{}\n\r\t', "       ")
+    told = F.concat(F.lit('{"finance": {"amounts": [{"value": "} \\" {", "context": "'), F.substring(text, 1, 200), F.lit('"}]}, "security": {"classification": "C'), (F.col("doc_id") % 4).cast("string"), F.lit('"}}'))
+    content = F.concat(F.repeat(F.lit('{"a": ['), (F.col("doc_id") % 50).cast("int")), F.lit(" {'no'} "), text, told, F.lit("} so much for that"))
+    rows = verdicts.with_json(t.raw("documents").select(F.col("doc_id").alias("id"), content.alias("content")), F.col("content"), "json")
+    return rows.select("id", F.get_json_object("json", "$.security.classification").alias("classification"))
+
+
+@query("a16_incremental_log", "SELECT CASE WHEN event_type IN ('error', 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN event_type IN ('error', 'ERROR') THEN '2024 [ERROR] ' ELSE '2024 [INFO] ' END || event_type || ' ' || event_id::VARCHAR AS line FROM events", plain=True)
+def _(t):
+    """A log a worker that grows twice between readings of the stream, which goes on from its checkpoint; each line once."""
+    folder, out = shared.folder(t.spark, "logs"), shared.folder(t.spark, "lines")
+    line = F.concat(F.lit("2024 ["), F.when(F.col("event_type").isin("error", "ERROR"), "ERROR").otherwise("INFO"), F.lit("] "), "event_type", F.lit(" "), F.col("event_id").cast("string"))
+    rows = t.events.select((F.col("user_id") % 16).alias("worker"), "event_id", line.alias("line"))
+    bounds = rows.agg(F.percentile_approx("event_id", [0.4, 0.7, 1.0], 1000)).first()[0] or [0]
+    for bound in bounds:
+        _grown(rows.where(F.col("event_id") <= bound), folder)
+        given = log_files.stream(t.spark, folder).select("level", "line")
+        given.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("level string, line string").parquet(out)
+
+
+def _grown(rows: DataFrame, folder: str) -> None:
+    """Writes each worker's lines, in order, over its log: the file stays, and what was in it stays in front."""
+
+    def put(batches):
+        import pyarrow as pa
+
+        system, root = shared.open_fs(folder)
+        system.create_dir(root, recursive=True)
+        worker, out = None, None
+        for rows in batches:
+            for w, line in zip(rows.column("worker").to_pylist(), rows.column("line").to_pylist(), strict=True):
+                if w != worker:
+                    if out is not None:
+                        out.close()
+                    worker, out = w, system.open_output_stream(f"{root}/worker-{w}.log")
+                out.write(line.encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64())})
+
+    rows.repartition("worker").sortWithinPartitions("worker", "event_id").select("worker", "line").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def _answer_events(t) -> DataFrame:
+    """Answers and questions over the events: every fourth one of a user puts an answer, the others ask."""
+    put = F.col("event_id") % 4 == 0
+    return t.events.select("event_id", F.col("user_id").cast("string").alias("cache_key"), F.when(put, "put").otherwise("ask").alias("kind"), F.when(put, F.concat(F.lit("answer "), F.col("event_id").cast("string"))).alias("answer"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query("c1_answer_state", "WITH e AS (SELECT event_id, user_id::VARCHAR AS k, event_id % 4 = 0 AS put, ts::TIMESTAMP AS moment FROM events), p AS (SELECT *, lead(moment) OVER (PARTITION BY k ORDER BY moment, event_id) AS until FROM e WHERE put), m AS (SELECT a.event_id, a.moment, p.event_id AS source, p.moment AS since FROM e a LEFT JOIN p ON a.k = p.k AND p.moment <= a.moment AND (p.until IS NULL OR p.until > a.moment) AND a.moment < p.moment + to_hours(24) WHERE NOT a.put) SELECT event_id, source IS NOT NULL AS hit, 'answer ' || source::VARCHAR AS answer, CASE WHEN source IS NOT NULL THEN CAST(1 + row_number() OVER (PARTITION BY source ORDER BY moment, event_id) AS INTEGER) END AS hits FROM m", plain=True)
+def _(t):
+    """Answers live for a day from when they were put."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder, out = shared.folder(t.spark, "asked"), shared.folder(t.spark, "answered")
+    events = _answer_events(t)
+    events.write.parquet(folder)
+    given = answer_state.answered(t.spark.readStream.schema(events.schema).parquet(folder), 24)
+    given.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(answer_state.OUT).parquet(out).select("event_id", "hit", "answer", "hits")
+
+
 @query("k7_listing", "SELECT name AS \"Nom\", path AS \"Chemin\", file_size AS \"Taille\", owner AS \"Propriétaire\", last_modified AS \"Modifié\", coalesce(security_class, 'none') AS \"Classification\", coalesce(rgpd_risk, 'none') AS \"Risque RGPD\" FROM joined")
 def _(t):
     return sinks.listing(t.joined)
@@ -241,6 +371,52 @@ def _(t):
     return t.spark.read.parquet(target).select("path", "extension", "file_size", "status", "exclusion_reason", "priority_score", F.array_join(F.array_except("special_flags", F.array(F.lit("signature_mismatch"))), ",").alias("flags"), "file_signature")
 
 
+@query("a10_insert_or_ignore", "SELECT '/share/n, ' || doc_id || '\".txt' AS path, 'pending' AS status, 1 AS copies FROM documents", plain=True)
+def _(t):
+    """The same inventory twice: the second adds nothing; ids are each row's own."""
+    target, given = shared.folder(t.spark, "files"), inventory_csv(t, True)
+    for _ in range(2):
+        inventory.ingest(t.spark, given, target)
+    rows = t.spark.read.parquet(target)
+    return rows.groupBy("id").agg(F.first("path").alias("path"), F.first("status").alias("status"), F.count(F.lit(1)).cast("int").alias("copies")).drop("id")
+
+
+@query("k2_partition_update", "SELECT id, CASE WHEN id % 50 = 0 THEN 'error' ELSE status END AS status, CASE WHEN id % 50 = 0 THEN 'late' ELSE exclusion_reason END AS exclusion_reason FROM files")
+def _(t):
+    """Statuses are updated in a stored table; partitions without an update keep their files."""
+    folder = shared.folder(t.spark, "files")
+    tables.create(t.files, folder, "path")
+    late = t.files.where("id % 50 = 0").select("id", F.lit("error").alias("status"), F.lit("late").alias("exclusion_reason"), F.lit(1).alias("seq"))
+    tables.update(t.spark, folder, late, sinks.with_status)
+    return t.spark.read.parquet(folder).select("id", "status", "exclusion_reason")
+
+
+@query("c2_replaced", _CACHE + "SELECT cache_key, CASE WHEN hits_count = 3 THEN 'new' ELSE response_content END AS response_content, CASE WHEN hits_count = 3 THEN 1 ELSE hits_count END AS hits_count FROM latest")
+def _(t):
+    """Answers are put into a stored cache; only the partitions of their keys are written."""
+    folder, held = shared.folder(t.spark, "cache"), C.put(cache(t).limit(0), cache(t).drop("hits_count")).drop("hits_count")
+    held = held.join(cache(t).select("cache_key", "created_at", "hits_count"), ["cache_key", "created_at"])
+    tables.create(held, folder, "cache_key")
+    new = held.where("hits_count = 3").drop("hits_count").withColumns({"response_content": F.lit("new"), "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY")})
+    tables.replace(t.spark, folder, new, "cache_key", lambda old, rows: C.put(old, rows))
+    return t.spark.read.parquet(folder).select("cache_key", "response_content", "hits_count")
+
+
+@query("l2_deep_page", "SELECT row_number, id, name, response_id, security_class FROM (SELECT *, row_number() OVER (ORDER BY id DESC, response_id DESC NULLS LAST) AS row_number, count(*) OVER () AS n FROM joined) WHERE row_number > n // 2 AND row_number <= n // 2 + 50")
+def _(t):
+    """The page of 50 rows in the middle of the grid, from files in the grid's order."""
+    shown = t.joined.select("id", "name", "response_id", "security_class")
+    made = pages.build(shown, [F.col("id").desc(), F.col("response_id").desc_nulls_last()], shared.folder(t.spark, "pages"))
+    return made.page(50, len(made) // 2).select("row_number", "id", "name", "response_id", "security_class")
+
+
+@query("l7_deep_jump", "SELECT id, row_number FROM (SELECT id, row_number() OVER (ORDER BY priority_score DESC, id) AS row_number FROM files) WHERE id % 100 = 77")
+def _(t):
+    """Places of files in the order in which they are worked on."""
+    made = pages.build(t.files.select("id", "priority_score"), [F.col("priority_score").desc(), F.col("id")], shared.folder(t.spark, "pages"))
+    return made.place(F.col("id") % 100 == 77).select("id", "row_number")
+
+
 @query("a2_strict_lines", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'DirectoryType must not be quoted' ELSE '2 fields instead of 19' END AS faults FROM documents", plain=True)
 def _(t):
     good = [f'"{c}"' if i in {*range(6), 12, *range(15, 19)} else c for i, c in enumerate(INVENTORY_COLUMNS)]

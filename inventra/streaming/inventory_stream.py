@@ -1,4 +1,4 @@
-"""Streams beyond the batch operators: inventory files as they arrive, log lines, and answers with a time to live."""
+"""Streams beyond the batch operators: inventory files as they arrive, and log lines."""
 
 from __future__ import annotations
 
@@ -6,34 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import log_level
-from ..sources import inventory
+from ..operators import tables
+from ..sources import inventory, logs
 
 
 def ingest_stream(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends the new paths of each arriving inventory file; a batch that runs again writes the same rows to its own folder."""
+    """Appends the new paths of each arriving inventory file to a table in partitions by the path's hash. A batch that runs again finds its own rows there, and adds none."""
     rows = spark.readStream.schema(inventory.SCHEMA).option("header", True).option("escape", '"').csv(folder)
 
-    def put(batch: DataFrame, number: int) -> None:
+    def put(batch: DataFrame, _: int) -> None:
         files = inventory.transform(batch.withColumn("pos", F.monotonically_increasing_id()))
-        try:
-            # Earlier batches only: a batch that runs again must not meet its own rows.
-            known = batch.sparkSession.read.option("basePath", target).parquet(target).where(F.col("batch") < number)
-            fresh = inventory.new_paths(files, known)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            fresh = inventory.first_of_path(files)
-        fresh.drop("pos").withColumn("id", F.xxhash64("path")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        tables.append_new(inventory.first_of_path(files).drop("pos"), target, "path")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of log files as they grow by files, with their level."""
-    return spark.readStream.text(folder).select(F.col("value").alias("line"), log_level(F.col("value")).alias("level"))
-
-
-def answers_with_expiry(events: DataFrame, hours: int = 168) -> DataFrame:
-    """The last answer of each key within its time to live; state older than that is dropped by the watermark."""
-    return events.withWatermark("created_at", f"{hours} hours").groupBy(F.window("created_at", f"{hours} hours"), "cache_key").agg(F.max_by("response_content", "created_at").alias("response_content"), F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("hits_count"))
+    """Lines of log files as they grow, with their level."""
+    return logs.stream(spark, folder).select("line", "level")

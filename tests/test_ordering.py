@@ -35,3 +35,27 @@ def test_ranked(calls, parts):
 def test_empty(calls):
     assert ordering.running(calls.limit(0), ["worker"], ["ts", "id"], "n", "duration").count() == 0
     assert ordering.ranked(calls.limit(0), [F.col("ts")]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_hot_keys_in_many_tasks(spark, calls, parts):
+    """One worker's log, one owner's files and the answers with one hit are dealt to all tasks, and the results stay those of a window."""
+    from inventra.operators import answers, ordering, paging, reliability
+
+    log = calls.select(F.col("id").alias("call_id"), F.lit(1).alias("worker"), F.coalesce("duration", F.lit(0.0)).alias("duration"), "ts")
+    own = Window.partitionBy("worker").orderBy("ts", "call_id")
+    for made, column, want in (
+        (reliability.moving_average(log, parts=parts), "moving", F.avg("duration").over(own.rowsBetween(-9, 0))), (reliability.running_mean(log, parts), "running", F.avg("duration").over(own.rowsBetween(Window.unboundedPreceding, 0))),
+        (reliability.running_max(log, parts), "most", F.max("duration").over(own.rowsBetween(Window.unboundedPreceding, 0))),
+    ):
+        got = {r["call_id"]: round(r[column], 9) for r in made.collect()}
+        assert got == {r["call_id"]: round(r["x"], 9) for r in log.select("call_id", want.alias("x")).collect()}
+    files = calls.select("id", F.lit("o").alias("owner"))
+    assert {r["id"]: r["position"] for r in paging.positions(files, ["owner"], parts).collect()} == {i: 2999 - i for i in range(3000)}
+    cache = calls.select(F.format_string("k%05d", "id").alias("cache_key"), F.lit("c").alias("response_content"), F.to_timestamp(F.col("ts").cast("long")).alias("created_at"), F.lit(1).alias("hits_count"), F.lit(10).cast("long").alias("file_size"))
+    stays = answers.evict(cache, 20_000, parts)
+    first = sorted(cache.collect(), key=lambda r: (r["created_at"], r["cache_key"]))[2000:]
+    assert sorted(r["cache_key"] for r in stays.collect()) == sorted(r["cache_key"] for r in first) and stays.columns == cache.columns
+    if parts > 1:
+        sizes = [r["count"] for r in ordering.stretches(files, [F.col("owner"), F.col("id")], parts).groupBy("_part").count().collect()]
+        assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
