@@ -33,6 +33,7 @@ languages may occur (a key has room for 1.3 million).
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -60,7 +61,7 @@ STEPS = 1 << 17
 #: Bytes of text whose windows are in memory together.
 BLOCK = 1 << 19
 #: Windows whose distinct ones are asked for together: a task's memory doesn't follow the size of its partition.
-SLICE = 1 << 21
+SLICE = 1 << 24
 _NO_LANGUAGE = "und"
 _SCORES = "doc_id long, text_hash long, l int, held boolean, n_bytes long, perplexity double"
 _PAIR = 40503
@@ -299,28 +300,37 @@ def _pieces_of(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
         at += 16 + n
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Slices of a partition by size, each with a number that no other slice of the table has, and its blocks: rows, windows, sizes."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """A partition's blocks (rows, windows, sizes), each with the number of its slice, which no other slice of the table has."""
+    number, size = TaskContext.get().partitionId() << 32, 0
     for rows, keys, sizes in _blocks(batches):
-        held.append((rows, keys, sizes))
+        yield number, rows, keys, sizes
         size += len(keys)
         if size >= SLICE:
-            yield number, held
-            number, held, size = number + 1, [], 0
-    if held:
-        yield number, held
+            number, size = number + 1, 0
+
+
+def _distinct(blocks: Iterator[tuple]) -> np.ndarray:
+    """The distinct windows of blocks, turned; only distinct ones are held."""
+    every, fresh, n = np.zeros(0, np.int64), [], 0
+    for _, _, keys, _ in blocks:
+        fresh.append(common.distinct(_turned(keys)))
+        n += len(fresh[-1])
+        if n > max(1 << 20, len(every)):
+            every, fresh, n = common.distinct(np.concatenate([every, *fresh])), [], 0
+    return common.distinct(np.concatenate([every, *fresh]))
 
 
 def _ask(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
     """The distinct windows of each slice, a row a shard; they are kept in a file as well."""
-    for chunk, blocks in _slices(batches):
-        every = common.distinct(np.concatenate([common.distinct(_turned(keys)) for _, keys, _ in blocks]))
+    for chunk, blocks in itertools.groupby(_numbered(batches), key=lambda x: x[0]):
+        every = _distinct(blocks)
         of = layout.shard(_back(every))
         order = np.argsort(of, kind="stable")
         every, of = every[order], of[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
         parts = [(int(of[a]), _packed(np.diff(every[a:b], prepend=0))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if of[a] >= 0]
+        del every, of, order
         if parts:
             common.write_file(f"{folder}/{chunk}.ask", _pieces(parts))
         for shard, raw in parts:
@@ -373,20 +383,22 @@ def _delivered(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> Iterator[pa.RecordBatch]:
     """Perplexities of rows (doc_id, text_hash, l, held, text, m), by their slice's answers; what a slice hasn't asked for (its rows came in another order) is read from the model."""
-    for chunk, blocks in _slices(batches):
-        known, bits = _delivered(folder, chunk)
-        for rows, keys, sizes in blocks:
-            distinct = common.distinct(keys)
-            value = np.full(len(distinct), np.nan)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-                hit = known[at] == distinct
-                value[hit] = bits[at[hit]]
-            if len(missing := np.flatnonzero(np.isnan(value) & (layout.shard(distinct) >= 0))):
-                value[missing] = np.rint(-np.log2(probability(layout, distinct[missing])) * STEPS) / STEPS
-            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[np.searchsorted(distinct, keys)], minlength=len(sizes))
-            perplexity = np.exp2(total / np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "text_hash", "l", "held")), pa.array(sizes), pa.array(perplexity, mask=np.isnan(perplexity) | (sizes == 0))], ["doc_id", "text_hash", "l", "held", "n_bytes", "perplexity"])
+    current, known, bits = None, np.zeros(0, np.int64), np.zeros(0)
+    for chunk, rows, keys, sizes in _numbered(batches):
+        if chunk != current:
+            known = bits = None
+            current, (known, bits) = chunk, _delivered(folder, chunk)
+        distinct = common.distinct(keys)
+        value = np.full(len(distinct), np.nan)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+            hit = known[at] == distinct
+            value[hit] = bits[at[hit]]
+        if len(missing := np.flatnonzero(np.isnan(value) & (layout.shard(distinct) >= 0))):
+            value[missing] = np.rint(-np.log2(probability(layout, distinct[missing])) * STEPS) / STEPS
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=value[np.searchsorted(distinct, keys)], minlength=len(sizes))
+        perplexity = np.exp2(total / np.maximum(sizes, 1))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "text_hash", "l", "held")), pa.array(sizes), pa.array(perplexity, mask=np.isnan(perplexity) | (sizes == 0))], ["doc_id", "text_hash", "l", "held", "n_bytes", "perplexity"])
     _shard.cache_clear()
     _low.cache_clear()
 
