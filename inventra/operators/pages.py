@@ -8,10 +8,13 @@ names are read; within a file, the place in the stretch is a sorted column, so r
 from __future__ import annotations
 
 import dataclasses
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources import shared
 from . import ordering
 
 
@@ -21,11 +24,12 @@ class Pages:
 
     spark: SparkSession
     folder: str
+    schema: T.StructType
     index: tuple[tuple[int, int, int], ...]
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/rows")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/rows")
 
     def __len__(self) -> int:
         return sum(n for _, _, n in self.index)
@@ -53,11 +57,17 @@ def build(rows: DataFrame, order: list[Column], folder: str, parts: int | None =
     spark = rows.sparkSession
     placed = ordering.stretches(rows, order, parts)
     placed.write.partitionBy("_part").parquet(f"{folder}/rows")
-    ordering.offsets(spark.read.parquet(f"{folder}/rows").select("_part")).coalesce(1).write.parquet(f"{folder}/index")
+    system, path = shared.open_fs(f"{folder}/schema.json")
+    with system.open_output_stream(path) as out:
+        out.write(placed.schema.json().encode())
+    ordering.offsets(spark.read.schema(placed.schema).parquet(f"{folder}/rows").select("_part")).coalesce(1).write.parquet(f"{folder}/index")
     return opened(spark, folder)
 
 
 def opened(spark: SparkSession, folder: str) -> Pages:
     """Pages that have been built before."""
-    index = spark.read.parquet(f"{folder}/index").orderBy("_part").select(F.col("_part").cast("int"), "_before", "_n").collect()  # a row a stretch
-    return Pages(spark, folder, tuple((r[0], r[1], r[2]) for r in index))
+    system, path = shared.open_fs(f"{folder}/schema.json")
+    with system.open_input_stream(path) as f:
+        schema = T.StructType.fromJson(json.loads(f.read()))
+    index = spark.read.schema("_part int, _before long, _n long").parquet(f"{folder}/index").orderBy("_part").collect()  # a row a stretch
+    return Pages(spark, folder, schema, tuple((r[0], r[1], r[2]) for r in index))
