@@ -156,9 +156,6 @@ def fresh(df: DataFrame, name: str) -> str:
 #: Rows of an Arrow batch between Spark and a Python worker, unless the session sets another number; texts can be long.
 BATCH_ROWS = 1000
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Bytes of such a batch, likewise: they lie outside of the JVM's heap, for each task, and what was once taken there stays.
-BATCH_BYTES = 4 << 20
-_BYTES_KEY, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), "67108864b", "64m", "64MB")
 
 
 def _tidied(batches, step):
@@ -178,6 +175,4 @@ def in_batches(rows: DataFrame, step, schema: str) -> DataFrame:
     conf = rows.sparkSession.conf
     if conf.get(_ROWS_KEY, "10000") == "10000":
         conf.set(_ROWS_KEY, str(BATCH_ROWS))
-    if conf.get(_BYTES_KEY, _BYTES_DEFAULT[0]) in _BYTES_DEFAULT:
-        conf.set(_BYTES_KEY, str(BATCH_BYTES))
     return rows.mapInArrow(partial(_tidied, step=step), schema)
