@@ -36,7 +36,7 @@ LOW, HIGH = 1e-3, 0.1
 LEAST = 4
 SUBSETS = 8
 #: Shares of the lexicon that the subsets take, as powers of a half.
-RATES = (2, 4, 6, 8, 10)
+RATES = (2, 3, 4, 5, 6, 7, 8, 9, 10)
 _BUCKETS = 1 << 12
 _FIRST = -(1 << 63)
 
