@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -170,6 +171,17 @@ def _tidied(batches, step):
         pass
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, most: int):
+    """For jobs that run in this context: fewer rows a batch, for rows that hold whole arrays. A batch lies outside of the JVM's heap, and what was once taken there stays."""
+    before = spark.conf.get(_ROWS_KEY, "10000")
+    spark.conf.set(_ROWS_KEY, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_KEY, before)
+
+
 def in_batches(rows: DataFrame, step, schema: str) -> DataFrame:
     """mapInArrow with bounded batches. The session's own number, if it has set one, stays."""
     conf = rows.sparkSession.conf

@@ -62,6 +62,8 @@ STEPS = 1 << 17
 BLOCK = 1 << 19
 #: Windows whose distinct ones are asked for together: a task's memory doesn't follow the size of its partition.
 SLICE = 1 << 24
+#: Rows of a batch whose rows are packed arrays.
+PACKED_ROWS = 32
 _NO_LANGUAGE = "und"
 _SCORES = "doc_id long, text_hash long, l int, held boolean, n_bytes long, perplexity double"
 _PAIR = 40503
@@ -406,12 +408,18 @@ def _score(batches: Iterator[pa.RecordBatch], layout: Layout, folder: str) -> It
 def perplexities(rows: DataFrame, layout: Layout, scratch: common.Scratch) -> DataFrame:
     """doc_id, text_hash, l, held, n_bytes, perplexity of rows (doc_id, text_hash, l, held, text, m: number of the model); a table of the scratch."""
     n, folder = common.partitions(rows.sparkSession), scratch.folder("answers")
+    with common.batch_rows(rows.sparkSession, PACKED_ROWS):
+        _exchange(rows, layout, folder, n, scratch)
+    return scratch.written(common.in_batches(rows, functools.partial(_score, layout=layout, folder=folder), _SCORES), "scores")
+
+
+def _exchange(rows: DataFrame, layout: Layout, folder: str, n: int, scratch: common.Scratch) -> None:
+    """Requests to the shards, and answers to the slices' files."""
     asked = common.in_batches(rows, functools.partial(_ask, layout=layout, folder=folder), "chunk long, shard long, keys binary")
     asked = asked.repartition(n, "shard", F.floor(F.shiftright("chunk", 32) / SALT_PARTITIONS)).sortWithinPartitions("shard")
     answered = common.in_batches(asked, functools.partial(_answer, layout=layout), "chunk long, shard long, bits binary")
     answered = answered.repartition(n, "chunk").sortWithinPartitions("chunk")
     scratch.written(common.in_batches(answered, functools.partial(_deliver, folder=folder), "chunk long, n long"), "delivered")
-    return scratch.written(common.in_batches(rows, functools.partial(_score, layout=layout, folder=folder), _SCORES), "scores")
 
 
 def length_class(n_bytes: Column) -> Column:
