@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SECURITY_CLASSES
+from ..sources import shared
 from .paging import matching
 from .verdicts import DOMAIN_KEYS, mean_confidence
 
@@ -90,15 +93,27 @@ def report(sections: dict[str, DataFrame], parameters: dict, advice: list[str] |
     return json.dumps({"timestamp": when, "parameters": parameters, "metrics": found, "recommendations": advice or []}, default=str, ensure_ascii=False, indent=2)
 
 
+def _put(rows: DataFrame, target: str) -> None:
+    """Puts rows in a table's place: written beside it, then moved there, so that a write that breaks leaves the table as it was. The file system must be able to move folders."""
+    system, path = shared.open_fs(target)
+    new, old = f"{target}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.parquet(new)
+    there = system.get_file_info(path).type != fs.FileType.NotFound
+    if there:
+        system.move(path, old)
+    system.move(shared.open_fs(new)[1], path)
+    if there:
+        system.delete_dir(old)
+
+
 def backup(spark: SparkSession, source: str, target: str) -> int:
     """Copies a table's rows; their number."""
-    rows = spark.read.parquet(source)
-    rows.write.mode("overwrite").parquet(target)
+    _put(spark.read.parquet(source), target)
     return spark.read.parquet(target).count()
 
 
 def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
-    spark.read.parquet(source).coalesce(files).write.mode("overwrite").parquet(target)
+    _put(spark.read.parquet(source).coalesce(files), target)
 
 
 def sound(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "path", "file_size", "status", "owner")) -> list[str]:
@@ -119,11 +134,12 @@ def restore(spark: SparkSession, saved: str, target: str) -> int:
 
 def reset(spark: SparkSession, path: str) -> None:
     """Empties a table; its columns stay."""
-    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+    _put(spark.createDataFrame([], spark.read.parquet(path).schema), path)
 
 
 def repaired(files: DataFrame) -> DataFrame:
-    """A files table with the first row of each id, unknown statuses as pending, negative sizes as 0."""
+    """A files table with one row of each id, unknown statuses as pending, negative sizes as 0. Of rows that share an id, the least by its columns in order stays."""
     known = F.col("status").isin("pending", "completed", "error", "filtered", "cached") | F.col("status").isNull()
-    rows = files.withColumns({"status": F.when(known, F.col("status")).otherwise("pending"), "file_size": F.greatest("file_size", F.lit(0).cast("long"))})
-    return rows.dropDuplicates(["id"])
+    names = [c for c in files.columns if c != "id"]
+    rows = files.groupBy("id").agg(F.min(F.struct(*names)).alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in names]).select(*files.columns)
+    return rows.withColumns({"status": F.when(known, F.col("status")).otherwise("pending"), "file_size": F.greatest("file_size", F.lit(0).cast("long"))})

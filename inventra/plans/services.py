@@ -272,6 +272,30 @@ def _(t):
     return rows.select("id", F.get_json_object("json", "$.security.classification").alias("classification"))
 
 
+@query("v4_valid", "SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'C1' WHEN 4 THEN 'C2' END AS classification FROM documents", plain=True)
+def _(t):
+    """An object is a verdict if it has a domain, and each domain that it has is an object."""
+    text, kind = F.translate(F.col("text"), '"\\{}\n\r\t', "       "), F.col("doc_id") % 6
+    given = {0: '"security": {"classification": "C1"}, "legal": {}', 1: '"security": {"classification": "C1"}, "legal": 3', 2: '"other": {"security": {"classification": "C1"}}', 3: '"security": ["C1"]', 4: '"rgpd": {}, "security": {"classification": "C2"}'}
+    content = F.lit("[]")
+    for k, told in given.items():
+        content = F.when(kind == k, F.concat(F.lit('{"resume": "'), text, F.lit(f'", {told}}}'))).otherwise(content)
+    rows = verdicts.with_json(t.raw("documents").select(F.col("doc_id").alias("id"), content.alias("content")), F.col("content"), "json")
+    return rows.select("id", F.get_json_object("json", "$.security.classification").alias("classification"))
+
+
+@query("a11_preview", "SELECT 'n, ' || doc_id || '\".txt' AS \"Name\", n_chars::VARCHAR AS \"FileSize\", CASE WHEN doc_id % 5 = 0 THEN 'file.pdfyz' ELSE 'file.pdf' END AS \"FileSignature\" FROM documents ORDER BY doc_id LIMIT 10", plain=True)
+def _(t):
+    return inventory.head(t.spark, inventory_csv(t, True), 10).select("Name", "FileSize", "FileSignature")
+
+
+@query("k12_repaired", "SELECT id, path, CASE WHEN id % 3 = 0 THEN 'pending' ELSE status END AS status, greatest(CASE WHEN id % 7 = 0 THEN -1 ELSE file_size END, 0) AS file_size FROM files")
+def _(t):
+    """Statuses and sizes put right, and of two rows with an id the one that comes first."""
+    hurt = t.files.select("id", "path", F.when(F.col("id") % 3 == 0, "odd").otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 7 == 0, -1).otherwise(F.col("file_size")).cast("long").alias("file_size"))
+    return sinks.repaired(hurt.unionByName(hurt.withColumn("path", F.concat("path", F.lit("~")))))
+
+
 @query("a16_incremental_log", "SELECT CASE WHEN event_type IN ('error', 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN event_type IN ('error', 'ERROR') THEN '2024 [ERROR] ' ELSE '2024 [INFO] ' END || event_type || ' ' || event_id::VARCHAR AS line FROM events", plain=True)
 def _(t):
     """A log a worker that grows twice between readings of the stream, which goes on from its checkpoint; each line once."""
