@@ -194,6 +194,7 @@ def predict(docs: DataFrame, fitted: Filter) -> DataFrame:
             for a, b in tokens.blocks(texts, BLOCK):
                 pred, score, coverage = sent.value.score(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in through), pa.array(pred, pa.string()), pa.array(score), pa.array(coverage)], [*through, "lang_pred", "score", "coverage"])
+        vars(sent).pop("_value", None)  # the worker stays, idle or for other work; the next task reads the filter again
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out")).withColumn("text_hash", F.xxhash64("text"))
     return common.in_batches(rows, step, "doc_id long, text_hash long, held_out boolean, lang_pred string, score double, coverage double")
