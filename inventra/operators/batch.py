@@ -141,12 +141,13 @@ def told(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("content_key", F.when(failed, "error").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("failed", "error").alias("error"), "content")
 
 
-def outcomes(files: DataFrame, cache: DataFrame, as_of: str, folder: str, classifier: Classifier | None = offline, filters: Rules = Rules(), attempt: int = 0, again: bool = False, sending: Sending = Sending()) -> DataFrame:
+def outcomes(files: DataFrame, cache: DataFrame, as_of: str, classifier: Classifier | None = offline, filters: Rules = Rules(), folder: str | None = None, attempt: int = 0, again: bool = False, sending: Sending = Sending()) -> DataFrame:
     """Each file with outcome (filtered, cached, completed, error), error, priority_score, content (the answer) and what was asked.
 
-    Answers are committed to the folder (one that the cluster shares) while they come. Files of a content without one (the run was stopped) have no row. Without a classifier,
+    Answers are committed to the folder (one that the cluster shares; without one, a new one) while they come. Files of a content without one (the run was stopped) have no row. Without a classifier,
     only the answers that the folder holds are used.
     """
+    folder = folder or shared.folder(files.sparkSession, "answers")
     left_out, known, missing = sorted_out(files, cache, as_of, filters)
     if classifier is not None:
         ask(contents(missing), folder, classifier, attempt, again, sending)
@@ -154,9 +155,9 @@ def outcomes(files: DataFrame, cache: DataFrame, as_of: str, folder: str, classi
     return left_out.unionByName(known).unionByName(asked)
 
 
-def classify_files(files: DataFrame, cache: DataFrame, as_of: str, folder: str, classifier: Classifier = offline, filters: Rules = Rules()) -> DataFrame:
+def classify_files(files: DataFrame, cache: DataFrame, as_of: str, classifier: Classifier = offline, filters: Rules = Rules(), folder: str | None = None) -> DataFrame:
     """id, outcome, error, priority_score, classification of each file."""
-    done = verdicts.with_json(outcomes(files, cache, as_of, folder, classifier, filters), F.when(F.col("outcome").isin("completed", "cached"), F.col("content")), "json")
+    done = verdicts.with_json(outcomes(files, cache, as_of, classifier, filters, folder), F.when(F.col("outcome").isin("completed", "cached"), F.col("content")), "json")
     return done.select("id", "outcome", "error", "priority_score", F.get_json_object("json", "$.security.classification").alias("classification"))
 
 
@@ -235,7 +236,7 @@ def run(files: DataFrame, cache: DataFrame, as_of: str, work: DataFrame, folder:
     spark = files.sparkSession
     attempt = _begin(folder, kind) if attempt is None else attempt
     place = f"{folder}/outcomes/attempt={attempt}"
-    outcomes(work, cache, as_of, folder, classifier, filters, attempt, kind == _ERROR, sending).write.mode("overwrite").parquet(place)
+    outcomes(work, cache, as_of, classifier, filters, folder, attempt, kind == _ERROR, sending).write.mode("overwrite").parquet(place)
     return applied(files, cache, as_of, spark.read.parquet(place), ttl_hours)
 
 

@@ -105,5 +105,5 @@ def run(files: DataFrame, cache: DataFrame, as_of: str, folder: str, per_batch:
         finally:
             spark.streams.removeListener(listener)
     place = f"{folder}/outcomes/paced"
-    batch.outcomes(files.where("status = 'pending'"), cache, as_of, folder, None, filters).write.mode("overwrite").parquet(place)
+    batch.outcomes(files.where("status = 'pending'"), cache, as_of, None, filters, folder).write.mode("overwrite").parquet(place)
     return batch.applied(files, cache, as_of, spark.read.parquet(place)), listener.steps
