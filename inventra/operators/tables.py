@@ -1,6 +1,6 @@
 """Tables that grow and change in place: hash-partitioned folders of which a change rewrites only the partitions that it touches.
 
-A table lies in BUCKETS partitions by the hash of its key. New rows are appended if their key isn't there; updates and replacements read and rewrite the touched
+A table lies in partitions by the hash of its key (BUCKETS; more for large tables, so that a change rewrites little). New rows are appended if their key isn't there; updates and replacements read and rewrite the touched
 partitions alone (dynamic partition overwrite), from a copy in the shared folder, so that nothing is overwritten while it is read. One writer at a time.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 
-BUCKETS = 64
+BUCKETS = 16
 #: Most bytes of keys that are sent to all tasks; more are met by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bits of an id: number of the append, partition of the write, row in it.
