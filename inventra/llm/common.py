@@ -51,6 +51,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Arrow's names of the types that `few` knows.
+_ARROW = {"long": "int64", "int": "int32", "double": "float64", "boolean": "bool", "string": "string"}
+
+
+def few(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of plain values, sent as an Arrow table: a list of tuples would start Python workers of its own on every executor, which stay beside the operators'."""
+    import pyarrow as pa
+
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    table = pa.table({n: pa.array(c, _ARROW[k]) for n, k, c in zip(names, kinds, columns, strict=True)})
+    return spark.createDataFrame(table) if rows else spark.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

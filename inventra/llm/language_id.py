@@ -169,7 +169,7 @@ def fit(docs: DataFrame) -> Filter:
         totals = dict(sorted((r[0], r[1]) for r in counts.groupBy("lang").agg(F.sum("n")).collect()))
         if not totals:
             return Filter([], UNKNOWN, np.zeros((0, 1), np.uint32))
-        numbers = spark.createDataFrame([(name, i, float(n)) for i, (name, n) in enumerate(totals.items())], "lang string, number int, total double")
+        numbers = common.few(spark, [(name, i, float(n)) for i, (name, n) in enumerate(totals.items())], "lang string, number int, total double")
         shares = counts.join(common.bounded(numbers), "lang").select("key", "number", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= SHARE)
         most = shares.groupBy("key").agg(F.max("share").alias("most"))
         kept = scratch.written(shares.join(most, "key").where(F.col("share") >= RATIO * F.col("most")).select("key", "number"), "kept")

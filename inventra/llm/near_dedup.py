@@ -345,8 +345,10 @@ def _clusters(shared: DataFrame, label: DataFrame, sketches: DataFrame, percent:
     mixed = scratch.written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("c") / BLOCK).alias("blocks")), "mixed")
     dealt = _block_pairs(rows.join(common.bounded(mixed.select("band")), "band", "left_semi").join(sketches, "rep"), "band", "rep", mixed)
     edges = common.in_batches(dealt.select("band", "i", "j", "side", "rep", "n", "component", "sketch"), partial(_compare, percent=percent), "u long, v long")
+    # Written, since two Python steps in one stage are two workers for each task, which stay on the executors for the rest of the job.
+    edges = scratch.written(edges, "alike")
     found = graph.components(edges, scratch).withColumnRenamed("component", "cluster")
-    scratch.dropped(rows, mixed)
+    scratch.dropped(rows, mixed, edges)
     return found
 
 

@@ -175,7 +175,7 @@ def train(trusted: DataFrame, scratch: common.Scratch) -> Layout:
     for order in range(ORDER - 1, 0, -1):
         counts[order] = scratch.written(counts[order + 1].select(_suffix(order + 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "windows")
     layout = Layout(scratch.folder("model"), {int(r[0]): r[1] for r in counts[ORDER].groupBy(F.shiftright("key", 8 * ORDER)).count().collect()})
-    places = spark.createDataFrame([(m, int(f), int(c)) for m, (f, c) in enumerate(zip(layout.first, layout.count, strict=True))], "model long, first long, shards long")
+    places = common.few(spark, [(m, int(f), int(c)) for m, (f, c) in enumerate(zip(layout.first, layout.count, strict=True))], "model long, first long, shards long")
     lower, parts, low = None, [], []
     for order in range(1, ORDER + 1):
         p, g = _tables(counts[order], order, lower, scratch)
@@ -433,14 +433,14 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, class
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(_NO_LANGUAGE)).alias("lang")
     with common.Scratch(spark) as scratch:
         names = [r[0] for r in docs.select(lang).distinct().orderBy("lang").collect()]  # a name and a number a language
-        numbers = spark.createDataFrame(list(enumerate(names)), "l int, lang string")
+        numbers = common.few(spark, list(enumerate(names)), "l int, lang string")
         good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct()
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang)
         rows = rows.join(common.bounded(numbers), "lang").join(common.bounded(good), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
         trusted = rows.where("good and text <> ''")
         learnt = dict(trusted.groupBy("l").agg(F.countDistinct(F.xxhash64("text"))).collect())
         layout = train(trusted, scratch)
-        enough = spark.createDataFrame([(i, n >= language_least) for i, n in learnt.items()], "l int, enough boolean")
+        enough = common.few(spark, [(i, n >= language_least) for i, n in learnt.items()], "l int, enough boolean")
         held_model = F.struct((F.col("l") * MODELS + 1 + fold()).cast("int").alias("m"), F.lit(True).alias("held"))
         asked = F.array_compact(F.array(F.struct((F.col("l") * MODELS).cast("int").alias("m"), F.lit(False).alias("held")), F.when(F.col("good") & (F.col("text") != "") & F.coalesce("enough", F.lit(False)), held_model)))
         rows = rows.join(common.bounded(enough), "l", "left").select("doc_id", F.xxhash64("text").alias("text_hash"), "l", "text", F.explode(asked).alias("a"))
@@ -450,7 +450,7 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, class
         wide = dict(held.groupBy("l").agg(high).collect())
         limit = {(r["l"], r["class"]): r["q"] for r in held.groupBy("l", "class").agg(high.alias("q"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= class_least}
         table = [(i, k, limit.get((i, k), wide[i])) for i in wide for k in range(6)]
-        limits = spark.createDataFrame(table, "l int, class int, perplexity_limit double")
+        limits = common.few(spark, table, "l int, class int, perplexity_limit double")
         found = scored.where("not held").join(common.bounded(limits), ["l", "class"], "left").join(common.bounded(numbers), "l")
         found = found.withColumn("kept", F.coalesce(F.col("doc_id").isNull() | (F.col("perplexity") <= F.col("perplexity_limit")), F.lit(True)))
         return common.written(found.select("doc_id", "text_hash", "lang", "n_bytes", "perplexity", "perplexity_limit", "kept"), "quality")

@@ -311,3 +311,12 @@ def test_sketch_loses_less_than_bands():
         differing.append(np.bitwise_count(near_dedup.odd_sketch(a) ^ near_dedup.odd_sketch(b)).sum(axis=1, dtype=np.int64))
     differing = np.concatenate(differing)
     assert near_dedup.most_differing() >= differing.mean() + 6 * differing.std()
+
+
+def test_near_one_python_step_a_stage(spark, monkeypatch):
+    """What the components are asked for is a table: a second Python step in its stage would be a second worker for each task."""
+    asked, found = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges, scratch: asked.append(edges._jdf.queryExecution().optimizedPlan().toString()) or found(edges, scratch))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i % 3}") for i in range(9)], "doc_id long, text string")
+    near_dedup.near_duplicates(docs, 2)
+    assert len(asked) >= 2 and not any("MapInArrow" in plan for plan in asked)

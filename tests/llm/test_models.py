@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -481,3 +482,21 @@ def test_rejected_by_id_and_text(spark):
     gone = spark.createDataFrame([(1, "bad"), (None, ""), (2, "")], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
     left = corpus_pipeline._without(docs, gone)
     assert left.columns == docs.columns and sorted((r[0] or 0, r[1]) for r in left.collect()) == [(0, "bad"), (1, "good")]
+
+
+@pytest.mark.parametrize("made", [[(1, "a", 2.5, True, 3), (2, None, None, None, None)], []])
+def test_few_rows_without_python(spark, made):
+    """Neither tables of a few rows nor their readers start Python workers."""
+    found = common.few(spark, made, "l int, name string, d double, b boolean, n long")
+    assert [tuple(r) for r in found.collect()] == made and found.dtypes == [("l", "int"), ("name", "string"), ("d", "double"), ("b", "boolean"), ("n", "bigint")]
+    assert "RDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stages_make_few_rows_without_python(spark, documents, data, monkeypatch):
+    """The quality and language stages send their numbers of languages, limits and places as Arrow tables, not as lists of tuples."""
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, *a, **b: made.append(isinstance(rows, list)) or create(self, rows, *a, **b))
+    some = documents.limit(60)
+    corpus_pipeline.quality_stage(spark, some, data).count()
+    language_id.fit(some)
+    assert made and not any(made)
