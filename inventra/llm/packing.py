@@ -38,32 +38,33 @@ _SCHEMA = ", ".join(f"{n} long" for n in _NAMES)
 
 def difference(sizes: np.ndarray, windows: int) -> list[list[int]]:
     """Karmarkar-Karp: indices of sizes, dealt into so many windows of nearly equal sums."""
-    heap: list[tuple[int, int]] = []
-    sums: dict[int, np.ndarray] = {}
-    sets: dict[int, list[list[int]]] = {}
-    for i, size in enumerate(sizes.tolist()):
-        # A partial partition keeps only its filled windows, the fullest first; all others are at the base of 0.
-        sums[i], sets[i] = np.array([size]), [[i]]
-        heap.append((-size if windows > 1 else 0, i))
+    n = len(sizes)
+    # A partial partition keeps only its filled windows, the fullest first; all others are at the base of 0.
+    # A window is a number: an index of sizes, or n + k for the k-th pair of windows that were put together.
+    heap = [(-size if windows > 1 else 0, i) for i, size in enumerate(sizes.tolist())]
+    sums, sets = dict(enumerate(sizes.reshape(-1, 1))), dict(enumerate(np.arange(n).reshape(-1, 1)))
+    left, right, made = [], [], n
     heapq.heapify(heap)
-    fresh = len(sizes)
+    fresh = n
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
         x, y, xs, ys = sums.pop(a), sums.pop(b), sets.pop(a), sets.pop(b)
         if len(x) < len(y):
             x, y, xs, ys = y, x, ys, xs
         if len(x) + len(y) <= windows:  # the filled of each meet the empty of the other
-            total, groups = np.concatenate([x, y]), xs + ys
+            total, groups = np.concatenate([x, y]), np.concatenate([xs, ys])
         else:  # y's fullest meets x's emptiest, of which windows - len(x) are empty
             empty = windows - len(x)
-            total = np.concatenate([x, y[:empty]])
-            groups = xs + ys[:empty]
-            for k in range(empty, len(y)):
-                at = len(x) - 1 - (k - empty)
-                total[at] += y[k]
-                groups[at] = groups[at] + ys[k]
+            both = len(y) - empty
+            total, groups = np.concatenate([x, y[:empty]]), np.concatenate([xs, ys[:empty]])
+            at = slice(len(x) - both, len(x))
+            total[at] += y[empty:][::-1]
+            left.append(groups[at].copy())
+            right.append(ys[empty:][::-1])
+            groups[at] = np.arange(made, made + both)
+            made += both
         order = np.argsort(-total, kind="stable")
-        total, groups = total[order], [groups[i] for i in order.tolist()]
+        total, groups = total[order], groups[order]
         if len(total) == windows:  # only differences count: the base rises out of view
             spread = int(total[0] - total[-1])
         else:
@@ -71,7 +72,22 @@ def difference(sizes: np.ndarray, windows: int) -> list[list[int]]:
         sums[fresh], sets[fresh] = total, groups
         heapq.heappush(heap, (-spread, fresh))
         fresh += 1
-    return sets.popitem()[1] if sets else []
+    if not n:
+        return []
+    pairs = list(zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True)) if left else []
+    return [_members(w, n, pairs) for w in sets.popitem()[1].tolist()]
+
+
+def _members(window: int, n: int, pairs: list[tuple[int, int]]) -> list[int]:
+    """The indices of a window, by the pairs that it was put together of."""
+    found, ahead = [], [window]
+    while ahead:
+        w = ahead.pop()
+        if w < n:
+            found.append(w)
+        else:
+            ahead += pairs[w - n][::-1]
+    return found
 
 
 def deal(sizes: np.ndarray, capacity: int) -> list[list[int]]:

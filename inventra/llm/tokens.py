@@ -51,6 +51,11 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES):
         start = stop
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """As to_pylist for words that aren't null, without a scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class Ragged:
     """Rows of ids, end to end."""
 
@@ -97,7 +102,7 @@ class ChunkTokenizer:
 
     def _known(self, table: dict[str, bytes], words: list[str], ask) -> list[bytes]:
         """Ids of distinct words from the table, which learns those it hasn't met."""
-        found = [table.get(w) for w in words]
+        found = list(map(table.get, words))
         if new := [w for w, x in zip(words, found, strict=True) if x is None]:
             if len(table) + len(new) > MEMO_ENTRIES:
                 table.clear()
@@ -109,10 +114,12 @@ class ChunkTokenizer:
     def _model(self, parts: list[str]) -> list[bytes]:
         """Ids of split parts by the library's model alone: normal form and split are done."""
         tokenize, table = self.model.tokenize, self.letters
-        rows = [[t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(table))] for p in parts]
-        flat = np.fromiter((i for r in rows for i in r), dtype="<u4").tobytes()
-        ends = np.cumsum([4 * len(r) for r in rows]).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+        flat, ends = [], []
+        for p in parts:
+            flat += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(table))]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def _chunks(self, chunks: pa.Array) -> Ragged:
         """Ids of distinct chunks."""
@@ -120,8 +127,8 @@ class ChunkTokenizer:
         spaced = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _SPLIT, r" \1 ")
         parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
         coded = parts.flatten().dictionary_encode()
-        pieces = Ragged.of(self._known(self.pieces, coded.dictionary.to_pylist(), self._model)).take(coded.indices.to_numpy()).join(np.asarray(parts.offsets, dtype=np.int64))
-        rest = chunks.filter(pc.invert(plain)).to_pylist()
+        pieces = Ragged.of(self._known(self.pieces, _strings(coded.dictionary), self._model)).take(coded.indices.to_numpy()).join(np.asarray(parts.offsets, dtype=np.int64))
+        rest = _strings(chunks.filter(pc.invert(plain)))
         asked = Ragged.of([b"" if not w else x for w, x in zip(rest, self._known(self.others, rest, self._whole), strict=True)])
         where = np.empty(len(chunks), np.int64)
         is_plain = plain.to_numpy(zero_copy_only=False)

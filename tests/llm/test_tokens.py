@@ -1,6 +1,8 @@
 """Operators 2, 3 and 7 against the libraries."""
 
 import hashlib
+import heapq
+import time
 import zlib
 from collections import defaultdict
 
@@ -167,3 +169,42 @@ def test_whole_table(spark, documents, data):
         ids = [*ids, 2]
         assert (got[doc_id]["start"], got[doc_id]["n_tokens"], got[doc_id]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def _plain_difference(sizes, windows):
+    """Karmarkar-Karp with lists of indices."""
+    heap = [(-int(s) if windows > 1 else 0, i) for i, s in enumerate(sizes)]
+    parts = {i: [(int(s), [i])] for i, s in enumerate(sizes)}
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        x, y = (parts.pop(heapq.heappop(heap)[1]) for _ in range(2))
+        x, y = (y, x) if len(x) < len(y) else (x, y)
+        empty = max(0, windows - len(x))
+        merged = x + y[:empty]
+        for k, (size, group) in enumerate(y[empty:]):
+            total, own = merged[len(x) - 1 - k]
+            merged[len(x) - 1 - k] = total + size, own + group
+        merged.sort(key=lambda w: -w[0])
+        fresh = len(sizes) + len(sizes) - len(heap) - 1
+        parts[fresh] = merged
+        heapq.heappush(heap, (-(merged[0][0] - merged[-1][0] if len(merged) == windows else merged[0][0]), fresh))
+    return [g for _, g in parts.popitem()[1]] if parts else []
+
+
+@pytest.mark.parametrize("windows", [1, 2, 7, 30, 400])
+def test_difference_equals_plain(windows):
+    made = np.random.default_rng(windows)
+    for n in (0, 1, 2, 3, 40, 300):
+        sizes = made.integers(1, 4096, n)
+        assert packing.difference(sizes, windows) == _plain_difference(sizes, windows)
+
+
+def test_difference_time():
+    """A block whose windows hold two rests each takes well under the time that lists of indices take."""
+    sizes = np.random.default_rng(1).integers(1, 4095, 2048)
+    took = []
+    for f in (packing.difference, _plain_difference) * 3:
+        began = time.process_time()
+        f(sizes, 1050)
+        took.append(time.process_time() - began)
+    assert min(took[::2]) < 0.75 * min(took[1::2])
